@@ -1,6 +1,6 @@
 """Problem 4: groups of texts that share most of their content, by adaptive multi-match prefixes.
 
-Tokens for the search are *anchors*: hashes of 16 letters that are least among 11 neighbours, so that any equal stretch of 26
+Tokens for the search are *anchors*: hashes of 16 letters that are least among 13 neighbours, so that any equal stretch of 28
 letters gives both texts the same anchor; short texts and their possible partners also get finer ones. A token's posting list
 estimates what its candidates cost:
 
@@ -9,7 +9,9 @@ estimates what its candidates cost:
 * tokens with longer lists are matched in twos: a text's frequent tokens are combined, and lists are made of the combinations;
 * a combination that is still frequent (a phrase, or a large group of real copies) has every text compared with ``D`` pivots.
 
-Pairs left are verified exactly: the set of 3-letter sequences of both texts, no hashing. Links become groups as connected
+Pairs left are first bounded by bitmaps: the bits in which two texts' sequence sets differ are no more than the sequences
+that differ, so a pair is given up only if it can't be similar. The rest is verified exactly: the sets of 3-letter sequences of
+both texts, no hashing. Links become groups as connected
 components. Texts equal in bare form are one node from the beginning, however often they stand.
 """
 
@@ -28,7 +30,7 @@ from . import postings as P
 from .graph import components
 
 D = 30
-COARSE, FINE = (16, 11), (8, 5)
+COARSE, FINE = (16, 13), (8, 5)
 SHORT = 60
 _PAIRS = "a long, b long, matches int, need int"
 
@@ -55,7 +57,7 @@ def _tokens(c: np.ndarray, starts: np.ndarray, ids: np.ndarray, out: P.Buckets)
     many = np.bincount(who, minlength=len(n))
     need = np.clip(-(-many // 12), 1, 3).astype(np.uint8)
     out.add(h, ids[who], need[who])
-    near_short = n <= SHORT / 0.5
+    near_short = n <= SHORT / 0.6
     if near_short.any():
         p, h = K.anchors(c, starts, *FINE)
         who, h = K.distinct(K.owner(starts)[p], h)
@@ -195,6 +197,34 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFr
     return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+SIGNATURE_BITS = 256
+
+
+def signatures(c: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct k-letter sequences of every text, and a bitmap of their hashes (rows of 64-bit words)."""
+    who, g = K.distinct(*K.grams(c, starts, k))
+    words = np.zeros((len(starts) - 1, SIGNATURE_BITS // 64), np.uint64)
+    bit = K.mix(g + np.uint64(7)) % np.uint64(SIGNATURE_BITS)
+    np.bitwise_or.at(words, (who, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return np.bincount(who, minlength=len(starts) - 1), words
+
+
+def possible(pairs: DataFrame, signed: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) that their texts' bitmaps (``d, n, bits``) don't rule out."""
+
+    def bound(batches):
+        for x in batches:
+            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
+            ba, bb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("ba", "bb"))
+            apart = np.bitwise_count(ba ^ bb).sum(axis=1)
+            ok = pa.array(apart <= (1 - share) / (1 + share) * (na + nb) + 1e-9)
+            yield pa.RecordBatch.from_arrays([x.column("a").filter(ok), x.column("b").filter(ok)], ["a", "b"])
+
+    one = pairs.join(signed.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    two = one.join(signed.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    return two.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(bound, "a long, b long")
+
+
 def near_duplicate_groups(df: DataFrame, key: str, ordinal: str, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
     """``key, group``: every key whose text equals or is similar to another key's, with its group (an id that only means
     equality), directly or through others. A key's text is its fields' bare texts joined in order; a key with several rows
@@ -213,7 +243,17 @@ def near_duplicate_groups(df: DataFrame, key: str, ordinal: str, fields: list[st
     all_texts = keyed.mapInArrow(id_texts, "d long, key string, text string")
     pairs = C.checkpoint(candidate_pairs(df.filter(F.col(key).isNotNull()), ordinal, fields))
     texts = all_texts.select("d", "text").dropDuplicates(["d"])  # one digest, one text: whichever row gives it
-    links = verified(pairs, texts, k, share).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def sign(batches):
+        for b in batches:
+            for _, c, starts in joined_bare(b, list(range(len(fields)))):
+                n, words = signatures(c, starts, k)
+                ok = pa.array(n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(text_ids(c, starts)).filter(ok), pa.array(n.astype(np.int32)).filter(ok), pa.array([w.tobytes() for w in words], pa.binary()).filter(ok)], ["d", "n", "bits"])
+
+    signed = keyed.mapInArrow(sign, "d long, n int, bits binary").dropDuplicates(["d"])
+    left = C.checkpoint(possible(pairs, signed, share))
+    links = verified(left, texts, k, share).select(F.col("a").alias("u"), F.col("b").alias("v"))
     owned = C.checkpoint(all_texts.select("d", "key").distinct())
     same_key = owned.groupBy("key").agg(F.min("d").alias("u"), F.max("d").alias("z")).filter("u <> z").select("key", "u").join(owned, "key").select("u", F.col("d").alias("v"))
     roots = components(links.unionByName(same_key))
