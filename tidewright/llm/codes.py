@@ -158,15 +158,21 @@ def grams(c: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return who[: len(h)][inside], h[inside]
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order; sorting integers is faster than hashing them."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def distinct(who: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, hash), sorted by text, then hash."""
     if not len(h):
         return who, h
-    order = np.lexsort((h, who))
-    who, h = who[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (who[1:] != who[:-1]) | (h[1:] != h[:-1])
-    return who[new], h[new]
+    values = sorted_set(h)
+    both = sorted_set((who.astype(np.int64) << 32) | np.searchsorted(values, h))
+    return both >> 32, values[both & 0xFFFFFFFF]
 
 
 def _slide(h: np.ndarray, w: int, pick: np.ufunc) -> np.ndarray:

@@ -83,11 +83,12 @@ class History:
             self.segments.append(a.merged(b))
 
 
-def title_links(number: np.ndarray, digits: np.ndarray, texts: list[str], member: np.ndarray, asks: np.ndarray, share: float = SHARE, chunk: int = CHUNK):
+def title_links(number: np.ndarray, digits: np.ndarray, texts: list[str], role: np.ndarray, share: float = SHARE, chunk: int = CHUNK):
     """Yields (earlier, later) record numbers whose bare texts share ``share`` of their 2-character sequences, the digit keys
-    being equal. ``member`` records are looked up, ``asks`` records look up; numbers are distinct and give the order of arrival."""
-    order = np.argsort(number, kind="stable")
-    number, digits, member, asks = number[order], digits[order], member[order], asks[order]
+    being equal. Numbers are distinct and give the order of arrival. Records of role 0 are compared with all before them;
+    records of role 2 with all of role 1, whichever came first."""
+    order = np.lexsort((number, role))
+    number, digits, role = number[order], digits[order], role[order]
     texts = [texts[i] for i in order.tolist()]
     key = np.unique(digits, return_inverse=True)[1].astype(np.uint64)
     c, starts = K.codes(texts)
@@ -99,18 +100,25 @@ def title_links(number: np.ndarray, digits: np.ndarray, texts: list[str], member
     who, g = K.distinct(who[:-1][inside], g[inside])
     n = np.bincount(who, minlength=len(texts))
     first = np.r_[0, np.cumsum(n)]
-    bits = np.zeros(len(texts), np.uint64)
-    np.bitwise_or.at(bits, who, np.uint64(1) << (K.mix(g) & np.uint64(63)))
+    # two bitmaps of a title's sequences: bits that differ are no more than sequences that differ
+    hashed = K.mix(g)
+    bits, more = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    np.bitwise_or.at(bits, who, np.uint64(1) << (hashed & np.uint64(63)))
+    np.bitwise_or.at(more, who, np.uint64(1) << ((hashed >> np.uint64(6)) & np.uint64(63)))
+    apart = (1 - share) / (1 + share)
+    widest = np.floor(apart * n * (1 + 1 / share) + 1e-9).astype(np.uint8 if n.max(initial=0) < 150 else np.int64)
+    members = int((role == 1).sum())
     history = History()
     for a in range(0, len(texts), chunk):
         b = min(a + chunk, len(texts))
         mine = slice(first[a], first[b])
-        held = member[who[mine]]
+        q, x = who[mine], g[mine]
+        held = role[q] < 2
         if held.any():
-            history.add(Segment.of(g[mine][held], who[mine][held], int(member[a:b].sum())))
-        want = asks[who[mine]]
-        q, x = who[mine][want], g[mine][want]
-        if not len(q):
+            history.add(Segment.of(x[held], q[held], int((role[a:b] < 2).sum())))
+        ask = role[q] != 1
+        q, x = q[ask], x[ask]
+        if not len(q) or not history.segments:
             continue
         uniq, inv = np.unique(x, return_inverse=True)
         ranges = [(np.searchsorted(s.grams, uniq, "left"), np.searchsorted(s.grams, uniq, "right")) for s in history.segments]
@@ -121,28 +129,33 @@ def title_links(number: np.ndarray, digits: np.ndarray, texts: list[str], member
         place = np.arange(len(q)) - np.maximum.accumulate(np.where(begin, np.arange(len(q)), 0))
         probe = place < n[q] - np.ceil(share * n[q] - 1e-9).astype(np.int64) + 1
         q, inv, width = q[probe], inv[probe], width[probe]
-        cut = np.searchsorted(np.cumsum(width), np.arange(READ, int(width.sum()) + READ, READ), "left") + 1 if len(width) else []
+        total = np.cumsum(width)
+        cut = np.searchsorted(total, np.arange(READ, int(total[-1]) + READ, READ), "left") + 1
         at = 0
-        for end in [*np.minimum(cut, len(q)).tolist(), len(q)] if len(q) else []:
+        for end in [*np.minimum(cut, len(q)).tolist(), len(q)]:
             if end <= at:
                 continue
             found = []
             for s, (lo, hi) in zip(history.segments, ranges):
-                l, h = lo[inv[at:end]], hi[inv[at:end]]
-                m = h - l
-                ask = np.repeat(q[at:end], m)
-                rec = s.record[np.repeat(l, m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)]
-                ok = np.bitwise_count(bits[ask] ^ bits[rec]) <= (1 - share) / (1 + share) * (n[ask] + n[rec]) + 1e-9
-                ok &= rec < ask
-                found.append(rec[ok] * np.int64(len(texts)) + ask[ok])
+                l = lo[inv[at:end]]
+                m = hi[inv[at:end]] - l
+                rec = s.record[np.arange(int(m.sum())) + np.repeat(l - (np.cumsum(m) - m), m)]
+                near = np.flatnonzero(np.bitwise_count(np.repeat(bits[q[at:end]], m) ^ bits[rec]) <= np.repeat(widest[q[at:end]], m))
+                rec, asks = rec[near], np.repeat(q[at:end], m)[near]
+                limit = apart * (n[asks] + n[rec]) + 1e-9
+                ok = (np.bitwise_count(bits[asks] ^ bits[rec]) <= limit) & (np.bitwise_count(more[asks] ^ more[rec]) <= limit)
+                if not members:
+                    ok &= rec < asks
+                found.append(rec[ok] * np.int64(len(texts)) + asks[ok])
             at = end
-            pair = np.unique(np.concatenate(found))
+            pair = K.sorted_set(np.concatenate(found))
             lo_, hi_ = pair // len(texts), pair % len(texts)
             for i in range(0, len(pair), 20_000):
                 x, y = lo_[i : i + 20_000], hi_[i : i + 20_000]
                 ok = similar([texts[t] for t in x.tolist()], [texts[t] for t in y.tolist()], 2, share)
                 if ok.any():
-                    yield number[x[ok]], number[y[ok]]
+                    u, v = number[x[ok]], number[y[ok]]
+                    yield np.minimum(u, v), np.maximum(u, v)
 
 
 def read_rows(df: DataFrame, ordinal: str, id_: str, title: str, address) -> DataFrame:
@@ -169,30 +182,19 @@ def similar_titles(classes: DataFrame) -> DataFrame:
     # digit keys above BLOCK records: fewer than rows / BLOCK of them
     placed = classes.join(many, F.col("digits") == F.col("hot"), "left")
     own = F.pmod(F.xxhash64("bare"), F.col("blocks")).cast("int")
-    others = F.explode(F.expr("sequence(0, blocks - 1)"))
-    cold = placed.filter("blocks is null").select(F.concat_ws("/", F.pmod(F.xxhash64("digits"), F.lit(buckets)).cast("string")).alias("part"), "cls", "digits", "bare", F.lit(3).cast("byte").alias("role"))
-    hot = placed.filter("blocks is not null")
-    name = lambda x, y: F.concat_ws("/", F.lit("h"), F.col("digits").cast("string"), x.cast("string"), y.cast("string")).alias("part")
-    members = hot.withColumn("own", own).withColumn("other", others).select(name(F.col("own"), F.col("other")), "cls", "digits", "bare", F.lit(1).cast("byte").alias("role"))
-    askers = hot.withColumn("own", own).withColumn("other", others).select(name(F.col("other"), F.col("own")), "cls", "digits", "bare", F.lit(2).cast("byte").alias("role"))
+    cold = placed.filter("blocks is null").select(F.pmod(F.xxhash64("digits"), F.lit(buckets)).cast("string").alias("part"), "cls", "digits", "bare", F.lit(0).cast("byte").alias("role"))
+    # a record of block i stands in the part of every pair of blocks that i belongs to
+    hot = placed.filter("blocks is not null").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    part = F.concat_ws("/", F.lit("h"), F.col("digits").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    role = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte")
+    warm = hot.select(part.alias("part"), "cls", "digits", "bare", role.alias("role"))
 
     def link(t: pa.Table) -> pa.Table:
-        cls, digits, role = t["cls"].to_numpy(), t["digits"].to_numpy(), t["role"].to_numpy()
-        texts = t["bare"].to_pylist()
-        if (role != 3).any():  # within a block a record stands twice, as member and asker
-            order = np.lexsort((role, cls))
-            cls, digits, role, texts = cls[order], digits[order], role[order], [texts[i] for i in order.tolist()]
-            same = np.flatnonzero(cls[1:] == cls[:-1]) + 1
-            role = role.copy()
-            role[same - 1] = 3
-            keep = np.ones(len(cls), bool)
-            keep[same] = False
-            cls, digits, role, texts = cls[keep], digits[keep], role[keep], [x for x, k in zip(texts, keep.tolist()) if k]
-        got = list(title_links(cls, digits, texts, (role & 1) > 0, (role & 2) > 0))
+        got = list(title_links(t["cls"].to_numpy(), t["digits"].to_numpy(), t["bare"].to_pylist(), t["role"].to_numpy()))
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate([x for x, _ in got] or none)), "b": pa.array(np.concatenate([y for _, y in got] or none))})
 
-    return cold.unionByName(members).unionByName(askers).groupBy("part").applyInArrow(link, "a long, b long").distinct()
+    return cold.unionByName(warm).groupBy("part").applyInArrow(link, "a long, b long").distinct()
 
 
 def settle(claims: DataFrame, last: int = LAST) -> DataFrame:
