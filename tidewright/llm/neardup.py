@@ -7,7 +7,8 @@ estimates what its candidates cost:
 * tokens with lists of up to ``D`` texts are matched one by one. A pair needs one shared token where a text has few, two or
   three where texts have more: the longer the prefix, the more matches are asked for before a pair is verified;
 * tokens with longer lists are matched in twos: a text's frequent tokens are combined, and lists are made of the combinations;
-* a combination that is still frequent (a phrase, or a large group of real copies) has every text compared with ``D`` pivots.
+* a combination that is still frequent (a phrase, or a large group of real copies) has every text paired with ``D`` pivots, the
+  least by digest; like other pairs these need more than one such meeting where texts have many tokens.
 
 Pairs left are first bounded by bitmaps: the bits in which two texts' sequence sets differ are no more than the sequences
 that differ, so a pair is given up only if it can't be similar. The rest is verified exactly: the sets of 3-letter sequences of
@@ -50,45 +51,43 @@ def joined_bare(batch: pa.RecordBatch, fields: list[int]):
         yield a, *K.codes(["".join(x) for x in zip(*parts)])
 
 
-def _tokens(c: np.ndarray, starts: np.ndarray, ids: np.ndarray, out: P.Buckets) -> None:
+def _tokens(c: np.ndarray, starts: np.ndarray, ids: np.ndarray, k: int, out: P.Buckets) -> None:
+    """Postings of the texts' tokens; with each goes the text's number of k-letter sequences, and whether the token is fine."""
     n = np.diff(starts)
+    size = np.bincount(K.distinct(*K.grams(c, starts, k))[0], minlength=len(n)).clip(0, 32767).astype(np.uint16)
     p, h = K.anchors(c, starts, *COARSE)
     who, h = K.distinct(K.owner(starts)[p], h)
-    many = np.bincount(who, minlength=len(n))
-    need = np.clip(-(-many // 12), 1, 3).astype(np.uint8)
-    out.add(h, ids[who], need[who])
+    out.add(h, ids[who], size[who])
     near_short = n <= SHORT / 0.6
     if near_short.any():
         p, h = K.anchors(c, starts, *FINE)
         who, h = K.distinct(K.owner(starts)[p], h)
         keep = near_short[who]
         who, h = who[keep], h[keep]
-        # 1 in the seventh bit: a short text; a pair of this kind of token needs one
-        out.add(K.mix(h + np.uint64(1)), ids[who], np.where(n[who] <= SHORT, 64, 128) + np.where(n[who] <= 24, 1, 2).astype(np.uint8))
+        out.add(K.mix(h + np.uint64(1)), ids[who], size[who] | np.uint16(32768))
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, matches: np.ndarray | int, need: np.ndarray) -> pa.RecordBatch:
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    full = np.broadcast_to(np.asarray(matches, np.int32), lo.shape)
-    return pa.RecordBatch.from_pydict({"a": pa.array(lo), "b": pa.array(hi), "matches": pa.array(full), "need": pa.array(need.astype(np.int32))})
+def _pair_batch(a: np.ndarray, b: np.ndarray, e: np.ndarray, f: np.ndarray, weight: int, share: float) -> pa.RecordBatch:
+    """Pairs whose sizes allow the share, with the matches they need: more the more tokens the smaller text has."""
+    fine = e >= 32768
+    small, large = np.minimum(e & 32767, f & 32767), np.maximum(e & 32767, f & 32767)
+    ok = (small >= share * large - 1e-9) & (~fine | (small <= SHORT))
+    need = np.where(fine, np.clip(small // 15, 1, 4), np.clip(-(-small.astype(np.int64) // 84), 1, 3))[ok].astype(np.int32)
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)[ok]), "b": pa.array(np.maximum(a, b)[ok]), "matches": pa.array(np.full(int(ok.sum()), weight, np.int32)), "need": pa.array(need)})
 
 
-def _level_pairs(keys, owners, extra, cut, weight):
+def _level_pairs(owners, extra, cut, weight, share):
     """Pairs of a bucket's short lists."""
     sizes = np.diff(cut)
     for i, j in P.pairs_of_lists(cut[:-1][sizes <= D], sizes[sizes <= D]):
-        e, f = extra[i], extra[j]
-        fine = e >= 64
-        ok = ~fine | (e < 128) | (f < 128)
-        need = np.minimum(e & 63, f & 63)
-        yield _pair_batch(owners[i][ok], owners[j][ok], weight, need[ok])
+        yield _pair_batch(owners[i], owners[j], extra[i], extra[j], weight, share)
 
 
 def _empty_pairs() -> pa.Table:
     return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "matches": pa.array([], pa.int32()), "need": pa.array([], pa.int32())})
 
 
-def candidate_pairs(df: DataFrame, ordinal: str, fields: list[str]) -> DataFrame:
+def candidate_pairs(df: DataFrame, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
     """``a, b``: digests of distinct texts that shared enough tokens to be worth verifying."""
     buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -102,12 +101,12 @@ def candidate_pairs(df: DataFrame, ordinal: str, fields: list[str]) -> DataFrame
                 keep = np.flatnonzero(first & (np.diff(starts) > 0))
                 if len(keep):
                     texts = K.as_text(c, starts)
-                    _tokens(*K.codes([texts[i] for i in keep]), ids[keep], out)
+                    _tokens(*K.codes([texts[i] for i in keep]), ids[keep], k, out)
             yield from out.rows()
 
     def single(t: pa.Table) -> pa.Table:
-        keys, owners, extra, cut = P.unpack(t, np.int64, np.uint8)
-        got = list(_level_pairs(keys, owners, extra, cut, 1))
+        keys, owners, extra, cut = P.unpack(t, np.int64, np.uint16)
+        got = list(_level_pairs(owners, extra, cut, 1, share))
         pairs = pa.Table.from_batches(got) if got else _empty_pairs()
         sizes = np.diff(cut)
         long = np.repeat(sizes > D, sizes)
@@ -117,7 +116,7 @@ def candidate_pairs(df: DataFrame, ordinal: str, fields: list[str]) -> DataFrame
         rest = pa.table({"a": pa.array(owners[long]), "b": pa.array(token), "matches": pa.array(np.zeros(n, np.int32)), "need": pa.array(extra[long].astype(np.int32))})
         return pa.concat_tables([pairs, rest])
 
-    level1 = C.checkpoint(df.select(*fields).mapInArrow(emit, P.SCHEMA).groupBy("bucket").applyInArrow(single, _PAIRS).filter("matches > 0 or need > 0").groupBy("a", "b", (F.col("matches") == 0).alias("frequent")).agg(F.sum("matches").cast("int").alias("matches"), F.min("need").cast("int").alias("need")).filter("frequent or matches >= need"))
+    level1 = C.checkpoint(df.select(*fields).mapInArrow(emit, P.SCHEMA).groupBy("bucket").applyInArrow(single, _PAIRS).groupBy("a", "b", (F.col("matches") == 0).alias("frequent")).agg(F.sum("matches").cast("int").alias("matches"), F.min("need").cast("int").alias("need")).filter("frequent or matches >= need"))
     frequent = level1.filter("frequent").select(F.col("a").alias("text"), F.col("b").alias("token"), "need")
 
     def combine(t: pa.Table) -> pa.Table:
@@ -128,23 +127,23 @@ def candidate_pairs(df: DataFrame, ordinal: str, fields: list[str]) -> DataFrame
         out = P.Buckets(buckets)
         j = 1
         while j < len(text):
-            same = np.flatnonzero((text[j:] == text[:-j]) & ((need[j:] >= 64) == (need[:-j] >= 64)))
+            same = np.flatnonzero((text[j:] == text[:-j]) & ((need[j:] >= 32768) == (need[:-j] >= 32768)))
             if not len(same):
                 break
             key = K.mix(K.mix(token[same].view(np.uint64)) * np.uint64(3) + token[same + j].view(np.uint64))
-            out.add(key, text[same], need[same].astype(np.uint8))
+            out.add(key, text[same], need[same].astype(np.uint16))
             j += 1
         got = list(out.rows())
         return pa.Table.from_batches(got) if got else pa.table({"bucket": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "owners": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
 
     def double(t: pa.Table) -> pa.Table:
-        keys, owners, extra, cut = P.unpack(t, np.int64, np.uint8)
-        got = list(_level_pairs(keys, owners, extra, cut, 2))
+        keys, owners, extra, cut = P.unpack(t, np.int64, np.uint16)
+        got = list(_level_pairs(owners, extra, cut, 2, share))
         sizes = np.diff(cut)
         for at, s in zip(cut[:-1][sizes > D].tolist(), sizes[sizes > D].tolist()):
             i, j = (x.ravel() for x in np.meshgrid(np.arange(at, at + D), np.arange(at, at + s), indexing="ij"))
             i, j = i[i < j], j[i < j]
-            got.append(_pair_batch(owners[i], owners[j], 3, np.full(len(i), 3)))
+            got.append(_pair_batch(owners[i], owners[j], extra[i], extra[j], 1, share))
         return pa.Table.from_batches(got) if got else _empty_pairs()
 
     twos = frequent.groupBy(F.pmod(F.xxhash64("text"), F.lit(4 * buckets)).alias("part")).applyInArrow(combine, P.SCHEMA)
@@ -197,16 +196,31 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFr
     return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-SIGNATURE_BITS = 256
-
-
-def signatures(c: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct k-letter sequences of every text, and a bitmap of their hashes (rows of 64-bit words)."""
+def signatures(c: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, list[bytes]]:
+    """Number of distinct k-letter sequences of every text, and a bitmap of their hashes: as many bits as a power of two
+    needs to be 1.7 times the sequences, 256 at least."""
     who, g = K.distinct(*K.grams(c, starts, k))
-    words = np.zeros((len(starts) - 1, SIGNATURE_BITS // 64), np.uint64)
-    bit = K.mix(g + np.uint64(7)) % np.uint64(SIGNATURE_BITS)
-    np.bitwise_or.at(words, (who, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    return np.bincount(who, minlength=len(starts) - 1), words
+    n = np.bincount(who, minlength=len(starts) - 1)
+    words = 2 ** np.ceil(np.log2(np.maximum(256, 1.7 * n) / 64)).astype(np.int64)
+    first = np.r_[0, np.cumsum(words)]
+    flat = np.zeros(first[-1], np.uint64)
+    bit = K.mix(g + np.uint64(7)) & ((words[who] * 64 - 1).astype(np.uint64))
+    np.bitwise_or.at(flat, first[who] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    raw = flat.tobytes()
+    return n, [raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def bits_apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Bits in which bitmaps differ; a longer one is folded to the length of the shorter."""
+    out = np.zeros(len(left), np.int64)
+    la, lb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    for x, y in {*zip(la.tolist(), lb.tolist())}:
+        at = np.flatnonzero((la == x) & (lb == y))
+        a, b = (np.frombuffer(b"".join([t[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1) for t in (left, right))
+        short = min(a.shape[1], b.shape[1])
+        a, b = (np.bitwise_or.reduce(m.reshape(len(at), -1, short), axis=1) for m in (a, b))
+        out[at] = np.bitwise_count(a ^ b).sum(axis=1)
+    return out
 
 
 def possible(pairs: DataFrame, signed: DataFrame, share: float) -> DataFrame:
@@ -215,8 +229,7 @@ def possible(pairs: DataFrame, signed: DataFrame, share: float) -> DataFrame:
     def bound(batches):
         for x in batches:
             na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
-            ba, bb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("ba", "bb"))
-            apart = np.bitwise_count(ba ^ bb).sum(axis=1)
+            apart = bits_apart(x.column("ba").to_pylist(), x.column("bb").to_pylist())
             ok = pa.array(apart <= (1 - share) / (1 + share) * (na + nb) + 1e-9)
             yield pa.RecordBatch.from_arrays([x.column("a").filter(ok), x.column("b").filter(ok)], ["a", "b"])
 
@@ -225,7 +238,7 @@ def possible(pairs: DataFrame, signed: DataFrame, share: float) -> DataFrame:
     return two.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(bound, "a long, b long")
 
 
-def near_duplicate_groups(df: DataFrame, key: str, ordinal: str, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
     """``key, group``: every key whose text equals or is similar to another key's, with its group (an id that only means
     equality), directly or through others. A key's text is its fields' bare texts joined in order; a key with several rows
     has all their texts. Null and empty texts match nothing; texts of fewer than ``k`` letters have no sequences and so no
@@ -241,7 +254,7 @@ def near_duplicate_groups(df: DataFrame, key: str, ordinal: str, fields: list[st
 
     keyed = df.filter(F.col(key).isNotNull()).select(*fields, F.col(key).cast("string"))
     all_texts = keyed.mapInArrow(id_texts, "d long, key string, text string")
-    pairs = C.checkpoint(candidate_pairs(df.filter(F.col(key).isNotNull()), ordinal, fields))
+    pairs = C.checkpoint(candidate_pairs(df.filter(F.col(key).isNotNull()), fields, k, share))
     texts = all_texts.select("d", "text").dropDuplicates(["d"])  # one digest, one text: whichever row gives it
 
     def sign(batches):
@@ -249,7 +262,7 @@ def near_duplicate_groups(df: DataFrame, key: str, ordinal: str, fields: list[st
             for _, c, starts in joined_bare(b, list(range(len(fields)))):
                 n, words = signatures(c, starts, k)
                 ok = pa.array(n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(text_ids(c, starts)).filter(ok), pa.array(n.astype(np.int32)).filter(ok), pa.array([w.tobytes() for w in words], pa.binary()).filter(ok)], ["d", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(text_ids(c, starts)).filter(ok), pa.array(n.astype(np.int32)).filter(ok), pa.array(words, pa.binary()).filter(ok)], ["d", "n", "bits"])
 
     signed = keyed.mapInArrow(sign, "d long, n int, bits binary").dropDuplicates(["d"])
     left = C.checkpoint(possible(pairs, signed, share))
@@ -263,11 +276,11 @@ def near_duplicate_groups(df: DataFrame, key: str, ordinal: str, fields: list[st
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(C.table(spark, sf_dir, "aihot_24h"), "id", "api_index", ["title", "summary", "originalTitle"]).select(F.col("key").alias("id"), F.col("group").alias("group_id"))
+    return near_duplicate_groups(C.table(spark, sf_dir, "aihot_24h"), "id", ["title", "summary", "originalTitle"]).select(F.col("key").alias("id"), F.col("group").alias("group_id"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = C.checkpoint(near_duplicate_groups(C.table(spark, sf_dir, "aihot_24h"), "id", "api_index", ["title", "summary", "originalTitle"]))
+    g = C.checkpoint(near_duplicate_groups(C.table(spark, sf_dir, "aihot_24h"), "id", ["title", "summary", "originalTitle"]))
     a, b = g.alias("a"), g.alias("b")
     return a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("id_lo"), F.col("b.key").alias("id_hi"))
 
