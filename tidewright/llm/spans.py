@@ -95,7 +95,7 @@ def shared_units(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFr
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     """``doc, at, digest, around``: shared units with up to ``length - k`` characters before and after, the place of the unit in
-    ``around`` as ``lead``. Occurrences that look the same in the same document stand once."""
+    ``around`` as ``lead``."""
     k, _ = _sizes(length)
     side = length - k
     units = shared_units(docs, doc_id, text, length)
@@ -119,7 +119,7 @@ def span_pairs(docs: DataFrame, doc_id: str, text: str, length: int = 200, found
     """``doc_lo, doc_hi``: pairs of documents that share a span of at least ``length`` code points, exactly as stored. Null
     and shorter texts share nothing; a span repeated within one document alone is no pair; rows repeating an id are one document."""
     k, _ = _sizes(length)
-    found = occurrences(docs, doc_id, text, length) if found is None else found
+    found = (occurrences(docs, doc_id, text, length) if found is None else found).dropDuplicates(["doc", "digest", "lead", "around"])
     count = found.groupBy("digest").agg(F.count("*").alias("n"))
     sized = found.join(count, "digest")
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -145,7 +145,7 @@ def span_pairs(docs: DataFrame, doc_id: str, text: str, length: int = 200, found
 
     few = sized.filter(F.col("n") <= FEW).groupBy(F.pmod(F.xxhash64("digest"), F.lit(4 * buckets)).alias("part")).applyInArrow(compare, "doc_lo long, doc_hi long")
 
-    spans = _spans(sized.filter(F.col("n") > FEW), length)
+    spans = _spans(sized.filter(F.col("n") > FEW), length).select("doc", "span", "earlier").distinct()
     a, b = spans.alias("a"), spans.alias("b")
     leftmost = F.col("a.earlier").isNull() | F.col("b.earlier").isNull() | (F.col("a.earlier") != F.col("b.earlier"))
     many = a.join(b, (F.col("a.span") == F.col("b.span")) & (F.col("a.doc") < F.col("b.doc")) & leftmost).select(F.col("a.doc").alias("doc_lo"), F.col("b.doc").alias("doc_hi"))
