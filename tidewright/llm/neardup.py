@@ -72,7 +72,7 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, e: np.ndarray, f: np.ndarray, weig
     fine = e >= 32768
     small, large = np.minimum(e & 32767, f & 32767), np.maximum(e & 32767, f & 32767)
     ok = (small >= share * large - 1e-9) & (~fine | (small <= SHORT))
-    need = np.where(fine, np.clip(small // 20, 1, 2), np.clip(-(-small.astype(np.int64) // 72), 1, 2))[ok].astype(np.int32)
+    need = np.where(fine, np.clip(small // 15, 1, 4), np.clip(-(-small.astype(np.int64) // 72), 1, 3))[ok].astype(np.int32)
     return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)[ok]), "b": pa.array(np.maximum(a, b)[ok]), "matches": pa.array(np.full(int(ok.sum()), weight, np.int32)), "need": pa.array(need)})
 
 
@@ -143,7 +143,7 @@ def candidate_pairs(df: DataFrame, fields: list[str], k: int = 3, share: float =
         for at, s in zip(cut[:-1][sizes > D].tolist(), sizes[sizes > D].tolist()):
             i, j = (x.ravel() for x in np.meshgrid(np.arange(at, at + D), np.arange(at, at + s), indexing="ij"))
             i, j = i[i < j], j[i < j]
-            got.append(_pair_batch(owners[i], owners[j], extra[i], extra[j], 2, share))
+            got.append(_pair_batch(owners[i], owners[j], extra[i], extra[j], 1, share))
         return pa.Table.from_batches(got) if got else _empty_pairs()
 
     twos = frequent.groupBy(F.pmod(F.xxhash64("text"), F.lit(4 * buckets)).alias("part")).applyInArrow(combine, P.SCHEMA)
