@@ -82,7 +82,7 @@ def a08(spark, d):
 
 @query(
     "a09_conditional_ratios",
-    "SELECT project_id, round(count_if(success)::DOUBLE / count(*), 9) AS succeeded, round(count_if(scene_id IS NULL)::DOUBLE / count(*), 9) AS without_scene, round(count_if(depth > 0)::DOUBLE / count(*), 9) AS nested FROM event_log GROUP BY 1",
+    "SELECT project_id, round((count(*) FILTER (success))::DOUBLE / count(*), 9) AS succeeded, round((count(*) FILTER (scene_id IS NULL))::DOUBLE / count(*), 9) AS without_scene, round((count(*) FILTER (depth > 0))::DOUBLE / count(*), 9) AS nested FROM event_log GROUP BY 1",
 )
 def a09(spark, d):
     ratio = lambda c: F.round(F.count_if(c) / F.count("*"), 9)

@@ -46,7 +46,7 @@ _ORDER = "CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' T
 @query(
     "w09_regressions",
     f"""WITH x AS (SELECT user_id, {_ORDER} AS r, event_id FROM events WHERE {_ORDER} IS NOT NULL), y AS (SELECT user_id, r, lag(r) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM x)
-  SELECT user_id, count_if(r < b) AS regressions FROM y GROUP BY 1""",
+  SELECT user_id, count(*) FILTER (r < b) AS regressions FROM y GROUP BY 1""",
 )
 def w09(spark, d):
     return S.regressions(table(spark, d, "events"), "user_id", "event_id", F.expr(_ORDER))
