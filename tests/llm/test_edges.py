@@ -199,6 +199,34 @@ def test_groups(spark, few, monkeypatch):
     assert neardup.near_duplicate_groups(df.filter("id = 'none'"), "id", ["a", "b", "c"]).count() == 0
 
 
+def groups_of(df):
+    by = {}
+    for r in neardup.near_duplicate_groups(df, "id", ["a", "b", "c"]).collect():
+        by.setdefault(r.group, set()).add(r.key)
+    return sorted((x, y) for g in by.values() for x in g for y in g if x < y)
+
+
+def spoiled(text, words, rnd):
+    """The text with some of its words replaced."""
+    out = text.split()
+    for i in words:
+        out[i] = "".join(rnd.choices("qrstuv", k=len(out[i])))
+    return " ".join(out)
+
+
+def test_links_of_texts_with_a_widespread_stretch(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    common = " ".join(word() for _ in range(14))
+    rows = []
+    for i in range(150):  # every text has the stretch; besides, two of a pair share words but no two neighbouring ones
+        own = " ".join(word() for _ in range(12))
+        rows += [(f"k{i}a", common, own, None), (f"k{i}b", common, spoiled(own, range(1, 12, 3), rnd), None)]
+    want = B.similar_ids(rows)
+    assert len(want) > 100
+    assert groups_of(spark.createDataFrame(rows, "id string, a string, b string, c string")) == want
+
+
 def test_exact_similarity():
     a, b = ["abcdef", "abc", "", "abcd"], ["abcdeg", "xyz", "", "abcd"]
     assert neardup.similar(a, b, 3, 0.6).tolist() == [True, False, False, True]

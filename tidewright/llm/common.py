@@ -24,6 +24,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def folder(spark: SparkSession) -> str:
+    """The URI of ``spark.checkpoint.dir``, or of a folder of our own where that is unset, for files that tasks share."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    uri = spark.sparkContext.getCheckpointDir()
+    return uri if "://" in uri else "file://" + uri.removeprefix("file:")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,27 +1,28 @@
-"""Problem 4: groups of texts that share most of their content, by adaptive multi-match prefixes.
+"""Problem 4: groups of texts that share most of their content, by prefixes of their sequences.
 
-Tokens for the search are *anchors*: hashes of 14 letters that are least among 11 neighbours, so that any equal stretch of 24
-letters gives both texts the same anchor; short texts and their possible partners also get finer ones. A token's posting list
-estimates what its candidates cost:
+A token is one of a text's k-letter sequences; all texts order them alike, rare ones first (by counts of a sample of rows, which
+decide the cost and never the result). Texts with the asked share have a token in
+common among each one's first ``n - ceil(share n) + 1``, so the posting lists of these prefixes hold every pair:
 
-* tokens with lists of up to ``D`` texts are matched one by one. A pair needs one shared token where a text has few, two or
-  three where texts have more: the longer the prefix, the more matches are asked for before a pair is verified;
-* tokens with longer lists are matched in twos: a text's frequent tokens are combined, and lists are made of the combinations;
-* a combination that is still frequent (a phrase, or a large group of real copies) has every text paired with ``D`` pivots, the
-  least by digest; like other pairs these need more than one such meeting where texts have many tokens.
+* all pairs of a list are looked at, however long it is; a text with more than ``D``
+  partners has them compared in place. Only those are left out whose
+  sizes and whose token's places in them show that it can't be the first of enough shared ones;
+* of each pair, sizes and bitmaps are compared where the list is: the bits in which two texts' bitmaps differ are no more than the
+  sequences that differ, so a pair is given up only if it can't be similar. Sizes and bitmaps lie in the shared folder, one file a
+  batch, and postings say the batch and the place in it.
 
-Pairs left are first bounded by bitmaps: the bits in which two texts' sequence sets differ are no more than the sequences
-that differ, so a pair is given up only if it can't be similar. The rest is verified exactly: the sets of 3-letter sequences of
-both texts, no hashing. Links become groups as connected
+Pairs left are verified exactly: the sets of 3-letter sequences of both texts, no hashing. Links become groups as connected
 components. Texts equal in bare form are one node from the beginning, however often they stand.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +31,12 @@ from . import common as C
 from . import postings as P
 from .graph import components
 
-D = 30
-COARSE, FINE = (14, 11), (8, 5)
-SHORT = 60
-_PAIRS = "a long, b long, matches int, need int"
+#: Partners of a text in a list above which they are compared in place and not gathered; pairs gathered at once.
+D, PAIRS = 1500, 100_000
+#: Rows whose sequences are counted for the order of tokens; 16 bits of count go before 48 of hash.
+SAMPLE, COUNTERS = 100_000, 1 << 20
+#: Words of a bitmap, and how many of them are compared first; texts of a file, whose place goes into 15 bits.
+WORDS, FIRST, TEXTS = 6, 4, 32_768
 
 
 def text_ids(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -51,104 +54,163 @@ def joined_bare(batch: pa.RecordBatch, fields: list[int]):
         yield a, *K.codes(["".join(x) for x in zip(*parts)])
 
 
-def _tokens(c: np.ndarray, starts: np.ndarray, ids: np.ndarray, k: int, out: P.Buckets) -> None:
-    """Postings of the texts' tokens; with each goes the text's number of k-letter sequences, and whether the token is fine."""
-    n = np.diff(starts)
-    size = np.bincount(K.distinct(*K.grams(c, starts, k))[0], minlength=len(n)).clip(0, 32767).astype(np.uint16)
-    p, h = K.anchors(c, starts, *COARSE)
-    who, h = K.distinct(K.owner(starts)[p], h)
-    out.add(h, ids[who], size[who])
-    near_short = n <= SHORT / 0.6
-    if near_short.any():
-        p, h = K.anchors(c, starts, *FINE)
-        who, h = K.distinct(K.owner(starts)[p], h)
-        keep = near_short[who]
-        who, h = who[keep], h[keep]
-        out.add(K.mix(h + np.uint64(1)), ids[who], size[who] | np.uint16(32768))
+def _least(n: np.ndarray, share: float) -> np.ndarray:
+    """The least whole number that is this share of n."""
+    return np.ceil(share * n - 1e-9).astype(np.int64)
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, e: np.ndarray, f: np.ndarray, weight: int, share: float) -> pa.RecordBatch:
-    """Pairs whose sizes allow the share, with the matches they need: more the more tokens the smaller text has."""
-    fine = e >= 32768
-    small, large = np.minimum(e & 32767, f & 32767), np.maximum(e & 32767, f & 32767)
-    ok = (small >= share * large - 1e-9) & (~fine | (small <= SHORT))
-    need = np.where(fine, np.clip(small // 15, 1, 4), np.clip(-(-small.astype(np.int64) // 72), 1, 3))[ok].astype(np.int32)
-    return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)[ok]), "b": pa.array(np.maximum(a, b)[ok]), "matches": pa.array(np.full(int(ok.sum()), weight, np.int32)), "need": pa.array(need)})
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _level_pairs(owners, extra, cut, weight, share):
-    """Pairs of a bucket's short lists."""
-    sizes = np.diff(cut)
-    for i, j in P.pairs_of_lists(cut[:-1][sizes <= D], sizes[sizes <= D]):
-        yield _pair_batch(owners[i], owners[j], extra[i], extra[j], weight, share)
+def _token_counts(df: DataFrame, fields: list[str], k: int) -> np.ndarray:
+    """How often sequences stand in a sample of rows, by counter of their hash."""
 
-
-def _empty_pairs() -> pa.Table:
-    return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "matches": pa.array([], pa.int32()), "need": pa.array([], pa.int32())})
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int32)
+        for b in batches:
+            for _, c, starts in joined_bare(b, list(range(len(fields)))):
+                total += np.bincount(_counter(K.grams(c, starts, k)[1]), minlength=COUNTERS).astype(np.int32)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array([C.packed(np.int32, at)], pa.binary()), "n": pa.array([C.packed(np.int32, total[at])], pa.binary())})
+
+    x = df.select(*fields)
+    rows = x.count()
+    if rows > SAMPLE:
+        x = x.sample(SAMPLE / rows, 7)
+    total = np.zeros(COUNTERS, np.int64)
+    for r in x.mapInArrow(count, "at binary, n binary").toLocalIterator():
+        total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int32)
+    return total.clip(0, 65535).astype(np.uint16)
+
+
+def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, counts: np.ndarray):
+    """Tokens of the texts' prefixes as (text, token, place), and each text's size and bitmap."""
+    who, h = K.grams(c, starts, k)
+    who, t = K.distinct(who, (counts[_counter(h)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+    n = np.bincount(who, minlength=len(starts) - 1)
+    t = K.mix(t)
+    bit = np.zeros((len(n), 64 * WORDS), np.uint8)
+    bit[who, (K.mix(t + np.uint64(7)) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    place = np.arange(len(t)) - np.r_[0, np.cumsum(n)][who]
+    keep = place <= (n - _least(n, share))[who]
+    return who[keep], t[keep], place[keep].clip(0, 65535).astype(np.uint16), n, np.packbits(bit, axis=1).view(np.uint64)
+
+
+def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.ndarray, bits: np.ndarray, share: float):
+    """Pairs (i, j) of texts that meet in a list and that sizes, places and bitmaps don't rule out. Texts are numbered by size.
+
+    Texts of sizes x and y need share / (1 + share) (x + y) shared sequences, and have x - place at most if the list's is the first.
+    So each has a greatest size of the other."""
+    apart, both = (1 - share) / (1 + share), share / (1 + share)
+    size = n[owner]
+    most = ((1 - both) * size - place) / both + 1e-6
+    words = [np.ascontiguousarray(bits[owner, w]) for w in range(WORDS)]
+    bound = apart * size + 0.5
+
+    # a text's partners stand after it in the list, up to the greatest size it allows
+    lists = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    step = int(n.max()) + 2
+    end = np.searchsorted(lists * step + size, lists * step + np.clip(np.floor(most).astype(np.int64), 0, step - 1), "right")
+    count = np.maximum(end - np.arange(len(owner)) - 1, 0)
+
+    def rest(i, j, far):
+        """The pairs of list entries that every word of the bitmaps and the places leave, as texts."""
+        ok = size[i] <= most[j]
+        i, j, far = i[ok], j[ok], far[ok].astype(np.int16)
+        for w in words[FIRST:]:
+            far += np.bitwise_count(w[j] ^ w[i])
+        ok = far <= apart * (size[i] + size[j]) + 1e-9
+        return owner[i[ok]], owner[j[ok]]
+
+    long = np.flatnonzero(count > D)
+    for i in long.tolist():
+        j = slice(i + 1, i + 1 + int(count[i]))
+        far = np.bitwise_count(words[0][j] ^ words[0][i])
+        for w in words[1:FIRST]:
+            far += np.bitwise_count(w[j] ^ w[i])  # uint8: 256 bits look like none and go on
+        near = np.flatnonzero(far <= bound[j] + bound[i])
+        yield rest(np.full(len(near), i), i + 1 + near, far[near])
+    count[long] = 0
+    before = np.r_[0, np.cumsum(count)]
+    a = 0
+    while a < len(owner):
+        z = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, "right")) - 1)
+        c = count[a:z]
+        j = np.arange(before[a], before[z]) + np.repeat(np.arange(a, z) + 1 - before[a:z], c)
+        far = np.zeros(len(j), np.uint8)
+        for w in words[:FIRST]:
+            far += np.bitwise_count(w[j] ^ np.repeat(w[a:z], c))
+        near = np.flatnonzero(far <= bound[j] + np.repeat(bound[a:z], c))
+        yield rest(np.repeat(np.arange(a, z), c)[near], j[near], far[near])
+        a = z
 
 
 def candidate_pairs(df: DataFrame, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
-    """``a, b``: digests of distinct texts that shared enough tokens to be worth verifying."""
-    buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """``a, b``: digests of distinct texts; every pair with the share is among them, and few others."""
+    spark = df.sparkSession
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = spark.sparkContext.broadcast(_token_counts(df, fields, k))
+    folder = f"{C.folder(spark)}/neardup-{uuid.uuid4().hex}"
+    files = lambda: pafs.FileSystem.from_uri(folder)
+    fs, path = files()
+    fs.create_dir(path)
 
     def emit(batches):
+        fs, path = files()
         for b in batches:
-            out = P.Buckets(buckets)
-            for _, c, starts in joined_bare(b, list(range(len(fields)))):
-                ids = text_ids(c, starts)
-                first = np.zeros(len(ids), bool)
-                first[np.unique(ids, return_index=True)[1]] = True  # copies within a slice once
-                keep = np.flatnonzero(first & (np.diff(starts) > 0))
-                if len(keep):
-                    texts = K.as_text(c, starts)
-                    _tokens(*K.codes([texts[i] for i in keep]), ids[keep], k, out)
-            yield from out.rows()
-
-    def single(t: pa.Table) -> pa.Table:
-        keys, owners, extra, cut = P.unpack(t, np.int64, np.uint16)
-        got = list(_level_pairs(owners, extra, cut, 1, share))
-        pairs = pa.Table.from_batches(got) if got else _empty_pairs()
-        sizes = np.diff(cut)
-        long = np.repeat(sizes > D, sizes)
-        n = int(long.sum())  # frequent tokens go on as (token, text) with matches 0
-        salt = t["bucket"][0].as_py()
-        token = K.mix(keys[long].astype(np.uint64) + np.uint64(salt << 32)).view(np.int64)
-        rest = pa.table({"a": pa.array(owners[long]), "b": pa.array(token), "matches": pa.array(np.zeros(n, np.int32)), "need": pa.array(extra[long].astype(np.int32))})
-        return pa.concat_tables([pairs, rest])
-
-    level1 = C.checkpoint(df.select(*fields).mapInArrow(emit, P.SCHEMA).groupBy("bucket").applyInArrow(single, _PAIRS).groupBy("a", "b", (F.col("matches") == 0).alias("frequent")).agg(F.sum("matches").cast("int").alias("matches"), F.min("need").cast("int").alias("need")).filter("frequent or matches >= need"))
-    frequent = level1.filter("frequent").select(F.col("a").alias("text"), F.col("b").alias("token"), "need")
-
-    def combine(t: pa.Table) -> pa.Table:
-        """Twos of each text's frequent tokens, as packed postings by bucket."""
-        text, token, need = (t[c].to_numpy() for c in ("text", "token", "need"))
-        order = np.lexsort((token, text))
-        text, token, need = text[order], token[order], need[order]
-        out = P.Buckets(buckets)
-        j = 1
-        while j < len(text):
-            same = np.flatnonzero((text[j:] == text[:-j]) & ((need[j:] >= 32768) == (need[:-j] >= 32768)))
-            if not len(same):
-                break
-            key = K.mix(K.mix(token[same].view(np.uint64)) * np.uint64(3) + token[same + j].view(np.uint64))
-            out.add(key, text[same], need[same].astype(np.uint16))
-            j += 1
-        got = list(out.rows())
-        return pa.Table.from_batches(got) if got else pa.table({"bucket": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "owners": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
-
-    def double(t: pa.Table) -> pa.Table:
-        keys, owners, extra, cut = P.unpack(t, np.int64, np.uint16)
-        got = list(_level_pairs(owners, extra, cut, 2, share))
-        sizes = np.diff(cut)
-        for at, s in zip(cut[:-1][sizes > D].tolist(), sizes[sizes > D].tolist()):
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(at, at + D), np.arange(at, at + s), indexing="ij"))
-            i, j = i[i < j], j[i < j]
-            got.append(_pair_batch(owners[i], owners[j], extra[i], extra[j], 1, share))
-        return pa.Table.from_batches(got) if got else _empty_pairs()
-
-    twos = frequent.groupBy(F.pmod(F.xxhash64("text"), F.lit(4 * buckets)).alias("part")).applyInArrow(combine, P.SCHEMA)
-    level2 = twos.groupBy("bucket").applyInArrow(double, _PAIRS).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("need").alias("need")).filter("matches >= need").select("a", "b")
-    return level1.filter("not frequent").select("a", "b").unionByName(level2).distinct()
+            for at in range(0, b.num_rows, TEXTS):
+                out, sheets, have = P.Buckets(buckets), [], 0
+                for _, c, starts in joined_bare(b.slice(at, TEXTS), list(range(len(fields)))):
+                    ids = text_ids(c, starts)
+                    first = np.zeros(len(ids), bool)
+                    first[np.unique(ids, return_index=True)[1]] = True  # copies within a slice once
+                    who, t, place, n, bits = _tokens(c, starts, k, share, counts.value)
+                    who, t, place = (x[first[who]] for x in (who, t, place))
+                    out.add(t, (who + have).astype(np.uint16), place)
+                    sheets.append(np.column_stack([ids.view(np.uint64), n.astype(np.uint64), bits]))
+                    have += len(ids)
+                if have:
+                    name = uuid.uuid4().hex
+                    with fs.open_output_stream(f"{path}/{name}") as f:
+                        f.write(np.concatenate(sheets).tobytes())
+                    for rows in out.rows():
+                        yield rows.append_column("name", pa.array([name] * rows.num_rows))
+
+    def meet(t: pa.Table) -> pa.Table:
+        fs, path = files()
+        keys, owners, places, sheets, have = [], [], [], [], 0
+        for name, ks, os, ps in zip(*(t[c].to_pylist() for c in ("name", "keys", "owners", "extra"))):
+            with fs.open_input_file(f"{path}/{name}") as f:
+                sheet = np.frombuffer(f.read(), np.uint64).reshape(-1, 2 + WORDS)
+            used, at = np.unique(np.frombuffer(os, np.uint16), return_inverse=True)
+            keys.append(np.frombuffer(ks, np.uint32)), places.append(np.frombuffer(ps, np.uint16)), owners.append(at + have), sheets.append(sheet[used])
+            have += len(used)
+        sheet = np.concatenate(sheets)
+        order = np.lexsort((sheet[:, 0], sheet[:, 1]))
+        new = np.r_[True, sheet[order[1:], 0] != sheet[order[:-1], 0]]
+        number = np.empty(have, np.uint64)
+        number[order] = np.cumsum(new) - 1  # copies of other batches are one text
+        sheet = sheet[order[new]]
+        key, owner, place = np.concatenate(keys), number[np.concatenate(owners)].astype(np.int64), np.concatenate(places)
+        order = np.lexsort((place, (key.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64)))
+        key, owner, place = key[order], owner[order], place[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]  # of a text's tokens that look alike the first
+        key, owner, place = key[new], owner[new], place[new]
+        cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        found, waiting, m = np.zeros(0, np.int64), [], len(sheet)
+        for i, j in _list_pairs(owner, place, cut, sheet[:, 1].astype(np.int64), sheet[:, 2:], share):
+            waiting.append(i * m + j)
+            if len(waiting) >= 4096:
+                found, waiting = K.sorted_set(np.concatenate([found, *waiting])), []
+        found = K.sorted_set(np.concatenate([found, *waiting]))
+        ids = np.ascontiguousarray(sheet[:, 0]).view(np.int64)
+        a, b = ids[found // m], ids[found % m]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    pairs = C.checkpoint(df.select(*fields).mapInArrow(emit, P.SCHEMA + ", name string").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
+    fs.delete_dir(path)
+    return pairs
 
 
 def similar(left: list[str], right: list[str], k: int, share: float) -> np.ndarray:
@@ -223,21 +285,6 @@ def bits_apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
-def possible(pairs: DataFrame, signed: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) that their texts' bitmaps (``d, n, bits``) don't rule out."""
-
-    def bound(batches):
-        for x in batches:
-            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
-            apart = bits_apart(x.column("ba").to_pylist(), x.column("bb").to_pylist())
-            ok = pa.array(apart <= (1 - share) / (1 + share) * (na + nb) + 1e-9)
-            yield pa.RecordBatch.from_arrays([x.column("a").filter(ok), x.column("b").filter(ok)], ["a", "b"])
-
-    one = pairs.join(signed.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-    two = one.join(signed.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-    return two.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(bound, "a long, b long")
-
-
 def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
     """``key, group``: every key whose text equals or is similar to another key's, with its group (an id that only means
     equality), directly or through others. A key's text is its fields' bare texts joined in order; a key with several rows
@@ -254,19 +301,10 @@ def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3
 
     keyed = df.filter(F.col(key).isNotNull()).select(*fields, F.col(key).cast("string"))
     all_texts = keyed.mapInArrow(id_texts, "d long, key string, text string")
-    pairs = C.checkpoint(candidate_pairs(df.filter(F.col(key).isNotNull()), fields, k, share))
+    pairs = candidate_pairs(df.filter(F.col(key).isNotNull()), fields, k, share)
     texts = all_texts.select("d", "text").dropDuplicates(["d"])  # one digest, one text: whichever row gives it
 
-    def sign(batches):
-        for b in batches:
-            for _, c, starts in joined_bare(b, list(range(len(fields)))):
-                n, words = signatures(c, starts, k)
-                ok = pa.array(n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(text_ids(c, starts)).filter(ok), pa.array(n.astype(np.int32)).filter(ok), pa.array(words, pa.binary()).filter(ok)], ["d", "n", "bits"])
-
-    signed = keyed.mapInArrow(sign, "d long, n int, bits binary").dropDuplicates(["d"])
-    left = C.checkpoint(possible(pairs, signed, share))
-    links = verified(left, texts, k, share).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = verified(pairs, texts, k, share).select(F.col("a").alias("u"), F.col("b").alias("v"))
     owned = C.checkpoint(all_texts.select("d", "key").distinct())
     same_key = owned.groupBy("key").agg(F.min("d").alias("u"), F.max("d").alias("z")).filter("u <> z").select("key", "u").join(owned, "key").select("u", F.col("d").alias("v"))
     roots = components(links.unionByName(same_key))
