@@ -227,6 +227,19 @@ def test_links_of_texts_with_a_widespread_stretch(spark):
     assert groups_of(spark.createDataFrame(rows, "id string, a string, b string, c string")) == want
 
 
+def test_links_of_texts_without_a_long_shared_stretch(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(40):  # a letter in 14 differs, so 24 in a row never agree
+        n = 90 + 8 * i
+        text = rnd.choices("abcdefghijklmnop", k=n)
+        other = ["z" if j % 14 == 7 else x for j, x in enumerate(text)]
+        rows += [(f"k{i}a", "".join(text), None, None), (f"k{i}b", "".join(other), None, None)]
+    want = B.similar_ids(rows)
+    assert len(want) == 40
+    assert groups_of(spark.createDataFrame(rows, "id string, a string, b string, c string")) == want
+
+
 def test_exact_similarity():
     a, b = ["abcdef", "abc", "", "abcd"], ["abcdeg", "xyz", "", "abcd"]
     assert neardup.similar(a, b, 3, 0.6).tolist() == [True, False, False, True]
