@@ -122,7 +122,8 @@ def w16(spark, d):
 )
 def w17(spark, d):
     s = table(spark, d, "events").select("user_id", (F.col("event_id") * 10.0).alias("a"), (F.col("event_id") * 10.0 + 4).alias("z"))
-    return S.complement(s, "user_id", "a", "z", F.lit(2000000.0), 0.5, 0.01, 0.05)
+    total = F.greatest(F.lit(2000000.0), F.max("z").over(W.partitionBy("user_id")))
+    return S.complement(s, "user_id", "a", "z", total, 0.5, 0.01, 0.05)
 
 
 @query("w18_latest_state", "SELECT project_id, scene_id, arg_max(event, event_no) = 'start' AS generating, max(event_no) AS at FROM (SELECT DISTINCT project_id, scene_id, event, event_no FROM event_log WHERE scene_id IS NOT NULL AND (depth IS NULL OR depth = 0)) GROUP BY 1, 2")
