@@ -17,3 +17,8 @@ def run(spark, tmp_path):
 def test_silences_after_the_usual_total(run):
     got = run("w17_complement_of_silences", "events", [(1, 10), (1, 300000), (1, 300001)], "user_id long, event_id long")
     assert got == [(1, 0.0, 100.5), (1, 103.5, 3000000.5), (1, 3000003.5, 3000010.5), (1, 3000013.5, 3000014.0)]
+
+
+def test_times_of_100_hours_and_more(run):
+    got = run("d01_subtitle_times", "events", [(1, 2.5), (400000, 0.25), (7, None)], "event_id long, value double")
+    assert got == [(1, "00:00:03,500"), (400000, "111:06:40,250")]

@@ -194,7 +194,7 @@ def n29(spark, d):
 @query("d01_subtitle_times", "WITH s AS (SELECT event_id, (round(value * 100))::BIGINT * 10 + event_id * 1000 AS ms FROM events) SELECT event_id, lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS stamp FROM s WHERE ms < 360000000")
 def d01(spark, d):
     e = table(spark, d, "events").select("event_id", ((F.round(F.col("value") * 100).cast("long") * 10 + F.col("event_id") * 1000) / 1000).alias("s"))
-    return e.filter("s < 360000").select("event_id", D.subtitle_time(F.col("s")).alias("stamp"))
+    return e.filter("s is not null").select("event_id", D.subtitle_time(F.col("s")).alias("stamp"))
 
 
 @query("d02_chapter_times", "SELECT DISTINCT n_chars, CASE WHEN n_chars >= 3600 THEN (n_chars // 3600) || ':' || lpad((n_chars // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((n_chars % 60)::VARCHAR, 2, '0') ELSE (n_chars // 60) || ':' || lpad((n_chars % 60)::VARCHAR, 2, '0') END AS chapter FROM documents")
