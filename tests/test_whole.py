@@ -22,3 +22,8 @@ def test_silences_after_the_usual_total(run):
 def test_times_of_100_hours_and_more(run):
     got = run("d01_subtitle_times", "events", [(1, 2.5), (400000, 0.25), (7, None)], "event_id long, value double")
     assert got == [(1, "00:00:03,500"), (400000, "111:06:40,250")]
+
+
+def test_units_of_titles_with_grouped_digits(run):
+    got = run("n04_visible_units", "aihot_24h", [(1, "1,000 cats"), (2, "two cats"), (3, None)], "api_index long, title string")
+    assert got == [(1, 8), (2, 7)]

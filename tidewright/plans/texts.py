@@ -38,7 +38,7 @@ def n03(spark, d):
 
 @query("n04_visible_units", rf"SELECT api_index, length(regexp_replace(title, '{_WS}+', '', 'g')) AS units FROM aihot_24h WHERE title IS NOT NULL AND NOT regexp_matches(title, '[0-9][,，][0-9]')")
 def n04(spark, d):
-    return _feed(spark, d).filter("title is not null and not title rlike '[0-9][,，][0-9]'").select("api_index", X.visible_units(F.col("title")).cast("long").alias("units"))
+    return _feed(spark, d).filter("title is not null").select("api_index", X.visible_units(F.col("title")).cast("long").alias("units"))
 
 
 @query(
