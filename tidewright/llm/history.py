@@ -233,8 +233,8 @@ def find_repeats(df: DataFrame, ordinal: str, id_: str, title: str, address, acc
     """``first_index, dup_index`` of every row that repeats an earlier accepted one by id, page or title.
 
     ``ordinal`` is unique and gives the order of arrival. Null ids, addresses without a host and titles with fewer than two
-    letters match nothing. With ``accepted_until``, rows up to that ordinal are history known to be accepted and aren't
-    compared with each other: only later rows look up."""
+    letters match nothing. With ``accepted_until``, rows up to that ordinal are history known to be accepted and only
+    later rows are given; titles of the history are still compared with each other, so the cost follows the whole history."""
     rows = C.checkpoint(read_rows(df, ordinal, id_, title, address))
     classes = rows.filter("bare is not null").groupBy("digits", "bare").agg(F.min("r").alias("cls"))
     key = lambda kind, *c: F.xxhash64(F.lit(kind), *(F.col(x) for x in c))
