@@ -250,8 +250,8 @@ def test_bitmaps_never_rule_out_a_link():
     texts = ["".join(rnd.choices("abcde", k=n)) for n in (10, 60, 200, 500, 3000)]
     pairs = [(t, t[: int(len(t) * f)] + "z" * int(len(t) * (1 - f) / 2)) for t in texts for f in (0.7, 0.8, 0.95)]
     c, s = codes.codes([x for p in pairs for x in p])
-    n, bits = neardup.signatures(c, s, 3)
-    apart = neardup.bits_apart(bits[::2], bits[1::2])
+    *_, n, bits = neardup._tokens(c, s, 3, 0.6, np.zeros(neardup.COUNTERS, np.uint8))
+    apart = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1)
     for (a, b), d, x, y in zip(pairs, apart, n[::2], n[1::2]):
         ga, gb = B.grams(a, 3), B.grams(b, 3)
         assert d <= len(ga ^ gb) and (x, y) == (len(ga), len(gb))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,22 +17,47 @@ from pyspark.sql.functions import arrow_udf
 SLICE_CHARS = 400_000
 
 
+def _set_folder(spark: SparkSession) -> None:
+    """Take ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks run on this machine."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(there or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``."""
+    _set_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def folder(spark: SparkSession) -> str:
-    """The URI of ``spark.checkpoint.dir``, or of a folder of our own where that is unset, for files that tasks share."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """The URI of ``spark.checkpoint.dir``, for files that tasks share."""
+    _set_folder(spark)
     uri = spark.sparkContext.getCheckpointDir()
     return uri if "://" in uri else "file://" + uri.removeprefix("file:")
 
 
+class Tables:
+    """Tables written to the shared folder for one computation, and removed when it is over."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, f"{folder(spark)}/tables-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, partition: str | None = None) -> DataFrame:
+        """The rows of ``df``, from now on read from the folder."""
+        there = f"{self.path}/{uuid.uuid4().hex}"
+        w = df.write.option("compression", "zstd")
+        (w.partitionBy(partition) if partition else w).parquet(there)
+        return self.spark.read.schema(df.schema).parquet(there)
+
+    def remove(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

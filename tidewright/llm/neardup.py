@@ -22,6 +22,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +34,18 @@ from .graph import components
 
 #: Partners of a text in a list above which they are compared in place and not gathered; pairs gathered at once.
 D, PAIRS = 1500, 100_000
-#: Rows whose sequences are counted for the order of tokens; 16 bits of count go before 48 of hash.
+#: Texts whose sequences are counted for the order of tokens.
 SAMPLE, COUNTERS = 100_000, 1 << 20
+#: Postings of a bucket, on average: what one call has in memory.
+POSTINGS = 1_000_000
 #: Words of a bitmap, and how many of them are compared first; texts of a file, whose place goes into 15 bits.
 WORDS, FIRST, TEXTS = 6, 4, 32_768
 
 
 def text_ids(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit digest of every text."""
+    """128-bit digest of every text, as 16 bytes."""
     raw = c.tobytes()
-    return np.fromiter((int.from_bytes(hashlib.blake2b(raw[4 * a : 4 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())), np.int64, len(starts) - 1)
+    return np.array([hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], "V16")
 
 
 def joined_bare(batch: pa.RecordBatch, fields: list[int]):
@@ -63,35 +66,51 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _token_counts(df: DataFrame, fields: list[str], k: int) -> np.ndarray:
-    """How often sequences stand in a sample of rows, by counter of their hash."""
+def _slices(texts: list[str]):
+    """Ranges of bounded letters and of no more texts than 11 bits number."""
+    for a, b in C.slices(texts):
+        for i in range(a, b, 2048):
+            yield i, min(i + 2048, b)
+
+
+def _token_classes(texts: DataFrame, rows: int, k: int) -> tuple[np.ndarray, float]:
+    """How frequent sequences are in a sample of the texts, as 64 classes on a logarithmic scale by counter of their hash;
+    and the mean number of sequences of a text."""
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int32)
+        total, n = np.zeros(COUNTERS, np.int32), 0
         for b in batches:
-            for _, c, starts in joined_bare(b, list(range(len(fields)))):
-                total += np.bincount(_counter(K.grams(c, starts, k)[1]), minlength=COUNTERS).astype(np.int32)
+            col = b.column(0).to_pylist()
+            for i, j in _slices(col):
+                at = _counter(K.grams(*K.codes(col[i:j]), k)[1])
+                n += len(at)
+                total += np.bincount(at, minlength=COUNTERS).astype(np.int32)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"at": pa.array([C.packed(np.int32, at)], pa.binary()), "n": pa.array([C.packed(np.int32, total[at])], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"at": pa.array([C.packed(np.int32, at)], pa.binary()), "n": pa.array([C.packed(np.int32, total[at])], pa.binary()), "all": pa.array([n], pa.int64())})
 
-    x = df.select(*fields)
-    rows = x.count()
+    x = texts.select("text")
     if rows > SAMPLE:
         x = x.sample(SAMPLE / rows, 7)
-    total = np.zeros(COUNTERS, np.int64)
-    for r in x.mapInArrow(count, "at binary, n binary").toLocalIterator():
+    total, tokens = np.zeros(COUNTERS, np.int64), 0
+    for r in x.mapInArrow(count, "at binary, n binary, all long").toLocalIterator():
         total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int32)
-    return total.clip(0, 65535).astype(np.uint16)
-
-
-def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, counts: np.ndarray):
-    """Tokens of the texts' prefixes as (text, token, place), and each text's size and bitmap."""
-    who, h = K.grams(c, starts, k)
-    who, t = K.distinct(who, (counts[_counter(h)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+        tokens += r["all"]
+    return np.minimum(63, np.log2(total + 1) * 3.5).astype(np.uint8), tokens / max(1, min(rows, SAMPLE))
+
+
+def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, classes: np.ndarray):
+    """Tokens of the texts' prefixes as (text, token, place), and each text's size and bitmap. A token is 6 bits of class
+    and 47 of hash; up to 2,048 texts."""
+    h = K.hashes(c, k)
+    who = K.owner(starts)
+    inside = who[: len(h)] == who[k - 1 :] if len(h) else np.zeros(0, bool)
+    h = h[inside]
+    key = (who[: len(inside)][inside].astype(np.uint64) << np.uint64(53)) | (classes[_counter(h)].astype(np.uint64) << np.uint64(47)) | (h >> np.uint64(17))
+    key = K.sorted_set(key)
+    who, t = (key >> np.uint64(53)).astype(np.int64), K.mix(key & np.uint64((1 << 53) - 1))
     n = np.bincount(who, minlength=len(starts) - 1)
-    t = K.mix(t)
     bit = np.zeros((len(n), 64 * WORDS), np.uint8)
-    bit[who, (K.mix(t + np.uint64(7)) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    bit[who, ((t >> np.uint64(8)) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
     place = np.arange(len(t)) - np.r_[0, np.cumsum(n)][who]
     keep = place <= (n - _least(n, share))[who]
     return who[keep], t[keep], place[keep].clip(0, 65535).astype(np.uint16), n, np.packbits(bit, axis=1).view(np.uint64)
@@ -146,11 +165,13 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
         a = z
 
 
-def candidate_pairs(df: DataFrame, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
-    """``a, b``: digests of distinct texts; every pair with the share is among them, and few others."""
-    spark = df.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = spark.sparkContext.broadcast(_token_counts(df, fields, k))
+def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFrame:
+    """``a, b``: digests of the distinct ``texts(d, text)``; every pair with the share is among them, and few others."""
+    spark = texts.sparkSession
+    rows = texts.count()
+    classes, tokens = _token_classes(texts, rows, k)
+    buckets = max(8, int(rows * tokens * (1 - share) / POSTINGS))
+    counts = spark.sparkContext.broadcast(classes)
     folder = f"{C.folder(spark)}/neardup-{uuid.uuid4().hex}"
     files = lambda: pafs.FileSystem.from_uri(folder)
     fs, path = files()
@@ -160,89 +181,104 @@ def candidate_pairs(df: DataFrame, fields: list[str], k: int = 3, share: float =
         fs, path = files()
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
-                out, sheets, have = P.Buckets(buckets), [], 0
-                for _, c, starts in joined_bare(b.slice(at, TEXTS), list(range(len(fields)))):
-                    ids = text_ids(c, starts)
-                    first = np.zeros(len(ids), bool)
-                    first[np.unique(ids, return_index=True)[1]] = True  # copies within a slice once
-                    who, t, place, n, bits = _tokens(c, starts, k, share, counts.value)
-                    who, t, place = (x[first[who]] for x in (who, t, place))
-                    out.add(t, (who + have).astype(np.uint16), place)
-                    sheets.append(np.column_stack([ids.view(np.uint64), n.astype(np.uint64), bits]))
-                    have += len(ids)
-                if have:
+                part = b.slice(at, TEXTS)
+                out, sheets, col = P.Buckets(buckets), [], part.column(1).to_pylist()
+                ids = np.array(part.column(0).to_pylist(), "V16")
+                for i, j in _slices(col):
+                    who, t, place, n, bits = _tokens(*K.codes(col[i:j]), k, share, counts.value)
+                    out.add(t, (who + i).astype(np.uint16), place)
+                    sheets.append(np.column_stack([ids[i:j].view(np.uint64).reshape(-1, 2), n.astype(np.uint64), bits]))
+                if sheets:
                     name = uuid.uuid4().hex
                     with fs.open_output_stream(f"{path}/{name}") as f:
                         f.write(np.concatenate(sheets).tobytes())
-                    for rows in out.rows():
-                        yield rows.append_column("name", pa.array([name] * rows.num_rows))
+                    for r in out.rows():
+                        yield r.append_column("name", pa.array([name] * r.num_rows))
 
     def meet(t: pa.Table) -> pa.Table:
         fs, path = files()
         keys, owners, places, sheets, have = [], [], [], [], 0
         for name, ks, os, ps in zip(*(t[c].to_pylist() for c in ("name", "keys", "owners", "extra"))):
             with fs.open_input_file(f"{path}/{name}") as f:
-                sheet = np.frombuffer(f.read(), np.uint64).reshape(-1, 2 + WORDS)
-            used, at = np.unique(np.frombuffer(os, np.uint16), return_inverse=True)
-            keys.append(np.frombuffer(ks, np.uint32)), places.append(np.frombuffer(ps, np.uint16)), owners.append(at + have), sheets.append(sheet[used])
-            have += len(used)
+                sheet = np.frombuffer(f.read(), np.uint64).reshape(-1, 3 + WORDS)
+            os = np.frombuffer(os, np.uint16)
+            used = np.zeros(len(sheet), bool)
+            used[os] = True
+            at = np.cumsum(used) - 1
+            keys.append(np.frombuffer(ks, np.uint32)), places.append(np.frombuffer(ps, np.uint16)), owners.append(at[os] + have), sheets.append(sheet[used])
+            have += len(sheets[-1])
         sheet = np.concatenate(sheets)
-        order = np.lexsort((sheet[:, 0], sheet[:, 1]))
-        new = np.r_[True, sheet[order[1:], 0] != sheet[order[:-1], 0]]
+        order = np.argsort(sheet[:, 2], kind="stable")
         number = np.empty(have, np.uint64)
-        number[order] = np.cumsum(new) - 1  # copies of other batches are one text
-        sheet = sheet[order[new]]
-        key, owner, place = np.concatenate(keys), number[np.concatenate(owners)].astype(np.int64), np.concatenate(places)
-        order = np.lexsort((place, (key.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64)))
-        key, owner, place = key[order], owner[order], place[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]  # of a text's tokens that look alike the first
-        key, owner, place = key[new], owner[new], place[new]
+        number[order] = np.arange(have, dtype=np.uint64)  # texts by size
+        sheet = sheet[order]
+        key, owner, place = np.concatenate(keys), number[np.concatenate(owners)], np.concatenate(places)
+        whole = (key.astype(np.uint64) << np.uint64(32)) | owner
+        order = np.argsort(whole, kind="stable")
+        whole, place = whole[order], place[order]
+        first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])  # tokens of a text that look alike are one, at the least place
+        place = np.minimum.reduceat(place, first)
+        key, owner = (whole[first] >> np.uint64(32)).astype(np.uint32), (whole[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
         found, waiting, m = np.zeros(0, np.int64), [], len(sheet)
-        for i, j in _list_pairs(owner, place, cut, sheet[:, 1].astype(np.int64), sheet[:, 2:], share):
+        for i, j in _list_pairs(owner, place, cut, sheet[:, 2].astype(np.int64), sheet[:, 3:], share):
             waiting.append(i * m + j)
             if len(waiting) >= 4096:
                 found, waiting = K.sorted_set(np.concatenate([found, *waiting])), []
         found = K.sorted_set(np.concatenate([found, *waiting]))
-        ids = np.ascontiguousarray(sheet[:, 0]).view(np.int64)
-        a, b = ids[found // m], ids[found % m]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        ids = np.ascontiguousarray(sheet[:, :2])
+        digests = lambda at: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(ids[at].tobytes())]).cast(pa.binary())
+        a, b = digests(found // m), digests(found % m)
+        swap = pa.compute.greater(a, b)
+        return pa.table({"a": pa.compute.if_else(swap, b, a), "b": pa.compute.if_else(swap, a, b)})
 
-    pairs = C.checkpoint(df.select(*fields).mapInArrow(emit, P.SCHEMA + ", name string").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
+    pairs = C.checkpoint(texts.select("d", "text").mapInArrow(emit, P.SCHEMA + ", name string").groupBy("bucket").applyInArrow(meet, "a binary, b binary").distinct())
     fs.delete_dir(path)
     return pairs
 
 
 def similar(left: list[str], right: list[str], k: int, share: float) -> np.ndarray:
     """Exactly: of the k-letter sequences in either text, at least ``share`` are in both."""
-    if not left:
+    pairs = len(left)
+    if not pairs:
         return np.zeros(0, bool)
-    bits = np.uint64(21)
-
-    def sets(texts):
-        c, starts = K.codes(texts)
-        n = len(c) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        g = np.zeros(n, np.uint64)
-        for i in range(k):
-            g = (g << bits) | c[i : i + n].astype(np.uint64)
-        who = K.owner(starts)
-        inside = who[:n] == who[k - 1 :]
-        return K.distinct(who[:n][inside], g[inside])
-
-    wa, ga = sets(left)
-    wb, gb = sets(right)
-    na, nb = (np.bincount(w, minlength=len(left)) for w in (wa, wb))
-    who, g = np.concatenate([wa, wb]), np.concatenate([ga, gb])
-    order = np.lexsort((g, who))
-    who, g = who[order], g[order]
-    twice = np.flatnonzero((who[1:] == who[:-1]) & (g[1:] == g[:-1]))
-    both = np.bincount(who[twice], minlength=len(left))
-    either = na + nb - both
+    c, starts = K.codes([*left, *right])
+    letters = np.unique(c)
+    bits, room = max(1, int(len(letters)).bit_length()), int(pairs).bit_length() + 1
+    n = len(c) - k + 1
+    if n <= 0:
+        return np.zeros(pairs, bool)
+    if k * bits + room > 64:
+        if pairs == 1:
+            return np.array([_similar_sets(left[0], right[0], k, share)])
+        half = pairs // 2
+        return np.r_[similar(left[:half], right[:half], k, share), similar(left[half:], right[half:], k, share)]
+    place = np.zeros(int(letters[-1]) + 1, np.uint64)
+    place[letters] = np.arange(len(letters), dtype=np.uint64)
+    c = place[c]
+    g = np.zeros(n, np.uint64)
+    for i in range(k):
+        g = (g << np.uint64(bits)) | c[i : i + n]
+    who = K.owner(starts)
+    inside = who[:n] == who[k - 1 :]
+    who = who[:n][inside]
+    side = (who >= pairs).astype(np.uint64)
+    pair = (who - pairs * side.astype(np.int64)).astype(np.uint64)
+    key = K.sorted_set((pair << np.uint64(k * bits + 1)) | (g[inside] << np.uint64(1)) | side)
+    pair = (key >> np.uint64(k * bits + 1)).astype(np.int64)
+    all_ = np.bincount(pair, minlength=pairs)
+    twice = np.flatnonzero((key[1:] >> np.uint64(1)) == (key[:-1] >> np.uint64(1)))
+    both = np.bincount(pair[twice], minlength=pairs)
+    either = all_ - both
     return (both >= share * either - 1e-9) & (either > 0)
 
 
+def _similar_sets(a: str, b: str, k: int, share: float) -> bool:
+    x, y = ({s[i : i + k] for i in range(len(s) - k + 1)} for s in (a, b))
+    both = len(x & y)
+    return bool(x or y) and both >= share * (len(x) + len(y) - both) - 1e-9
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFrame:
     """The pairs (a, b) whose texts (``d, text``) are similar."""
 
@@ -255,34 +291,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFr
 
     one = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
-
-
-def signatures(c: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, list[bytes]]:
-    """Number of distinct k-letter sequences of every text, and a bitmap of their hashes: as many bits as a power of two
-    needs to be 1.7 times the sequences, 256 at least."""
-    who, g = K.distinct(*K.grams(c, starts, k))
-    n = np.bincount(who, minlength=len(starts) - 1)
-    words = 2 ** np.ceil(np.log2(np.maximum(256, 1.7 * n) / 64)).astype(np.int64)
-    first = np.r_[0, np.cumsum(words)]
-    flat = np.zeros(first[-1], np.uint64)
-    bit = K.mix(g + np.uint64(7)) & ((words[who] * 64 - 1).astype(np.uint64))
-    np.bitwise_or.at(flat, first[who] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    raw = flat.tobytes()
-    return n, [raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
-
-
-def bits_apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Bits in which bitmaps differ; a longer one is folded to the length of the shorter."""
-    out = np.zeros(len(left), np.int64)
-    la, lb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    for x, y in {*zip(la.tolist(), lb.tolist())}:
-        at = np.flatnonzero((la == x) & (lb == y))
-        a, b = (np.frombuffer(b"".join([t[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1) for t in (left, right))
-        short = min(a.shape[1], b.shape[1])
-        a, b = (np.bitwise_or.reduce(m.reshape(len(at), -1, short), axis=1) for m in (a, b))
-        out[at] = np.bitwise_count(a ^ b).sum(axis=1)
-    return out
+    return two.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
 
 
 def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
@@ -297,20 +306,23 @@ def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3
             for a, c, starts in joined_bare(b, list(range(len(fields)))):
                 n = len(starts) - 1
                 ok = pa.array(np.diff(starts) >= k)
-                yield pa.RecordBatch.from_arrays([pa.array(text_ids(c, starts)).filter(ok), keys.slice(a, n).filter(ok), pa.array(K.as_text(c, starts)).filter(ok)], ["d", "key", "text"])
+                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(text_ids(c, starts).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.filter(ok), keys.slice(a, n).filter(ok), pa.array(K.as_text(c, starts)).filter(ok)], ["d", "key", "text"])
 
+    tables = C.Tables(df.sparkSession)
     keyed = df.filter(F.col(key).isNotNull()).select(*fields, F.col(key).cast("string"))
-    all_texts = keyed.mapInArrow(id_texts, "d long, key string, text string")
-    pairs = candidate_pairs(df.filter(F.col(key).isNotNull()), fields, k, share)
-    texts = all_texts.select("d", "text").dropDuplicates(["d"])  # one digest, one text: whichever row gives it
-
+    rows = tables.put(keyed.mapInArrow(id_texts, "d binary, key string, text string"))  # folded once, read by all that follows
+    texts = tables.put(rows.select("d", "text").dropDuplicates(["d"]))
+    pairs = candidate_pairs(texts, k, share)
     links = verified(pairs, texts, k, share).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    owned = C.checkpoint(all_texts.select("d", "key").distinct())
+    owned = C.checkpoint(rows.select("d", "key").distinct())
     same_key = owned.groupBy("key").agg(F.min("d").alias("u"), F.max("d").alias("z")).filter("u <> z").select("key", "u").join(owned, "key").select("u", F.col("d").alias("v"))
     roots = components(links.unionByName(same_key))
     grouped = owned.join(roots, owned["d"] == roots["node"], "left").select("key", F.coalesce("root", "d").alias("group")).distinct()
     many = grouped.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
-    return grouped.join(many, "group", "left_semi").select("key", "group")
+    result = C.checkpoint(grouped.join(many, "group", "left_semi").select("key", F.hex("group").alias("group")))
+    tables.remove()
+    return result
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +330,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = C.checkpoint(near_duplicate_groups(C.table(spark, sf_dir, "aihot_24h"), "id", ["title", "summary", "originalTitle"]))
+    g = near_duplicate_groups(C.table(spark, sf_dir, "aihot_24h"), "id", ["title", "summary", "originalTitle"])
     a, b = g.alias("a"), g.alias("b")
     return a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("id_lo"), F.col("b.key").alias("id_hi"))
 
