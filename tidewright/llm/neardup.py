@@ -18,11 +18,11 @@ components. Texts equal in bare form are one node from the beginning, however of
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +33,13 @@ from . import postings as P
 from .graph import components
 
 #: Partners of a text in a list above which they are compared in place and not gathered; pairs gathered at once.
-D, PAIRS = 1500, 100_000
+D, PAIRS = 1500, 30_000
 #: Texts whose sequences are counted for the order of tokens.
 SAMPLE, COUNTERS = 100_000, 1 << 20
 #: Postings of a bucket, on average: what one call has in memory.
 POSTINGS = 1_000_000
-#: Words of a bitmap, and how many of them are compared first; texts of a file, whose place goes into 15 bits.
-WORDS, FIRST, TEXTS = 6, 4, 32_768
+#: Words of a bitmap for texts of up to 150 sequences on average (more for longer ones); texts of a file, numbered by 15 bits.
+WORDS, TEXTS = 12, 32_768
 
 
 def text_ids(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def _token_classes(texts: DataFrame, rows: int, k: int) -> tuple[np.ndarray, flo
     return np.minimum(63, np.log2(total + 1) * 3.5).astype(np.uint8), tokens / max(1, min(rows, SAMPLE))
 
 
-def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, classes: np.ndarray):
+def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, classes: np.ndarray, words: int = WORDS):
     """Tokens of the texts' prefixes as (text, token, place), and each text's size and bitmap. A token is 6 bits of class
     and 47 of hash; up to 2,048 texts."""
     h = K.hashes(c, k)
@@ -109,8 +109,8 @@ def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, classes: np
     key = K.sorted_set(key)
     who, t = (key >> np.uint64(53)).astype(np.int64), K.mix(key & np.uint64((1 << 53) - 1))
     n = np.bincount(who, minlength=len(starts) - 1)
-    bit = np.zeros((len(n), 64 * WORDS), np.uint8)
-    bit[who, ((t >> np.uint64(8)) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    bit = np.zeros((len(n), 64 * words), np.uint8)
+    bit[who, ((t >> np.uint64(8)) % np.uint64(64 * words)).astype(np.int64)] = 1
     place = np.arange(len(t)) - np.r_[0, np.cumsum(n)][who]
     keep = place <= (n - _least(n, share))[who]
     return who[keep], t[keep], place[keep].clip(0, 65535).astype(np.uint16), n, np.packbits(bit, axis=1).view(np.uint64)
@@ -120,12 +120,17 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
     """Pairs (i, j) of texts that meet in a list and that sizes, places and bitmaps don't rule out. Texts are numbered by size.
 
     Texts of sizes x and y need share / (1 + share) (x + y) shared sequences, and have x - place at most if the list's is the first.
-    So each has a greatest size of the other."""
+    So each has a greatest size of the other. Bitmaps are compared folded to as few words as tell unlike texts of their size
+    apart, and what is left by all words."""
     apart, both = (1 - share) / (1 + share), share / (1 + share)
     size = n[owner]
     most = ((1 - both) * size - place) / both + 1e-6
-    words = [np.ascontiguousarray(bits[owner, w]) for w in range(WORDS)]
-    bound = apart * size + 0.5
+    w = bits.shape[1]
+    words = [np.ascontiguousarray(bits[owner, i]) for i in range(w)]
+    fold = lambda parts: [np.bitwise_or.reduce(words[i :: w // parts]) for i in range(w // parts)]
+    levels = [(64 * w // 4, 1, fold(4)), (64 * w // 3, 1, fold(3)), (64 * w // 2, 1, fold(2)), (64 * w, 2 / 3, words[: 2 * w // 3]), (64 * w, 1, words)]
+    bound = np.minimum(np.floor(apart * size + 0.5), 16_000).astype(np.int16)
+    small = size.astype(np.int32)
 
     # a text's partners stand after it in the list, up to the greatest size it allows
     lists = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
@@ -133,11 +138,20 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
     end = np.searchsorted(lists * step + size, lists * step + np.clip(np.floor(most).astype(np.int64), 0, step - 1), "right")
     count = np.maximum(end - np.arange(len(owner)) - 1, 0)
 
-    def rest(i, j, far):
-        """The pairs of list entries that every word of the bitmaps and the places leave, as texts."""
+    def first_words(typical: float) -> list[np.ndarray]:
+        """The fewest whose expected difference is well above what similar texts of this size can have."""
+        for room, part, few in levels:
+            full = 1 - np.exp(-typical / room)
+            if 2 * full * (1 - full) * room * part - 3 * np.sqrt(room * part) / 2 > 2 * apart * typical:
+                return few
+        return words
+
+    def rest(i, j):
+        """The pairs of list entries that all words of the bitmaps and the places leave, as texts."""
         ok = size[i] <= most[j]
-        i, j, far = i[ok], j[ok], far[ok].astype(np.int16)
-        for w in words[FIRST:]:
+        i, j = i[ok], j[ok]
+        far = np.zeros(len(i), np.int64)
+        for w in words:
             far += np.bitwise_count(w[j] ^ w[i])
         ok = far <= apart * (size[i] + size[j]) + 1e-9
         return owner[i[ok]], owner[j[ok]]
@@ -145,11 +159,12 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
     long = np.flatnonzero(count > D)
     for i in long.tolist():
         j = slice(i + 1, i + 1 + int(count[i]))
-        far = np.bitwise_count(words[0][j] ^ words[0][i])
-        for w in words[1:FIRST]:
-            far += np.bitwise_count(w[j] ^ w[i])  # uint8: 256 bits look like none and go on
+        few = first_words(size[i])
+        far = np.zeros(int(count[i]), np.uint8 if len(few) <= 4 else np.int16)  # 256 bits look like none and go on
+        for w in few:
+            far += np.bitwise_count(w[j] ^ w[i])
         near = np.flatnonzero(far <= bound[j] + bound[i])
-        yield rest(np.full(len(near), i), i + 1 + near, far[near])
+        yield rest(np.full(len(near), i), i + 1 + near)
     count[long] = 0
     before = np.r_[0, np.cumsum(count)]
     a = 0
@@ -157,20 +172,22 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
         z = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, "right")) - 1)
         c = count[a:z]
         j = np.arange(before[a], before[z]) + np.repeat(np.arange(a, z) + 1 - before[a:z], c)
-        far = np.zeros(len(j), np.uint8)
-        for w in words[:FIRST]:
+        few = first_words(1.1 * float(small[j].mean())) if len(j) else words
+        far = np.zeros(len(j), np.uint8 if len(few) <= 4 else np.int16)
+        for w in few:
             far += np.bitwise_count(w[j] ^ np.repeat(w[a:z], c))
         near = np.flatnonzero(far <= bound[j] + np.repeat(bound[a:z], c))
-        yield rest(np.repeat(np.arange(a, z), c)[near], j[near], far[near])
+        yield rest(np.repeat(np.arange(a, z), c)[near], j[near])
         a = z
 
 
 def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFrame:
-    """``a, b``: digests of the distinct ``texts(d, text)``; every pair with the share is among them, and few others."""
+    """``a, b``: numbers of the distinct ``texts(num, text)``; every pair with the share is among them, and few others."""
     spark = texts.sparkSession
     rows = texts.count()
     classes, tokens = _token_classes(texts, rows, k)
     buckets = max(8, int(rows * tokens * (1 - share) / POSTINGS))
+    words = WORDS * max(1, math.ceil(tokens / 150))
     counts = spark.sparkContext.broadcast(classes)
     folder = f"{C.folder(spark)}/neardup-{uuid.uuid4().hex}"
     files = lambda: pafs.FileSystem.from_uri(folder)
@@ -183,11 +200,11 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
             for at in range(0, b.num_rows, TEXTS):
                 part = b.slice(at, TEXTS)
                 out, sheets, col = P.Buckets(buckets), [], part.column(1).to_pylist()
-                ids = np.array(part.column(0).to_pylist(), "V16")
+                ids = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 for i, j in _slices(col):
-                    who, t, place, n, bits = _tokens(*K.codes(col[i:j]), k, share, counts.value)
+                    who, t, place, n, bits = _tokens(*K.codes(col[i:j]), k, share, counts.value, words)
                     out.add(t, (who + i).astype(np.uint16), place)
-                    sheets.append(np.column_stack([ids[i:j].view(np.uint64).reshape(-1, 2), n.astype(np.uint64), bits]))
+                    sheets.append(np.column_stack([ids[i:j], n.astype(np.uint64), bits]))
                 if sheets:
                     name = uuid.uuid4().hex
                     with fs.open_output_stream(f"{path}/{name}") as f:
@@ -200,7 +217,7 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
         keys, owners, places, sheets, have = [], [], [], [], 0
         for name, ks, os, ps in zip(*(t[c].to_pylist() for c in ("name", "keys", "owners", "extra"))):
             with fs.open_input_file(f"{path}/{name}") as f:
-                sheet = np.frombuffer(f.read(), np.uint64).reshape(-1, 3 + WORDS)
+                sheet = np.frombuffer(f.read(), np.uint64).reshape(-1, 2 + words)
             os = np.frombuffer(os, np.uint16)
             used = np.zeros(len(sheet), bool)
             used[os] = True
@@ -208,7 +225,7 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
             keys.append(np.frombuffer(ks, np.uint32)), places.append(np.frombuffer(ps, np.uint16)), owners.append(at[os] + have), sheets.append(sheet[used])
             have += len(sheets[-1])
         sheet = np.concatenate(sheets)
-        order = np.argsort(sheet[:, 2], kind="stable")
+        order = np.argsort(sheet[:, 1], kind="stable")
         number = np.empty(have, np.uint64)
         number[order] = np.arange(have, dtype=np.uint64)  # texts by size
         sheet = sheet[order]
@@ -221,18 +238,16 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
         key, owner = (whole[first] >> np.uint64(32)).astype(np.uint32), (whole[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
         found, waiting, m = np.zeros(0, np.int64), [], len(sheet)
-        for i, j in _list_pairs(owner, place, cut, sheet[:, 2].astype(np.int64), sheet[:, 3:], share):
+        for i, j in _list_pairs(owner, place, cut, sheet[:, 1].astype(np.int64), sheet[:, 2:], share):
             waiting.append(i * m + j)
             if len(waiting) >= 4096:
                 found, waiting = K.sorted_set(np.concatenate([found, *waiting])), []
         found = K.sorted_set(np.concatenate([found, *waiting]))
-        ids = np.ascontiguousarray(sheet[:, :2])
-        digests = lambda at: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(ids[at].tobytes())]).cast(pa.binary())
-        a, b = digests(found // m), digests(found % m)
-        swap = pa.compute.greater(a, b)
-        return pa.table({"a": pa.compute.if_else(swap, b, a), "b": pa.compute.if_else(swap, a, b)})
+        ids = np.ascontiguousarray(sheet[:, 0]).view(np.int64)
+        a, b = ids[found // m], ids[found % m]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    pairs = C.checkpoint(texts.select("d", "text").mapInArrow(emit, P.SCHEMA + ", name string").groupBy("bucket").applyInArrow(meet, "a binary, b binary").distinct())
+    pairs = C.checkpoint(texts.select("num", "text").mapInArrow(emit, P.SCHEMA + ", name string").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
     fs.delete_dir(path)
     return pairs
 
@@ -280,7 +295,7 @@ def _similar_sets(a: str, b: str, k: int, share: float) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFrame:
-    """The pairs (a, b) whose texts (``d, text``) are similar."""
+    """The pairs (a, b) whose texts (``num, text``) are similar."""
 
     def check(batches):
         for x in batches:
@@ -289,9 +304,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFr
                 ok = pa.array(similar(a[i:j], b[i:j], k, share))
                 yield pa.RecordBatch.from_arrays([x.column("a").slice(i, j - i).filter(ok), x.column("b").slice(i, j - i).filter(ok)], ["a", "b"])
 
-    one = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
+    one = pairs.join(texts.select(F.col("num").alias("a"), F.col("text").alias("ta")), "a")
+    two = one.join(texts.select(F.col("num").alias("b"), F.col("text").alias("tb")), "b")
+    return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
 def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3, share: float = 0.6) -> DataFrame:
@@ -312,15 +327,15 @@ def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3
     tables = C.Tables(df.sparkSession)
     keyed = df.filter(F.col(key).isNotNull()).select(*fields, F.col(key).cast("string"))
     rows = tables.put(keyed.mapInArrow(id_texts, "d binary, key string, text string"))  # folded once, read by all that follows
-    texts = tables.put(rows.select("d", "text").dropDuplicates(["d"]))
+    texts = tables.put(rows.select("d", "text").dropDuplicates(["d"]).withColumn("num", F.monotonically_increasing_id()))
     pairs = candidate_pairs(texts, k, share)
     links = verified(pairs, texts, k, share).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    owned = C.checkpoint(rows.select("d", "key").distinct())
-    same_key = owned.groupBy("key").agg(F.min("d").alias("u"), F.max("d").alias("z")).filter("u <> z").select("key", "u").join(owned, "key").select("u", F.col("d").alias("v"))
+    owned = C.checkpoint(rows.select("d", "key").distinct().join(texts.select("d", "num"), "d").select("num", "key"))
+    same_key = owned.groupBy("key").agg(F.min("num").alias("u"), F.max("num").alias("z")).filter("u <> z").select("key", "u").join(owned, "key").select("u", F.col("num").alias("v"))
     roots = components(links.unionByName(same_key))
-    grouped = owned.join(roots, owned["d"] == roots["node"], "left").select("key", F.coalesce("root", "d").alias("group")).distinct()
+    grouped = owned.join(roots, owned["num"] == roots["node"], "left").select("key", F.coalesce("root", "num").alias("group")).distinct()
     many = grouped.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
-    result = C.checkpoint(grouped.join(many, "group", "left_semi").select("key", F.hex("group").alias("group")))
+    result = C.checkpoint(grouped.join(many, "group", "left_semi").select("key", "group"))
     tables.remove()
     return result
 
