@@ -125,10 +125,18 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
     apart, both = (1 - share) / (1 + share), share / (1 + share)
     size = n[owner]
     most = ((1 - both) * size - place) / both + 1e-6
-    w = bits.shape[1]
-    words = [np.ascontiguousarray(bits[owner, i]) for i in range(w)]
-    fold = lambda parts: [np.bitwise_or.reduce(words[i :: w // parts]) for i in range(w // parts)]
-    levels = [(64 * w // 4, 1, fold(4)), (64 * w // 3, 1, fold(3)), (64 * w // 2, 1, fold(2)), (64 * w, 2 / 3, words[: 2 * w // 3]), (64 * w, 1, words)]
+    columns = np.ascontiguousarray(bits.T)
+    w = len(columns)
+    #: (bits of the whole, part of it that is compared, words it is folded to)
+    levels = [(64 * w // 4, 1, w // 4), (64 * w // 3, 1, w // 3), (64 * w // 2, 1, w // 2), (64 * w, 2 / 3, w), (64 * w, 1, w)]
+    made: dict[tuple, list[np.ndarray]] = {}
+
+    def level(part: float, to: int) -> list[np.ndarray]:
+        """The words of every list entry, made when first asked for."""
+        if (part, to) not in made:
+            made[part, to] = [np.bitwise_or.reduce(columns[i::to])[owner] for i in range(int(part * to))]
+        return made[part, to]
+
     bound = np.minimum(np.floor(apart * size + 0.5), 16_000).astype(np.int16)
     small = size.astype(np.int32)
 
@@ -140,19 +148,17 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
 
     def first_words(typical: float) -> list[np.ndarray]:
         """The fewest whose expected difference is well above what similar texts of this size can have."""
-        for room, part, few in levels:
+        for room, part, to in levels:
             full = 1 - np.exp(-typical / room)
             if 2 * full * (1 - full) * room * part - 3 * np.sqrt(room * part) / 2 > 2 * apart * typical:
-                return few
-        return words
+                break
+        return level(part, to)
 
     def rest(i, j):
         """The pairs of list entries that all words of the bitmaps and the places leave, as texts."""
         ok = size[i] <= most[j]
         i, j = i[ok], j[ok]
-        far = np.zeros(len(i), np.int64)
-        for w in words:
-            far += np.bitwise_count(w[j] ^ w[i])
+        far = np.bitwise_count(bits[owner[j]] ^ bits[owner[i]]).sum(axis=1, dtype=np.int64)
         ok = far <= apart * (size[i] + size[j]) + 1e-9
         return owner[i[ok]], owner[j[ok]]
 
@@ -172,7 +178,7 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
         z = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, "right")) - 1)
         c = count[a:z]
         j = np.arange(before[a], before[z]) + np.repeat(np.arange(a, z) + 1 - before[a:z], c)
-        few = first_words(1.1 * float(small[j].mean())) if len(j) else words
+        few = first_words(1.1 * float(small[j].mean())) if len(j) else []
         far = np.zeros(len(j), np.uint8 if len(few) <= 4 else np.int16)
         for w in few:
             far += np.bitwise_count(w[j] ^ np.repeat(w[a:z], c))
@@ -225,13 +231,13 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
             keys.append(np.frombuffer(ks, np.uint32)), places.append(np.frombuffer(ps, np.uint16)), owners.append(at[os] + have), sheets.append(sheet[used])
             have += len(sheets[-1])
         sheet = np.concatenate(sheets)
-        order = np.argsort(sheet[:, 1], kind="stable")
+        order = np.argsort(sheet[:, 1])
         number = np.empty(have, np.uint64)
         number[order] = np.arange(have, dtype=np.uint64)  # texts by size
         sheet = sheet[order]
         key, owner, place = np.concatenate(keys), number[np.concatenate(owners)], np.concatenate(places)
         whole = (key.astype(np.uint64) << np.uint64(32)) | owner
-        order = np.argsort(whole, kind="stable")
+        order = np.argsort(whole)
         whole, place = whole[order], place[order]
         first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])  # tokens of a text that look alike are one, at the least place
         place = np.minimum.reduceat(place, first)
