@@ -3,13 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute as B
-from tidewright.llm import capping, codes, graph, history, leaks, look, looks, neardup, packing, spans, topn
+from tidewright.llm import capping, codes, graph, history, leaks, look, looks, neardup, packing, segments, spans, topn
 
 # --- problem 5: looks -------------------------------------------------------------------------------------------------
 
@@ -146,28 +147,50 @@ def noisy(n, seed=1):
     return [(i, f"id{rnd.randrange(n)}", (t := rnd.choice(base))[: rnd.randrange(len(t) // 2, len(t) + 1)], f"https://h{rnd.randrange(5)}.example/p/{rnd.randrange(n)}") for i in range(n)]
 
 
-def test_repeats_against_brute_force_in_blocks(spark, monkeypatch):
+def test_repeats_of_a_table_in_increments(spark):
     rows = noisy(160)
-    want = B.repeats(rows)
-    monkeypatch.setattr(history, "BLOCK", 20)
-    got = sorted(tuple(r) for r in history.find_repeats(items(spark, rows), "i", "id", "t", F.col("u"), last=60).collect())
-    assert got == want
-
-
-def test_segments_merge_logarithmically():
-    h = history.History()
-    for i in range(64):
-        h.add(history.Segment.of(np.array([64 - i, i], np.uint64), np.array([i, i]), 1))
-    assert len(h.segments) == 1 and (np.diff(h.segments[0].grams.astype(np.int64)) >= 0).all()
-
-
-def test_new_batch_against_history(spark):
-    rows = noisy(120, 3)
-    repeats = dict((d, f) for f, d in B.repeats(rows))
-    old = [r for r in rows if r[0] < 90 and r[0] not in repeats]
-    new = [r for r in rows if r[0] >= 90]
-    got = sorted(tuple(r) for r in history.find_repeats(items(spark, old + new), "i", "id", "t", F.col("u"), accepted_until=89).collect())
-    assert got == sorted((f, d) for d, f in repeats.items() if d >= 90)
+    got = sorted(tuple(r) for r in history.find_all_repeats(items(spark, rows), "i", "id", "t", F.col("u"), first=20, last=60).collect())
+    assert got == B.repeats(rows)
+    assert history.find_all_repeats(items(spark, rows).filter("i > 999"), "i", "id", "t", F.col("u"), first=20).count() == 0
+
+
+def test_batches_against_a_store(spark, tmp_path):
+    rows, got = noisy(120, 3), []
+    for a in range(0, 120, 24):  # opened anew for every batch, whose rows are all that is given
+        store = segments.Store(spark, f"file://{tmp_path}/store", buckets=4)
+        got += [tuple(r) for r in history.find_repeats(items(spark, rows[a : a + 24]), "i", "id", "t", F.col("u"), store).collect()]
+    assert sorted(got) == B.repeats(rows)
+    sizes = [s["records"] for s in segments.Store(spark, f"file://{tmp_path}/store").segments]
+    assert sum(sizes) == 120 - len(got) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_a_store_is_searched_without_reading_it(tmp_path):
+    read, rnd = {}, np.random.default_rng(4)
+    for n in (50_000, 500_000):
+        keys = rnd.integers(0, 1 << 32, n, dtype=np.uint32)
+        entries = np.zeros(n, segments.ENTRY)
+        entries["at"] = np.arange(n)
+        (tmp_path / "b").write_bytes(segments.bucket_bytes(keys, entries))
+        asked = np.unique(np.r_[keys[:20], rnd.integers(0, 1 << 32, 20, dtype=np.uint32)])
+        with pa.OSFile(str(tmp_path / "b")) as f:
+            b = segments.BucketFile(f)
+            fences = b.read
+            which, found = b.find(asked)
+        want = sorted((i, j) for i, k in enumerate(asked.tolist()) for j in np.flatnonzero(keys == k).tolist())
+        assert sorted(zip(which.tolist(), found["at"].tolist())) == want
+        read[n] = b.read - fences
+        assert fences * 200 < (4 + segments.ENTRY.itemsize) * n
+    assert read[500_000] <= read[50_000] * 1.2
+
+
+@given(st.lists(st.integers(0, 40), max_size=600), st.lists(st.integers(0, 45), max_size=20))
+@settings(max_examples=30, deadline=None)
+def test_bucket_files_find_all(keys, asked):
+    keys, asked = np.array(keys, np.uint32), np.unique(np.array(asked, np.uint32))
+    entries = np.zeros(len(keys), segments.ENTRY)
+    entries["at"] = np.arange(len(keys))
+    which, found = segments.BucketFile(pa.BufferReader(segments.bucket_bytes(keys, entries))).find(asked)
+    assert sorted(zip(which.tolist(), found["at"].tolist())) == sorted((i, j) for i, k in enumerate(asked.tolist()) for j in np.flatnonzero(keys == k).tolist())
 
 
 # --- problem 4: near-duplicates -----------------------------------------------------------------------------------------

@@ -1,41 +1,44 @@
 """Problem 2: telling new records from those known already, batch by batch, against everything accepted before.
 
-Titles are looked up in suffix arrays. A batch's texts are concatenated and their suffixes sorted once, led by the title's
-digit runs and to the depth of a query; such a segment never changes. Segments of like size are merged, so that a history of
-n records has about log(n) of them. For a new batch, every 2-character substring is binary-searched in every segment; the
-widths of the ranges found are its frequency, and only the rarest substrings of a title are read, as many as any record that
-shares enough must meet. Coverage by record follows from the ranges read, and an exact comparison decides.
-
-Ids and addresses are equality keys. Acceptance is in arrival order: a row is a repeat only if an *accepted* row is like it. It
-is settled in rounds, in each of which all rows are accepted that are earliest among their undecided like; what remains
-under a stated bound is settled in one pass in arrival order.
+Accepted records lie in immutable sorted segments in the shared folder (``segments.Store``): the suffixes of a batch's concatenated
+titles, led by the title's runs of digits and to the depth of two characters, which is what the criterion is on, and keys of ids and
+addresses. For a new batch, the substrings of each title that any record with enough of them must share one of (the rarest 40 % in a
+fixed order) are binary-searched in every segment; sizes and bitmaps by the entries leave few records, which are read by
+place and compared exactly. No row of the history is read, so the cost follows the batch.
+
+Within the batch the same substrings meet in the same buckets. Acceptance is in arrival order: a row is a repeat only if an *accepted*
+row is like it. Rows known from the history are repeats; the others are settled in rounds, in each of which all rows are accepted that
+are earliest among their undecided like; what remains under a stated bound is settled in one pass in arrival order. The accepted
+ones become a new segment.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from urllib.parse import parse_qsl
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codes as K
 from . import common as C
-from .neardup import similar
+from . import postings as P
+from .neardup import COUNTERS, SAMPLE, _counter, _least, _list_pairs, _slices, similar
+from .segments import BucketFile, Records, Store, place
 
 SHARE = 0.6
-#: Records of one digit key in a block; more are cut into blocks, and query blocks meet index blocks.
-BLOCK = 40_000
-#: Records of one batch in a task's own run over its history.
-CHUNK = 20_000
-#: Range entries read at once, so that memory is bounded whatever the number of hits.
-READ = 2_000_000
 #: Claims that one task may settle.
 LAST = 1_000_000
+#: Rows of the first increment of a table that is taken in at once; each later one doubles what is known.
+FIRST = 25_000
+#: Range entries that are compared at once, so that memory is bounded whatever the number of hits.
+READ = 1_000_000
 _DIGITS = re.compile("[0-9]+")
+_POSTING = np.dtype([("place", np.uint16), ("n", np.uint32), ("bits", np.uint64)])
 
 
 def page_key(address: str | None) -> str | None:
@@ -55,146 +58,198 @@ def page_key(address: str | None) -> str | None:
     return "\x1f".join([host, path, *(f"{k}={v}" for k, v in told)])
 
 
-class Segment:
-    """Immutable: sorted suffixes (digit key, two characters) with the record of each, and the records' numbers."""
+def digit_runs(title: str | None) -> str:
+    """The runs of digits in a title's look as a multiset: sorted and joined."""
+    return "-".join(sorted(_DIGITS.findall(title))) if title else ""
 
-    def __init__(self, grams: np.ndarray, record: np.ndarray, size: int) -> None:
-        self.grams, self.record, self.size = grams, record, size
 
-    @classmethod
-    def of(cls, grams: np.ndarray, record: np.ndarray, size: int) -> Segment:
-        order = np.argsort(grams, kind="stable")
-        return cls(grams[order], record[order], size)
+def _hash(kind: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b((kind + text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
-    def merged(self, other: Segment) -> Segment:
-        return Segment.of(np.concatenate([self.grams, other.grams]), np.concatenate([self.record, other.record]), self.size + other.size)
 
-
-class History:
-    """Segments of a growing history, at most one a power of two of their size."""
-
-    def __init__(self) -> None:
-        self.segments: list[Segment] = []
-
-    def add(self, s: Segment) -> None:
-        self.segments.append(s)
-        while len(self.segments) > 1 and self.segments[-2].size < 2 * self.segments[-1].size:
-            b, a = self.segments.pop(), self.segments.pop()
-            self.segments.append(a.merged(b))
-
-
-def title_links(number: np.ndarray, digits: np.ndarray, texts: list[str], role: np.ndarray, share: float = SHARE, chunk: int = CHUNK):
-    """Yields (earlier, later) record numbers whose bare texts share ``share`` of their 2-character sequences, the digit keys
-    being equal. Numbers are distinct and give the order of arrival. Records of role 0 are compared with all before them;
-    records of role 2 with all of role 1, whichever came first."""
-    order = np.lexsort((number, role))
-    number, digits, role = number[order], digits[order], role[order]
-    texts = [texts[i] for i in order.tolist()]
-    key = np.unique(digits, return_inverse=True)[1].astype(np.uint64)
-    c, starts = K.codes(texts)
-    if len(c) < 2:
-        return
+def title_suffixes(bare: list[str], digits: list[str], classes: np.ndarray, share: float = SHARE):
+    """(title, key, place, size, bitmap) of the substrings of which any title with the share has one: two characters, led by the
+    digits, the rarest first."""
+    c, starts = K.codes(bare)
+    led = {d: _hash("d", d) for d in set(digits)}
+    salt = np.array([led[d] for d in digits], np.uint64)
+    h = K.hashes(c, 2)
     who = K.owner(starts)
-    inside = who[:-1] == who[1:]
-    g = (key[who[:-1]] << np.uint64(42)) | (c[:-1].astype(np.uint64) << np.uint64(21)) | c[1:].astype(np.uint64)
-    who, g = K.distinct(who[:-1][inside], g[inside])
-    n = np.bincount(who, minlength=len(texts))
-    first = np.r_[0, np.cumsum(n)]
-    # two bitmaps of a title's sequences: bits that differ are no more than sequences that differ
-    hashed = K.mix(g)
-    bits, more = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-    np.bitwise_or.at(bits, who, np.uint64(1) << (hashed & np.uint64(63)))
-    np.bitwise_or.at(more, who, np.uint64(1) << ((hashed >> np.uint64(6)) & np.uint64(63)))
-    apart = (1 - share) / (1 + share)
-    widest = np.floor(apart * n * (1 + 1 / share) + 1e-9).astype(np.uint8 if n.max(initial=0) < 150 else np.int64)
-    members = int((role == 1).sum())
-    history = History()
-    for a in range(0, len(texts), chunk):
-        b = min(a + chunk, len(texts))
-        mine = slice(first[a], first[b])
-        q, x = who[mine], g[mine]
-        held = role[q] < 2
-        if held.any():
-            history.add(Segment.of(x[held], q[held], int((role[a:b] < 2).sum())))
-        ask = role[q] != 1
-        q, x = q[ask], x[ask]
-        if not len(q) or not history.segments:
-            continue
-        uniq, inv = np.unique(x, return_inverse=True)
-        ranges = [(np.searchsorted(s.grams, uniq, "left"), np.searchsorted(s.grams, uniq, "right")) for s in history.segments]
-        width = sum((hi - lo for lo, hi in ranges), np.zeros(len(uniq), np.int64))[inv]
-        rare = np.lexsort((width, q))
-        q, inv, width = q[rare], inv[rare], width[rare]
-        begin = np.r_[True, q[1:] != q[:-1]]
-        place = np.arange(len(q)) - np.maximum.accumulate(np.where(begin, np.arange(len(q)), 0))
-        probe = place < n[q] - np.ceil(share * n[q] - 1e-9).astype(np.int64) + 1
-        q, inv, width = q[probe], inv[probe], width[probe]
-        total = np.cumsum(width)
-        cut = np.searchsorted(total, np.arange(READ, int(total[-1]) + READ, READ), "left") + 1
-        at = 0
-        for end in [*np.minimum(cut, len(q)).tolist(), len(q)]:
-            if end <= at:
-                continue
-            found = []
-            for s, (lo, hi) in zip(history.segments, ranges):
-                l = lo[inv[at:end]]
-                m = hi[inv[at:end]] - l
-                rec = s.record[np.arange(int(m.sum())) + np.repeat(l - (np.cumsum(m) - m), m)]
-                near = np.flatnonzero(np.bitwise_count(np.repeat(bits[q[at:end]], m) ^ bits[rec]) <= np.repeat(widest[q[at:end]], m))
-                rec, asks = rec[near], np.repeat(q[at:end], m)[near]
-                limit = apart * (n[asks] + n[rec]) + 1e-9
-                ok = (np.bitwise_count(bits[asks] ^ bits[rec]) <= limit) & (np.bitwise_count(more[asks] ^ more[rec]) <= limit)
-                if not members:
-                    ok &= rec < asks
-                found.append(rec[ok] * np.int64(len(texts)) + asks[ok])
-            at = end
-            pair = K.sorted_set(np.concatenate(found))
-            lo_, hi_ = pair // len(texts), pair % len(texts)
-            for i in range(0, len(pair), 20_000):
-                x, y = lo_[i : i + 20_000], hi_[i : i + 20_000]
-                ok = similar([texts[t] for t in x.tolist()], [texts[t] for t in y.tolist()], 2, share)
-                if ok.any():
-                    u, v = number[x[ok]], number[y[ok]]
-                    yield np.minimum(u, v), np.maximum(u, v)
+    inside = who[: len(h)] == who[1:] if len(h) else np.zeros(0, bool)
+    h = h[inside]
+    key = K.sorted_set((who[: len(inside)][inside].astype(np.uint64) << np.uint64(53)) | (classes[_counter(h)].astype(np.uint64) << np.uint64(47)) | (h >> np.uint64(17)))
+    who, t = (key >> np.uint64(53)).astype(np.int64), K.mix(key & np.uint64((1 << 53) - 1))
+    n = np.bincount(who, minlength=len(starts) - 1)
+    bits = np.zeros(len(n), np.uint64)
+    np.bitwise_or.at(bits, who, np.uint64(1) << (t & np.uint64(63)))
+    at = np.arange(len(t)) - np.r_[0, np.cumsum(n)][who]
+    keep = at <= (n - _least(n, share))[who]
+    who, at = who[keep], at[keep]
+    return who, K.mix(t[keep] ^ salt[who]), at.clip(0, 65535), n[who], bits[who]
+
+
+def _postings(kinds: list[str], values: list[str], digits: list[str], classes: np.ndarray):
+    """(row, key, place, size, bitmap) of names; ids and pages have one key, size 0."""
+    titles = [i for i, k in enumerate(kinds) if k == "t"]
+    parts = []
+    text = [values[i] for i in titles]
+    for a, b in _slices(text):
+        who, *rest = title_suffixes(text[a:b], [digits[i] for i in titles[a:b]], classes)
+        parts.append((np.array(titles[a:b], np.int64)[who], *rest))
+    others = [i for i, k in enumerate(kinds) if k != "t"]
+    zero = np.zeros(len(others), np.int64)
+    parts.append((np.array(others, np.int64), np.array([_hash(kinds[i], values[i]) for i in others], np.uint64), zero, zero, zero.astype(np.uint64)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def read_rows(df: DataFrame, ordinal: str, id_: str, title: str, address) -> DataFrame:
-    """``r, id, page, digits, bare`` of every row; digits is a hash of the title's digit runs as a multiset."""
+    """``r, id, page, digits, bare`` of every row; digits are the title's digit runs as a multiset."""
 
     def read(batches):
         for b in batches:
             titles = b.column(2).to_pylist()
             bare = K.as_text(*K.bare(titles))
-            looks = K.looks(titles)
-            digits = [zlib.crc32(d.encode()) * 1_000_003 + len(d) if (d := "-".join(sorted(_DIGITS.findall(s)))) else 0 for s in (x or "" for x in looks)]
             yield pa.RecordBatch.from_pydict({
                 "r": b.column(0), "id": b.column(1), "page": pa.array([page_key(x) for x in b.column(3).to_pylist()], pa.string()),
-                "digits": pa.array(digits, pa.int64()), "bare": pa.array([s if len(s) > 1 else None for s in bare], pa.string()),
+                "digits": pa.array([digit_runs(x) for x in K.looks(titles)], pa.string()), "bare": pa.array([s if len(s) > 1 else None for s in bare], pa.string()),
             })
 
-    return df.select(F.col(ordinal).cast("long"), F.col(id_).cast("string"), title, address).mapInArrow(read, "r long, id string, page string, digits long, bare string")
+    return df.select(F.col(ordinal).cast("long"), F.col(id_).cast("string"), title, address).mapInArrow(read, "r long, id string, page string, digits string, bare string")
 
 
-def similar_titles(classes: DataFrame) -> DataFrame:
-    """``a, b``: numbers of classes (``cls, digits, bare``) with like titles, a the earlier."""
-    buckets = max(8, 2 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    many = classes.groupBy("digits").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select(F.col("digits").alias("hot"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    # digit keys above BLOCK records: fewer than rows / BLOCK of them
-    placed = classes.join(many, F.col("digits") == F.col("hot"), "left")
-    own = F.pmod(F.xxhash64("bare"), F.col("blocks")).cast("int")
-    cold = placed.filter("blocks is null").select(F.pmod(F.xxhash64("digits"), F.lit(buckets)).cast("string").alias("part"), "cls", "digits", "bare", F.lit(0).cast("byte").alias("role"))
-    # a record of block i stands in the part of every pair of blocks that i belongs to
-    hot = placed.filter("blocks is not null").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    part = F.concat_ws("/", F.lit("h"), F.col("digits").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
-    role = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte")
-    warm = hot.select(part.alias("part"), "cls", "digits", "bare", role.alias("role"))
+def _classes(names: DataFrame) -> np.ndarray:
+    """Classes of frequency of two-character sequences in a sample of titles, by counter of their hash."""
 
-    def link(t: pa.Table) -> pa.Table:
-        got = list(title_links(t["cls"].to_numpy(), t["digits"].to_numpy(), t["bare"].to_pylist(), t["role"].to_numpy()))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate([x for x, _ in got] or none)), "b": pa.array(np.concatenate([y for _, y in got] or none))})
-
-    return cold.unionByName(warm).groupBy("part").applyInArrow(link, "a long, b long").distinct()
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int32)
+        for b in batches:
+            col = b.column(0).to_pylist()
+            for i, j in C.slices(col):
+                total += np.bincount(_counter(K.grams(*K.codes(col[i:j]), 2)[1]), minlength=COUNTERS).astype(np.int32)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array([C.packed(np.int32, at)], pa.binary()), "n": pa.array([C.packed(np.int32, total[at])], pa.binary())})
+
+    titles = names.filter("kind = 't'").select("value")
+    rows = titles.count()
+    total = np.zeros(COUNTERS, np.int64)
+    for r in (titles.sample(SAMPLE / rows, 7) if rows > SAMPLE else titles).mapInArrow(count, "at binary, n binary").toLocalIterator():
+        total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int32)
+    return np.minimum(63, np.log2(total + 1) * 3.5).astype(np.uint8)
+
+
+def like(names: DataFrame, classes: np.ndarray, store: Store | None) -> DataFrame:
+    """``a, b, segment``: names (``num, kind, digits, value``) that may be alike: pairs of titles of the batch (segment -1), and names
+    with places of records in the store's segments."""
+    path, segments, buckets = (store.path, store.segments, store.buckets) if store else (None, [], 32)
+    order = names.sparkSession.sparkContext.broadcast(classes)
+
+    def emit(batches):
+        for b in batches:
+            num = b.column(0).to_numpy(zero_copy_only=False)
+            kinds, digits, values = (b.column(i).to_pylist() for i in (1, 2, 3))
+            who, key, at, n, bits = _postings(kinds, values, digits, order.value)
+            extra = np.empty(len(who), _POSTING)
+            extra["place"], extra["n"], extra["bits"] = at, n, bits
+            out = P.Buckets(buckets)
+            out.add(key, num[who], extra)
+            yield from out.rows()
+
+    def meet(t: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in t["keys"].to_pylist()])
+        owners = np.concatenate([np.frombuffer(x, np.int64) for x in t["owners"].to_pylist()])
+        extra = np.concatenate([np.frombuffer(x, _POSTING) for x in t["extra"].to_pylist()])
+        out = []
+        title = extra["n"] > 0
+        if title.any():  # titles of the batch with each other
+            nums, first, inv = np.unique(owners[title], return_index=True, return_inverse=True)
+            sizes = extra["n"][title][first].astype(np.int64)
+            by_size = np.argsort(sizes, kind="stable")
+            number = np.empty(len(nums), np.int64)
+            number[by_size] = np.arange(len(nums))
+            who = number[inv]
+            whole = (keys[title].astype(np.uint64) << np.uint64(32)) | who.astype(np.uint64)
+            o = np.argsort(whole)
+            whole, at = whole[o], extra["place"][title][o]
+            new = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+            at = np.minimum.reduceat(at, new)
+            key, who = (whole[new] >> np.uint64(32)).astype(np.uint32), (whole[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+            bits = extra["bits"][title][first][by_size]
+            found = [i * len(nums) + j for i, j in _list_pairs(who, at, cut, sizes[by_size], bits[:, None], SHARE)]
+            if found:
+                pair = K.sorted_set(np.concatenate(found))
+                nums = nums[by_size]
+                a, b = nums[pair // len(nums)], nums[pair % len(nums)]
+                out.append((np.minimum(a, b), np.maximum(a, b), np.full(len(pair), -1)))
+        if segments:
+            fs, p = pafs.FileSystem.from_uri(path)
+            o = np.argsort(keys, kind="stable")
+            keys, owners, extra = keys[o], owners[o], extra[o]
+            asked, begin = np.unique(keys, return_index=True)
+            end = np.r_[begin[1:], len(keys)]
+            apart = (1 - SHARE) / (1 + SHARE)
+            for s, segment in enumerate(segments):
+                name = f"{p}/{segment['name']}/bucket-{t['bucket'][0].as_py()}"
+                if fs.get_file_info(name).type != pafs.FileType.File:
+                    continue
+                with fs.open_input_file(name) as f:
+                    which, entry = BucketFile(f).find(asked)
+                width = end[which] - begin[which]
+                total = np.r_[0, np.cumsum(width)]
+                x = 0
+                while x < len(which):
+                    y = max(x + 1, int(np.searchsorted(total, total[x] + READ, "right")) - 1)
+                    w = which[x:y]
+                    q = np.arange(int(total[y] - total[x])) + np.repeat(begin[w] - (total[x:y] - total[x]), width[x:y])
+                    e = entry[np.repeat(np.arange(x, y), width[x:y])]
+                    n, m = extra["n"][q].astype(np.int64), e["n"].astype(np.int64)
+                    ok = np.where((n > 0) & (m > 0), np.bitwise_count(extra["bits"][q] ^ e["bits"]) <= apart * (n + m) + 1e-9, n == m)
+                    ok &= (SHARE * n <= m + 1e-9) & (SHARE * m <= n + 1e-9)
+                    out.append((owners[q[ok]], e["at"][ok].astype(np.int64), np.full(int(ok.sum()), s)))
+                    x = y
+        a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "segment": pa.array(s.astype(np.int32))})
+
+    posted = names.select("num", "kind", "digits", "value").mapInArrow(emit, P.SCHEMA)
+    return C.checkpoint(posted.groupBy("bucket").applyInArrow(meet, "a long, b long, segment int").distinct())
+
+
+def _linked(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``ka, kb``: keys of the pairs (a, b) of titles whose digits are equal and whose bare texts are similar."""
+
+    def check(batches):
+        for x in batches:
+            a, b = x.column(2).to_pylist(), x.column(3).to_pylist()
+            for i, j in C.slices([p + q for p, q in zip(a, b)]):
+                ok = pa.array(similar(a[i:j], b[i:j], 2, SHARE))
+                yield pa.RecordBatch.from_arrays([x.column(0).slice(i, j - i).filter(ok), x.column(1).slice(i, j - i).filter(ok)], ["ka", "kb"])
+
+    side = lambda x: names.select(F.col("num").alias(x), F.col("k").alias(f"k{x}"), F.col("digits").alias(f"d{x}"), F.col("value").alias(f"v{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("da = db")
+    return both.select("ka", "kb", "va", "vb").mapInArrow(check, "ka binary, kb binary")
+
+
+def _known(candidates: DataFrame, names: DataFrame, store: Store) -> DataFrame:
+    """``k, first``: names that records of the store are like, with the least ordinal of these."""
+    path, segments = store.path, store.segments
+
+    def check(batches):
+        fs, p = pafs.FileSystem.from_uri(path)
+        records = Records(fs, p)
+        for x in batches:
+            ks, kinds, digits, values, ats, segs = (c.to_pylist() for c in x.columns)
+            got = [records(*place(segments[s], at)) for s, at in zip(segs, ats)]
+            ok = [{"i": g[1], "p": g[2]}.get(kind) == v if kind != "t" else g[3] == d and g[4] is not None for kind, d, v, g in zip(kinds, digits, values, got)]
+            title = [i for i, kind in enumerate(kinds) if kind == "t" and ok[i]]
+            for i, j in C.slices([values[t] + got[t][4] for t in title]):
+                near = similar([values[t] for t in title[i:j]], [got[t][4] for t in title[i:j]], 2, SHARE)
+                for t, o in zip(title[i:j], near.tolist()):
+                    ok[t] = o
+            keep = [i for i, o in enumerate(ok) if o]
+            yield pa.RecordBatch.from_pydict({"k": pa.array([ks[i] for i in keep], pa.binary()), "first": pa.array([got[i][0] for i in keep], pa.int64())})
+
+    asked = candidates.join(names, F.col("a") == F.col("num")).select("k", "kind", "digits", "value", "b", "segment").repartition("segment", "b")
+    return asked.sortWithinPartitions("segment", "b").mapInArrow(check, "k binary, first long").groupBy("k").agg(F.min("first").alias("first"))
 
 
 def settle(claims: DataFrame, last: int = LAST) -> DataFrame:
@@ -229,40 +284,88 @@ def settle(claims: DataFrame, last: int = LAST) -> DataFrame:
     return rest if accepted is None else accepted.unionByName(rest)
 
 
-def find_repeats(df: DataFrame, ordinal: str, id_: str, title: str, address, accepted_until: int | None = None, last: int = LAST) -> DataFrame:
-    """``first_index, dup_index`` of every row that repeats an earlier accepted one by id, page or title.
-
-    ``ordinal`` is unique and gives the order of arrival. Null ids, addresses without a host and titles with fewer than two
-    letters match nothing. With ``accepted_until``, rows up to that ordinal are history known to be accepted and only
-    later rows are given; titles of the history are still compared with each other, so the cost follows the whole history."""
-    rows = C.checkpoint(read_rows(df, ordinal, id_, title, address))
-    classes = rows.filter("bare is not null").groupBy("digits", "bare").agg(F.min("r").alias("cls"))
-    key = lambda kind, *c: F.xxhash64(F.lit(kind), *(F.col(x) for x in c))
-    named = C.checkpoint(classes)
-    links = C.checkpoint(similar_titles(named))
-    titled = links.join(named.select(F.col("cls").alias("a"), key("t", "digits", "bare").alias("ka")), "a").join(named.select(F.col("cls").alias("b"), key("t", "digits", "bare").alias("kb")), "b").select("ka", "kb")
-    watch = C.checkpoint(titled.unionByName(titled.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))))
-    own = rows.select("r", F.explode(F.filter(F.array(F.when(F.col("id").isNotNull(), key("i", "id")), F.when(F.col("page").isNotNull(), key("p", "page")), F.when(F.col("bare").isNotNull(), key("t", "digits", "bare"))), lambda x: x.isNotNull())).alias("k"))
+def absorb(rows: DataFrame, tables: C.Tables, store: Store | None = None, keep: bool = True, last: int = LAST) -> DataFrame:
+    """``first_index, dup_index`` of the rows (of ``read_rows``) that repeat a record of the store or an earlier accepted row. With
+    ``keep``, the accepted rows are added to the store. All rows must come later than the store's."""
+    key = lambda kind, *c: F.unhex(F.md5(F.concat_ws("\x1f", F.lit(kind), *(F.col(x) for x in c))))
+    name = lambda kind, value, *c: F.when(F.col(value).isNotNull(), F.struct(key(kind, *c, value).alias("k"), F.lit(kind).alias("kind"), (F.col(c[0]) if c else F.lit("")).alias("digits"), F.col(value).alias("value")))
+    named = rows.select("r", F.inline(F.array_compact(F.array(name("i", "id"), name("p", "page"), name("t", "bare", "digits")))))
+    old = store is not None and bool(store.segments)
+    titles = named.filter("kind = 't'").drop("r").dropDuplicates(["k"])  # a title once, however often it stands
+    asked = titles.unionByName(named.filter("kind <> 't'").drop("r")) if old else titles
+    names = tables.put(asked.withColumn("num", F.monotonically_increasing_id()))
+    classes = store.order(lambda: _classes(names)) if store else _classes(names)
+    met = like(names, classes, store)
+    links = C.checkpoint(_linked(met.filter("segment = -1"), names))
+    own = named.select("r", "k")
+    known = None
+    if old:
+        known = C.checkpoint(own.join(_known(met.filter("segment >= 0"), names, store), "k").groupBy("r").agg(F.min("first").alias("first_index")))
+        own = own.join(known, "r", "left_anti")
+    watch = links.unionByName(links.select(F.col("kb").alias("ka"), F.col("ka").alias("kb")))
     shared = own.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k").unionByName(watch.select(F.col("ka").alias("k"))).distinct()
     mine = own.join(shared, "k", "left_semi").withColumn("own", F.lit(True))
-    theirs = rows.filter("bare is not null").select("r", key("t", "digits", "bare").alias("ka")).join(watch, "ka").select("r", F.col("kb").alias("k"), F.lit(False).alias("own"))
+    theirs = own.join(watch, F.col("k") == F.col("ka")).select("r", F.col("kb").alias("k"), F.lit(False).alias("own"))
     claims = C.checkpoint(mine.select("r", "k", "own").unionByName(theirs))
-    if accepted_until is not None:
-        known = claims.filter(F.col("r") <= accepted_until).select("r").distinct()
-        blocked = claims.filter(F.col("own") & (F.col("r") <= accepted_until)).select("k").distinct()
-        fresh = claims.filter(F.col("r") > accepted_until)
-        open_ = fresh.join(fresh.join(blocked, "k", "left_semi").select("r").distinct(), "r", "left_anti")
-        accepted = known.unionByName(settle(C.checkpoint(open_), last))
-    else:
-        accepted = settle(claims, last)
-    accepted = C.checkpoint(accepted)
+    accepted = C.checkpoint(settle(claims, last))
     owner = claims.filter("own").join(accepted, "r", "left_semi").groupBy("k").agg(F.min("r").alias("first_index"))
     rest = claims.join(accepted, "r", "left_anti")
-    return rest.join(owner, "k").filter("first_index < r").groupBy(F.col("r").alias("dup_index")).agg(F.min("first_index").alias("first_index")).select("first_index", "dup_index")
+    repeats = rest.join(owner, "k").filter("first_index < r").groupBy("r").agg(F.min("first_index").alias("first_index"))
+    repeats = C.checkpoint(repeats if known is None else repeats.unionByName(known.select("r", "first_index")))
+    if store and keep:
+        new = rows.join(repeats, "r", "left_anti")
+        count = new.count()
+        if count:
+            store.add(new, lambda b: _record_postings(b, classes), count)
+    return repeats.select("first_index", F.col("r").alias("dup_index"))
+
+
+def _record_postings(b: pa.RecordBatch, classes: np.ndarray):
+    """(row, key, size, bitmap) of records."""
+    _, ids, pages, digits, bare = (c.to_pylist() for c in b.columns)
+    rows = [(i, kind, v, digits[i]) for kind, col in (("i", ids), ("p", pages), ("t", bare)) for i, v in enumerate(col) if v is not None]
+    who, key, _, n, bits = _postings([r[1] for r in rows], [r[2] for r in rows], [r[3] or "" for r in rows], classes)
+    return np.array([r[0] for r in rows], np.int64)[who], key, n, bits
+
+
+def find_repeats(df: DataFrame, ordinal: str, id_: str, title: str, address, store: Store | None = None, keep: bool = True, last: int = LAST) -> DataFrame:
+    """``first_index, dup_index`` of every row that repeats an earlier accepted one by id, page or title.
+
+    ``ordinal`` is unique and gives the order of arrival. Null ids, addresses without a host and titles with fewer than two
+    letters match nothing. With a ``store``, its records count as accepted before, and the rows accepted now are added to it (unless
+    ``keep`` is false); what is read of it follows the batch. An empty table gives an empty result."""
+    tables = C.Tables(df.sparkSession)
+    result = absorb(tables.put(read_rows(df, ordinal, id_, title, address)), tables, store, keep, last)
+    tables.remove()
+    return result
+
+
+def find_all_repeats(df: DataFrame, ordinal: str, id_: str, title: str, address, first: int = FIRST, last: int = LAST) -> DataFrame:
+    """The same for a whole table, taken in as increments against a store: ``first`` rows, then as many as are known each time.
+    So every row is looked up against what came before its increment, and the number of increments is the logarithm of the rows'."""
+    spark = df.sparkSession
+    tables, store = C.Tables(spark), Store(spark)
+    rows = df.count()
+    shares, n = [], first
+    while n < rows:
+        shares.append(n / rows)
+        n *= 2
+    cuts = df.approxQuantile(ordinal, shares, 0.002) if shares else []
+    increment = F.lit(0)
+    for c in cuts:
+        increment = increment + (F.col("r") > c).cast("int")
+    table = tables.put(read_rows(df, ordinal, id_, title, address).withColumn("increment", increment), "increment")
+    found = None
+    for i in range(len(cuts) + 1):
+        now = absorb(table.filter(F.col("increment") == i).drop("increment"), tables, store, i < len(cuts), last)
+        found = now if found is None else found.unionByName(now)
+    tables.remove()
+    store.remove()
+    return found
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(C.table(spark, sf_dir, "aihot_24h"), "api_index", "id", "title", F.col("links.original"))
+    return find_all_repeats(C.table(spark, sf_dir, "aihot_24h"), "api_index", "id", "title", F.col("links.original"))
 
 
 def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
     columns = np.ascontiguousarray(bits.T)
     w = len(columns)
     #: (bits of the whole, part of it that is compared, words it is folded to)
-    levels = [(64 * w // 4, 1, w // 4), (64 * w // 3, 1, w // 3), (64 * w // 2, 1, w // 2), (64 * w, 2 / 3, w), (64 * w, 1, w)]
+    levels = [(64 * w // 4, 1, w // 4), (64 * w // 3, 1, w // 3), (64 * w // 2, 1, w // 2), (64 * w, 2 / 3, w), (64 * w, 1, w)] if w % 12 == 0 else [(64 * w, 1, w)]
     made: dict[tuple, list[np.ndarray]] = {}
 
     def level(part: float, to: int) -> list[np.ndarray]:
