@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from urllib.parse import parse_qsl
 
 import numpy as np
@@ -28,17 +29,18 @@ from . import codes as K
 from . import common as C
 from . import postings as P
 from .neardup import COUNTERS, SAMPLE, _counter, _least, _list_pairs, _slices, similar
-from .segments import BucketFile, Records, Store, place
+from .segments import WORDS, BucketFile, Records, Store, place
 
 SHARE = 0.6
 #: Claims that one task may settle.
 LAST = 1_000_000
-#: Rows of the first increment of a table that is taken in at once; each later one doubles what is known.
-FIRST = 25_000
+#: Rows of the first increment of a table that is taken in at once; with each later one ``GROWTH`` times as many are known.
+FIRST, GROWTH = 25_000, 5
+#: Titles of a file of sizes and bitmaps, numbered by 15 bits.
+TITLES = 32_768
 #: Range entries that are compared at once, so that memory is bounded whatever the number of hits.
 READ = 1_000_000
 _DIGITS = re.compile("[0-9]+")
-_POSTING = np.dtype([("place", np.uint16), ("n", np.uint32), ("bits", np.uint64)])
 
 
 def page_key(address: str | None) -> str | None:
@@ -80,26 +82,24 @@ def title_suffixes(bare: list[str], digits: list[str], classes: np.ndarray, shar
     key = K.sorted_set((who[: len(inside)][inside].astype(np.uint64) << np.uint64(53)) | (classes[_counter(h)].astype(np.uint64) << np.uint64(47)) | (h >> np.uint64(17)))
     who, t = (key >> np.uint64(53)).astype(np.int64), K.mix(key & np.uint64((1 << 53) - 1))
     n = np.bincount(who, minlength=len(starts) - 1)
-    bits = np.zeros(len(n), np.uint64)
-    np.bitwise_or.at(bits, who, np.uint64(1) << (t & np.uint64(63)))
+    bit = np.zeros((len(n), 64 * WORDS), np.uint8)
+    bit[who, (t % np.uint64(64 * WORDS)).astype(np.int64)] = 1
     at = np.arange(len(t)) - np.r_[0, np.cumsum(n)][who]
     keep = at <= (n - _least(n, share))[who]
-    who, at = who[keep], at[keep]
-    return who, K.mix(t[keep] ^ salt[who]), at.clip(0, 65535), n[who], bits[who]
-
-
-def _postings(kinds: list[str], values: list[str], digits: list[str], classes: np.ndarray):
-    """(row, key, place, size, bitmap) of names; ids and pages have one key, size 0."""
-    titles = [i for i, k in enumerate(kinds) if k == "t"]
-    parts = []
-    text = [values[i] for i in titles]
-    for a, b in _slices(text):
-        who, *rest = title_suffixes(text[a:b], [digits[i] for i in titles[a:b]], classes)
-        parts.append((np.array(titles[a:b], np.int64)[who], *rest))
-    others = [i for i, k in enumerate(kinds) if k != "t"]
-    zero = np.zeros(len(others), np.int64)
-    parts.append((np.array(others, np.int64), np.array([_hash(kinds[i], values[i]) for i in others], np.uint64), zero, zero, zero.astype(np.uint64)))
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    return who[keep], K.mix(t[keep] ^ salt[who[keep]]), at[keep].clip(0, 65535).astype(np.uint16), n, np.packbits(bit, axis=1).view(np.uint64)
+
+
+def _suffixes(values: list[str], digits: list[str], classes: np.ndarray):
+    """``title_suffixes`` of any number of titles."""
+    parts = [(a, *title_suffixes(values[a:b], digits[a:b], classes)) for a, b in _slices(values)]
+    if not parts:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*((who + a, key, at, n, bits) for a, who, key, at, n, bits in parts)))
+
+
+def _equal(kinds: list[str], values: list[str]) -> np.ndarray:
+    """Keys of ids and addresses."""
+    return np.array([_hash(k, v) for k, v in zip(kinds, values)], np.uint64)
 
 
 def read_rows(df: DataFrame, ordinal: str, id_: str, title: str, address) -> DataFrame:
@@ -142,76 +142,114 @@ def like(names: DataFrame, classes: np.ndarray, store: Store | None) -> DataFram
     with places of records in the store's segments."""
     path, segments, buckets = (store.path, store.segments, store.buckets) if store else (None, [], 32)
     order = names.sparkSession.sparkContext.broadcast(classes)
+    folder = f"{C.folder(names.sparkSession)}/titles-{uuid.uuid4().hex}"
+    files = lambda: pafs.FileSystem.from_uri(folder)
+    fs, here = files()
+    fs.create_dir(here)
 
     def emit(batches):
-        for b in batches:
-            num = b.column(0).to_numpy(zero_copy_only=False)
-            kinds, digits, values = (b.column(i).to_pylist() for i in (1, 2, 3))
-            who, key, at, n, bits = _postings(kinds, values, digits, order.value)
-            extra = np.empty(len(who), _POSTING)
-            extra["place"], extra["n"], extra["bits"] = at, n, bits
-            out = P.Buckets(buckets)
-            out.add(key, num[who], extra)
-            yield from out.rows()
+        fs, here = files()
+        for whole in batches:
+            for at in range(0, whole.num_rows, TITLES):
+                b = whole.slice(at, TITLES)
+                num = b.column(0).to_numpy(zero_copy_only=False)
+                kinds, digits, values = (b.column(i).to_pylist() for i in (1, 2, 3))
+                titles = [i for i, k in enumerate(kinds) if k == "t"]
+                others = [i for i, k in enumerate(kinds) if k != "t"]
+                out, name = P.Buckets(buckets), uuid.uuid4().hex
+                if titles:
+                    who, key, place_, n, bits = _suffixes([values[i] for i in titles], [digits[i] for i in titles], order.value)
+                    out.add(key, who.astype(np.uint16), place_)
+                    with fs.open_output_stream(f"{here}/{name}") as f:
+                        f.write(np.column_stack([num[titles].view(np.uint64), n.astype(np.uint64), bits]).tobytes())
+                    for r in out.rows():
+                        yield r.append_column("name", pa.array([name] * r.num_rows))
+                if others:
+                    out.add(_equal([kinds[i] for i in others], [values[i] for i in others]), num[others], np.zeros(len(others), np.uint8))
+                    for r in out.rows():
+                        yield r.append_column("name", pa.array([""] * r.num_rows))
+
+    def among(key, owner, at, sheet):
+        """Pairs of the batch's titles."""
+        order = np.argsort(sheet[:, 1], kind="stable")
+        number = np.empty(len(sheet), np.uint64)
+        number[order] = np.arange(len(sheet), dtype=np.uint64)
+        sheet = sheet[order]
+        whole = (key.astype(np.uint64) << np.uint64(32)) | number[owner]
+        o = np.argsort(whole)
+        whole, at = whole[o], at[o]
+        new = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+        at = np.minimum.reduceat(at, new)
+        key, who = (whole[new] >> np.uint64(32)).astype(np.uint32), (whole[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        found, waiting, m = np.zeros(0, np.int64), [], len(sheet)
+        for i, j in _list_pairs(who, at, cut, sheet[:, 1].astype(np.int64), sheet[:, 2:], SHARE):
+            waiting.append(i * m + j)
+            if len(waiting) >= 4096:
+                found, waiting = K.sorted_set(np.concatenate([found, *waiting])), []
+        found = K.sorted_set(np.concatenate([found, *waiting]))
+        nums = np.ascontiguousarray(sheet[:, 0]).view(np.int64)
+        return nums[found // m], nums[found % m], np.full(len(found), -1)
+
+    def before(bucket, key, num, n, bits):
+        """Records of the segments, by entries of the same key whose sizes and bitmaps don't rule them out."""
+        fs, p = pafs.FileSystem.from_uri(path)
+        o = np.argsort(key, kind="stable")
+        key, num, n, bits = key[o], num[o], n[o], bits[o]
+        asked, begin = np.unique(key, return_index=True)
+        end = np.r_[begin[1:], len(key)]
+        apart = (1 - SHARE) / (1 + SHARE)
+        for s, segment in enumerate(segments):
+            name = f"{p}/{segment['name']}/bucket-{bucket}"
+            if fs.get_file_info(name).type != pafs.FileType.File:
+                continue
+            with fs.open_input_file(name) as f:
+                which, entry = BucketFile(f).find(asked)
+            width = end[which] - begin[which]
+            total = np.r_[0, np.cumsum(width)]
+            x = 0
+            while x < len(which):
+                y = max(x + 1, int(np.searchsorted(total, total[x] + READ, "right")) - 1)
+                w = which[x:y]
+                q = np.arange(int(total[y] - total[x])) + np.repeat(begin[w] - (total[x:y] - total[x]), width[x:y])
+                e = entry[np.repeat(np.arange(x, y), width[x:y])]
+                a, b = n[q], e["n"].astype(np.int64)
+                ok = (SHARE * a <= b + 1e-9) & (SHARE * b <= a + 1e-9)  # ids and addresses have size 0 and meet their like only
+                q, e, a, b = q[ok], e[ok], a[ok], b[ok]
+                ok = np.bitwise_count(bits[q] ^ e["bits"]).sum(axis=1) <= apart * (a + b) + 1e-9
+                yield num[q[ok]], e["at"][ok].astype(np.int64), np.full(int(ok.sum()), s)
+                x = y
 
     def meet(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in t["keys"].to_pylist()])
-        owners = np.concatenate([np.frombuffer(x, np.int64) for x in t["owners"].to_pylist()])
-        extra = np.concatenate([np.frombuffer(x, _POSTING) for x in t["extra"].to_pylist()])
-        out = []
-        title = extra["n"] > 0
-        if title.any():  # titles of the batch with each other
-            nums, first, inv = np.unique(owners[title], return_index=True, return_inverse=True)
-            sizes = extra["n"][title][first].astype(np.int64)
-            by_size = np.argsort(sizes, kind="stable")
-            number = np.empty(len(nums), np.int64)
-            number[by_size] = np.arange(len(nums))
-            who = number[inv]
-            whole = (keys[title].astype(np.uint64) << np.uint64(32)) | who.astype(np.uint64)
-            o = np.argsort(whole)
-            whole, at = whole[o], extra["place"][title][o]
-            new = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
-            at = np.minimum.reduceat(at, new)
-            key, who = (whole[new] >> np.uint64(32)).astype(np.uint32), (whole[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-            bits = extra["bits"][title][first][by_size]
-            found = [i * len(nums) + j for i, j in _list_pairs(who, at, cut, sizes[by_size], bits[:, None], SHARE)]
-            if found:
-                pair = K.sorted_set(np.concatenate(found))
-                nums = nums[by_size]
-                a, b = nums[pair // len(nums)], nums[pair % len(nums)]
-                out.append((np.minimum(a, b), np.maximum(a, b), np.full(len(pair), -1)))
-        if segments:
-            fs, p = pafs.FileSystem.from_uri(path)
-            o = np.argsort(keys, kind="stable")
-            keys, owners, extra = keys[o], owners[o], extra[o]
-            asked, begin = np.unique(keys, return_index=True)
-            end = np.r_[begin[1:], len(keys)]
-            apart = (1 - SHARE) / (1 + SHARE)
-            for s, segment in enumerate(segments):
-                name = f"{p}/{segment['name']}/bucket-{t['bucket'][0].as_py()}"
-                if fs.get_file_info(name).type != pafs.FileType.File:
-                    continue
-                with fs.open_input_file(name) as f:
-                    which, entry = BucketFile(f).find(asked)
-                width = end[which] - begin[which]
-                total = np.r_[0, np.cumsum(width)]
-                x = 0
-                while x < len(which):
-                    y = max(x + 1, int(np.searchsorted(total, total[x] + READ, "right")) - 1)
-                    w = which[x:y]
-                    q = np.arange(int(total[y] - total[x])) + np.repeat(begin[w] - (total[x:y] - total[x]), width[x:y])
-                    e = entry[np.repeat(np.arange(x, y), width[x:y])]
-                    n, m = extra["n"][q].astype(np.int64), e["n"].astype(np.int64)
-                    ok = np.where((n > 0) & (m > 0), np.bitwise_count(extra["bits"][q] ^ e["bits"]) <= apart * (n + m) + 1e-9, n == m)
-                    ok &= (SHARE * n <= m + 1e-9) & (SHARE * m <= n + 1e-9)
-                    out.append((owners[q[ok]], e["at"][ok].astype(np.int64), np.full(int(ok.sum()), s)))
-                    x = y
+        fs, here = files()
+        keys, owners, places, sheets, have, equal = [], [], [], [], 0, []
+        for name, ks, os, ps in zip(*(t[c].to_pylist() for c in ("name", "keys", "owners", "extra"))):
+            if not name:
+                equal.append((np.frombuffer(ks, np.uint32), np.frombuffer(os, np.int64)))
+                continue
+            with fs.open_input_file(f"{here}/{name}") as f:
+                sheet = np.frombuffer(f.read(), np.uint64).reshape(-1, 2 + WORDS)
+            os = np.frombuffer(os, np.uint16)
+            used = np.zeros(len(sheet), bool)
+            used[os] = True
+            keys.append(np.frombuffer(ks, np.uint32)), places.append(np.frombuffer(ps, np.uint16)), owners.append((np.cumsum(used) - 1)[os] + have), sheets.append(sheet[used])
+            have += len(sheets[-1])
+        out, bucket = [], t["bucket"][0].as_py()
+        if sheets:
+            key, owner, at, sheet = (np.concatenate(x) for x in (keys, owners, places, sheets))
+            out.append(among(key, owner, at, sheet))
+            if segments:
+                out += before(bucket, key, sheet[owner, 0].view(np.int64), sheet[owner, 1].astype(np.int64), sheet[owner, 2:])
+        if equal and segments:
+            key, num = (np.concatenate(x) for x in zip(*equal))
+            out += before(bucket, key, num, np.zeros(len(key), np.int64), np.zeros((len(key), WORDS), np.uint64))
         a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "segment": pa.array(s.astype(np.int32))})
 
-    posted = names.select("num", "kind", "digits", "value").mapInArrow(emit, P.SCHEMA)
-    return C.checkpoint(posted.groupBy("bucket").applyInArrow(meet, "a long, b long, segment int").distinct())
+    posted = names.select("num", "kind", "digits", "value").mapInArrow(emit, P.SCHEMA + ", name string")
+    met = C.checkpoint(posted.groupBy("bucket").applyInArrow(meet, "a long, b long, segment int").distinct())
+    fs.delete_dir(here)
+    return met
 
 
 def _linked(pairs: DataFrame, names: DataFrame) -> DataFrame:
@@ -323,9 +361,16 @@ def absorb(rows: DataFrame, tables: C.Tables, store: Store | None = None, keep:
 def _record_postings(b: pa.RecordBatch, classes: np.ndarray):
     """(row, key, size, bitmap) of records."""
     _, ids, pages, digits, bare = (c.to_pylist() for c in b.columns)
-    rows = [(i, kind, v, digits[i]) for kind, col in (("i", ids), ("p", pages), ("t", bare)) for i, v in enumerate(col) if v is not None]
-    who, key, _, n, bits = _postings([r[1] for r in rows], [r[2] for r in rows], [r[3] or "" for r in rows], classes)
-    return np.array([r[0] for r in rows], np.int64)[who], key, n, bits
+    titles = [i for i, x in enumerate(bare) if x is not None]
+    who, key, _, n, bits = _suffixes([bare[i] for i in titles], [digits[i] for i in titles], classes)
+    others = [(i, kind, v) for kind, col in (("i", ids), ("p", pages)) for i, v in enumerate(col) if v is not None]
+    zero = np.zeros(len(others), np.int64)
+    return (
+        np.r_[np.array(titles, np.int64)[who], np.array([i for i, *_ in others], np.int64)],
+        np.r_[key, _equal([k for _, k, _ in others], [v for *_, v in others])],
+        np.r_[n[who], zero],
+        np.r_[bits[who], np.zeros((len(others), WORDS), np.uint64)],
+    )
 
 
 def find_repeats(df: DataFrame, ordinal: str, id_: str, title: str, address, store: Store | None = None, keep: bool = True, last: int = LAST) -> DataFrame:
@@ -342,14 +387,14 @@ def find_repeats(df: DataFrame, ordinal: str, id_: str, title: str, address, sto
 
 def find_all_repeats(df: DataFrame, ordinal: str, id_: str, title: str, address, first: int = FIRST, last: int = LAST) -> DataFrame:
     """The same for a whole table, taken in as increments against a store: ``first`` rows, then as many as are known each time.
-    So every row is looked up against what came before its increment, and the number of increments is the logarithm of the rows'."""
+    So every row is looked up against what came before its increment, and the number of increments is a logarithm of the rows'."""
     spark = df.sparkSession
     tables, store = C.Tables(spark), Store(spark)
     rows = df.count()
     shares, n = [], first
     while n < rows:
         shares.append(n / rows)
-        n *= 2
+        n *= GROWTH
     cuts = df.approxQuantile(ordinal, shares, 0.002) if shares else []
     increment = F.lit(0)
     for c in cuts:
@@ -357,7 +402,9 @@ def find_all_repeats(df: DataFrame, ordinal: str, id_: str, title: str, address,
     table = tables.put(read_rows(df, ordinal, id_, title, address).withColumn("increment", increment), "increment")
     found = None
     for i in range(len(cuts) + 1):
-        now = absorb(table.filter(F.col("increment") == i).drop("increment"), tables, store, i < len(cuts), last)
+        mine = C.Tables(spark)
+        now = absorb(table.filter(F.col("increment") == i).drop("increment"), mine, store, i < len(cuts), last)
+        mine.remove()
         found = now if found is None else found.unionByName(now)
     tables.remove()
     store.remove()

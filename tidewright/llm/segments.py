@@ -23,7 +23,8 @@ from . import common as C
 #: Keys between two fences; distinct keys asked for, a fence each, above which a bucket is read whole.
 FENCE = 256
 #: What stands with a key: place of the record (file, offset), size of its set, bitmap of its set.
-ENTRY = np.dtype([("at", np.uint64), ("n", np.uint32), ("bits", np.uint64)])
+WORDS = 2
+ENTRY = np.dtype([("at", np.uint64), ("n", np.uint32), ("bits", np.uint64, (WORDS,))])
 OFFSET = 40
 
 
