@@ -15,6 +15,8 @@ from pyspark.sql.functions import arrow_udf
 
 #: Code points that one pass over arrays may hold, so that a worker's memory doesn't grow with the batch.
 SLICE_CHARS = 400_000
+#: Rows that may be sent to every task: some 30 MB of keys.
+SENT = 300_000
 
 
 def _set_folder(spark: SparkSession) -> None:
@@ -40,6 +42,12 @@ def folder(spark: SparkSession) -> str:
     return uri if "://" in uri else "file://" + uri.removeprefix("file:")
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A written table of a few keys or numbers a row, to be sent to every task if its count is at most ``SENT``; larger ones are
+    shuffled as usual."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
 class Tables:
     """Tables written to the shared folder for one computation, and removed when it is over."""
 

@@ -262,6 +262,8 @@ def _linked(pairs: DataFrame, names: DataFrame) -> DataFrame:
                 ok = pa.array(similar(a[i:j], b[i:j], 2, SHARE))
                 yield pa.RecordBatch.from_arrays([x.column(0).slice(i, j - i).filter(ok), x.column(1).slice(i, j - i).filter(ok)], ["ka", "kb"])
 
+    named = C.sent(C.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()))
+    names = names.join(named, "num", "left_semi")  # only what a pair names is shuffled
     side = lambda x: names.select(F.col("num").alias(x), F.col("k").alias(f"k{x}"), F.col("digits").alias(f"d{x}"), F.col("value").alias(f"v{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("da = db")
     return both.select("ka", "kb", "va", "vb").mapInArrow(check, "ka binary, kb binary")
@@ -286,7 +288,7 @@ def _known(candidates: DataFrame, names: DataFrame, store: Store) -> DataFrame:
             keep = [i for i, o in enumerate(ok) if o]
             yield pa.RecordBatch.from_pydict({"k": pa.array([ks[i] for i in keep], pa.binary()), "first": pa.array([got[i][0] for i in keep], pa.int64())})
 
-    asked = candidates.join(names, F.col("a") == F.col("num")).select("k", "kind", "digits", "value", "b", "segment").repartition("segment", "b")
+    asked = C.sent(candidates).join(names, F.col("a") == F.col("num")).select("k", "kind", "digits", "value", "b", "segment").repartition("segment", "b")
     return asked.sortWithinPartitions("segment", "b").mapInArrow(check, "k binary, first long").groupBy("k").agg(F.min("first").alias("first"))
 
 
@@ -335,23 +337,25 @@ def absorb(rows: DataFrame, tables: C.Tables, store: Store | None = None, keep:
     classes = store.order(lambda: _classes(names)) if store else _classes(names)
     met = like(names, classes, store)
     links = C.checkpoint(_linked(met.filter("segment = -1"), names))
-    own = named.select("r", "k")
+    own = tables.put(named.select("r", "k"))
     known = None
     if old:
-        known = C.checkpoint(own.join(_known(met.filter("segment >= 0"), names, store), "k").groupBy("r").agg(F.min("first").alias("first_index")))
-        own = own.join(known, "r", "left_anti")
+        found = C.checkpoint(_known(met.filter("segment >= 0"), names, store))
+        known = C.checkpoint(own.join(C.sent(found), "k").groupBy("r").agg(F.min("first").alias("first_index")))
+        own = own.join(C.sent(known), "r", "left_anti")
     watch = links.unionByName(links.select(F.col("kb").alias("ka"), F.col("ka").alias("kb")))
-    shared = own.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k").unionByName(watch.select(F.col("ka").alias("k"))).distinct()
-    mine = own.join(shared, "k", "left_semi").withColumn("own", F.lit(True))
-    theirs = own.join(watch, F.col("k") == F.col("ka")).select("r", F.col("kb").alias("k"), F.lit(False).alias("own"))
+    shared = C.checkpoint(own.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k").unionByName(watch.select(F.col("ka").alias("k"))).distinct())
+    mine = own.join(C.sent(shared), "k", "left_semi").withColumn("own", F.lit(True))
+    theirs = own.join(C.sent(watch), F.col("k") == F.col("ka")).select("r", F.col("kb").alias("k"), F.lit(False).alias("own"))
     claims = C.checkpoint(mine.select("r", "k", "own").unionByName(theirs))
     accepted = C.checkpoint(settle(claims, last))
-    owner = claims.filter("own").join(accepted, "r", "left_semi").groupBy("k").agg(F.min("r").alias("first_index"))
-    rest = claims.join(accepted, "r", "left_anti")
+    some = C.sent(accepted)
+    owner = claims.filter("own").join(some, "r", "left_semi").groupBy("k").agg(F.min("r").alias("first_index"))
+    rest = claims.join(some, "r", "left_anti")
     repeats = rest.join(owner, "k").filter("first_index < r").groupBy("r").agg(F.min("first_index").alias("first_index"))
     repeats = C.checkpoint(repeats if known is None else repeats.unionByName(known.select("r", "first_index")))
     if store and keep:
-        new = rows.join(repeats, "r", "left_anti")
+        new = rows.join(C.sent(repeats), "r", "left_anti")
         count = new.count()
         if count:
             store.add(new, lambda b: _record_postings(b, classes), count)
