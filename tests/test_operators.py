@@ -68,10 +68,12 @@ def test_complement_and_monotone(spark):
 
 
 def test_folds_over_arrays(spark):
-    assert one(spark, series.thinned(F.lit([0.0, 0.5, 1.0, 1.9, 2.5]), 1.0)) == [0.0, 1.0, 2.5]
-    assert one(spark, series.envelope(F.lit([1.0, 0.0]), 0.5, 0.5)) == [0.5, 0.25]
+    rows = spark.createDataFrame([("a", 0.0), ("a", 0.5), ("a", 1.0), ("a", 1.9), ("a", 2.5), ("b", 0.1), (None, 3.0), (None, 9.0)], "g string, v double")
+    assert sorted((r.g or "", r.v) for r in series.thinned(rows, "g", "v", 1.0).collect()) == [("", 3.0), ("", 9.0), ("a", 0.0), ("a", 1.0), ("a", 2.5), ("b", 0.1)]
+    assert [(r.g, r.step, r.level) for r in series.envelope(rows.filter("g = 'b' or v = 1.0"), "g", ["v"], "v", 0.5, 0.5).orderBy("g").collect()] == [("a", 0, 0.5), ("b", 0, 0.05)]
     assert one(spark, series.subsample(F.lit([3, 1, 2, 2, 4]), 2)) == [1, 3]
-    assert one(spark, folds.pages(F.lit([5, 5, 5, 20, 1]), 10)) == [0, 0, 1, 2, 3]
+    heights = spark.createDataFrame([("a", i, h) for i, h in enumerate([5, 5, 5, 20, 1])], "g string, i long, h long")
+    assert [r.page for r in folds.pages(heights, "g", ["i"], "h", 10).orderBy("i").collect()] == [0, 0, 1, 2, 3]
     assert one(spark, folds.grid_height(F.lit([5, 9, 3]), 2, 8)) == 20
     assert sorted(one(spark, folds.closure(F.lit(["a"]), [["a", "b"], ["b", "c"], ["x", "y"]]))) == ["a", "b", "c"]
 
@@ -113,7 +115,24 @@ def test_spoken_numbers():
 def test_rewriting_keeps_a_ledger():
     spoken, ledger = X.rewritten("增长1,200到5M，占95%")
     assert spoken == "增长一千二百到五百万，占百分之九十五"
-    assert [r["kind"] for r in ledger] == ["separator", "scaled", "percent", "number"]
+    assert [r["kind"] for r in ledger] == ["display_number_separator", "million_unit", "count_or_measure", "plain_number"]
+    assert ledger[0] == {"kind": "display_number_separator", "source": "1,200", "reading": "1200", "start": 2, "stop": 7}
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("采用 Q4_K_M 量化（17GB），速度 14 tokens/s，窗口 262，144 token。", "采用 Q 四 K M 量化（十七吉字节），速度 每秒十四个 token，窗口 二十六万二千一百四十四个 token。"),
+        ("包含 4，888 位说话人和 12 项属性。", "包含 四千八百八十八位说话人和 十二项属性。"),
+        ("融资 1.5B 与 2.25K，0.5bn", "融资 十五亿 与 二千二百五十，五亿"),
+        ("GPT-5.2mini 对 Qwen3", "G P T 五点二 m i n i 对 Qwen 三"),
+        ("ABC-12_X 与 zh-CN，req/min，AI 和 NASA", "A B C 十二 X 与 zh C N，req 每 min，AI 和 N A S A"),
+        ("好 。。！ a", "好！ a"),
+        ("", ""),
+    ],
+)
+def test_rewrites(text, want):
+    assert X.rewritten(text)[0] == want
 
 
 def test_caption_units_keep_the_text():
@@ -123,12 +142,23 @@ def test_caption_units_keep_the_text():
     assert X.caption_units("", 28) == [] and X.caption_units("   ", 28) == []
 
 
-def test_labels_are_unique():
-    assert X.unique_labels(["Alpha news", "Alpha again", "Alpha", None]) == ["Alpha", "again", "Alpha · 2", "item"]
+def test_labels_are_unique(spark):
+    titles = ["Alpha news", "Alpha again", "Alpha", None, "  ", "Abcdefghijklmnopqrstuv", "Abcdefghijklmnopqrstuvwx", "Abcdefghijklmnopzz"]
+    df = spark.createDataFrame(list(enumerate(titles)), "i int, t string").select("i", F.lit(1).alias("g"), X.label_base(F.col("t")).alias("b"))
+    got = [r.label for r in ranking.unique_labels(df, "g", "b", "i").orderBy("i").collect()]
+    assert got == ["Alpha", "Alpha · 2", "Alpha · 3", "item", "item · 2", "Abcdefghijklmnop", "Abcdefghij · 2", "Abcdefghij · 3"]
 
 
-def test_cues_and_phrases():
-    assert folds.pack_cues([("a", 0, 1), ("b", 1, 2), ("c", 2, 3)], 2, 10) == [("a b", 0, 2), ("c", 2, 3)]
+def test_fragments(spark):
+    f = lambda t, s: one(spark, X.fragments(F.lit(t), F.lit(s)))
+    assert f("标题", "标题。第一句。第一 句！第二句") == ["标题", "第一句。", "第二句"]
+    assert f("t" * 200, "x。") == ["t" * 200] and f("t" * 100, "y" * 60 + "。x") == ["t" * 100]
+    assert f(None, "a。b。c。d") == ["a。", "b。", "c。"] and f(None, None) == []
+
+
+def test_cues_and_phrases(spark):
+    words = spark.createDataFrame([("x", i, w) for i, w in enumerate(["a", "b", "c", "d" * 12, "e"])] + [("y", 0, None)], "g string, i int, w string")
+    assert [r.cue for r in folds.pack_cues(words, "g", ["i"], "w", 2, 10).orderBy("g", "i").collect()] == [1, 1, 2, 3, 4, 1]
     assert "".join(folds.phrase_cues(list("你好。今天天气不错，我们出去走走，好不好呢？好"))) == "你好。今天天气不错，我们出去走走，好不好呢？好"
 
 

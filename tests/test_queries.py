@@ -29,6 +29,7 @@ def con(data):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(name, spark, data, con):
     df = catalog.QUERIES[name](spark, data)
+    assert len(set(df.columns)) == len(df.columns)
     got = Counter(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
     if name not in catalog.SQL:
         assert got

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def subtitle_time(seconds: Column, mark: str = ",") -> Column:
-    """HH:MM:SS,mmm with milliseconds carried."""
-    ms = F.round(seconds * 1000).cast("long")
-    return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.expr("1") * F.floor(ms / 3600000).cast("long"), (F.floor(ms / 60000) % 60).cast("long"), (F.floor(ms / 1000) % 60).cast("long"), (ms % 1000).cast("long"))
+    """HH:MM:SS,mmm with milliseconds rounded half to even and carried."""
+    ms = F.bround(seconds * 1000).cast("long")
+    return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.floor(ms / 3600000).cast("long"), (F.floor(ms / 60000) % 60).cast("long"), (F.floor(ms / 1000) % 60).cast("long"), (ms % 1000).cast("long"))
 
 
 def chapter_time(seconds: Column) -> Column:
@@ -49,3 +49,24 @@ def luminance(hex_color: Column) -> Column:
 def contrast(a: Column, b: Column) -> Column:
     """Contrast ratio of two colors, from 1 to 21."""
     return (F.greatest(luminance(a), luminance(b)) + 0.05) / (F.least(luminance(a), luminance(b)) + 0.05)
+
+
+def ticks(x: Column) -> Column:
+    """Seconds of ticks, ten million a second."""
+    return x / F.lit(10_000_000.0)
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded in decimals, halves to the even neighbour."""
+    return F.bround(x.cast("decimal(30,10)"), digits).cast("double")
+
+
+def step_seconds(kind: Column, letters: Column, pause: Column, fps: int = 30) -> Column:
+    """How far a step moves the clock, in whole frames and a hold: typing, output, pause; overlays don't."""
+    typed = F.ceil(letters * F.lit(0.035) * fps) / fps + 0.3
+    shown = F.greatest(F.lit(2), F.ceil(F.lit(0.08) * fps)) / fps + 0.15
+    return F.when(kind == "cmd", typed).when(kind == "out", shown).when(kind == "pause", pause).otherwise(F.lit(0.0))
+
+
+def xfade_offset(seconds: Column, fade: float) -> Column:
+    return F.round(F.greatest(F.lit(0.0), seconds - fade), 3)

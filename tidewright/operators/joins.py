@@ -86,3 +86,14 @@ def against_first(df: DataFrame, group: str, order: str, fields: list[str]) -> D
     first = df.groupBy(group).agg(F.min_by(F.struct(*fields), order).alias("_f")).withColumnRenamed(group, "_g")
     names = F.array_join(F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"_f.{f}")), F.lit(f)) for f in fields))), ",")
     return df.join(first, F.col(group) == F.col("_g")).withColumn("differs", names).filter("differs <> ''").drop("_g", "_f")
+
+
+def claimed_once(pages: DataFrame, beats: DataFrame, pos: str, asset: str, page: str, claim: str) -> DataFrame:
+    """``page, pos``: the earliest beat that binds each page, so that none is used twice. ``pages`` has a page's claims, one a row;
+    ``beats`` a place and a planned asset, whose claims are the beat's. A beat takes its own asset and pages no beat plans, if a
+    claim is shared; the beat at place 0 takes none."""
+    planned = beats.select(F.col(asset).alias("_planned")).distinct()
+    wanted = beats.filter(F.col(pos) > 0).join(pages.select(F.col(page).alias("_of"), F.col(claim).alias("_claim")), F.col(asset) == F.col("_of")).select(pos, asset, "_claim").distinct()
+    free = pages.join(planned, F.col(page) == F.col("_planned"), "left").withColumn("_free", F.col("_planned").isNull())
+    met = free.join(wanted, F.col(claim) == F.col("_claim")).filter(F.col("_free") | (F.col(page) == F.col(asset)))
+    return met.groupBy(page).agg(F.min(pos).alias(pos))

@@ -95,3 +95,24 @@ def natural_key(text: Column, width: int = 12) -> Column:
     """A sort key in which runs of digits count by value."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(0))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p)), "")
+
+
+def unique_labels(df: DataFrame, group: str, base: str, ordinal: str) -> DataFrame:
+    """Adds ``label``: the base for its first row in the group, for others its first ten characters and a number that no other row
+    with these has."""
+    x = df.withColumn("_n", F.row_number().over(W.partitionBy(group, base).orderBy(ordinal)))
+    stem = F.left(F.col(base), F.lit(10))
+    again = F.row_number().over(W.partitionBy(group, stem, F.col("_n") > 1).orderBy(ordinal))
+    return x.withColumn("label", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(stem, F.lit(" · "), (again + 1).cast("string")))).drop("_n")
+
+
+def best_page(page: str, explicit: Column, area: Column, full: int) -> Column:
+    """The page with the greatest score plus share of a full area (1 at most); of equal ones the lowest."""
+    return F.max_by(page, F.struct((explicit + F.least(area / full, F.lit(1.0))).alias("s"), (-F.col(page)).alias("p")))
+
+
+def in_known_order(df: DataFrame, group: str, name: str, known: list[str], then: list[str]) -> DataFrame:
+    """Adds ``place``: names stand where the known order has them, whether or not the group lists all; unknown ones come last, by ``then``."""
+    at = F.array_position(F.array(*map(F.lit, known)), F.col(name))
+    pos = F.when(at > 0, at).otherwise(F.lit(1000))
+    return df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(pos, *then)))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def longest_run(df: DataFrame, group: str, order: str, value: Column, ignore: str = "unspecified") -> DataFrame:
     """``group, longest``: the greatest number of equal neighbours, runs of null or ``ignore`` aside (0 if none)."""
@@ -92,20 +96,37 @@ def subsample(values: Column, n: int) -> Column:
     return F.when(F.size(v) <= n, v).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(v, (F.floor(i * F.size(v) / n) + 1).cast("int"))))
 
 
-def thinned(values: Column, gap: float) -> Column:
-    """Of a sorted array the values at least ``gap`` after the last one kept: each choice depends on the one before."""
-    return F.aggregate(values, F.array().cast("array<double>"), lambda kept, v: F.when((F.size(kept) == 0) | (v - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(v))).otherwise(kept))
+def thinned(df: DataFrame, group: str, value: str, gap: float) -> DataFrame:
+    """The group's rows, by ``value``, that are at least ``gap`` after the last one kept: each choice depends on the one before."""
+
+    def feed(state, p):
+        v, keep, i = p[value].to_numpy(), [], 0
+        while i < len(v):
+            if state["last"] is None or v[i] - state["last"] >= gap:
+                keep.append(i)
+                state["last"] = v[i]
+                i += 1
+            else:  # on to where the gap may be over
+                i = max(i + 1, int(np.searchsorted(v, state["last"] + gap - 1e-6)))
+        return p.iloc[keep]
+
+    return folds.carried(df.filter(F.col(value).isNotNull()), group, [value], folds._with(df, "")[:-2], lambda: {"last": None}, feed)
 
 
-def envelope(values: Column, attack: float, release: float) -> Column:
-    """A follower that rises by ``attack`` and falls by ``release`` of the distance at every step, as an array."""
-    start = F.struct(F.lit(0.0).alias("level"), F.array().cast("array<double>").alias("out"))
+def envelope(df: DataFrame, group: str, order: list[str], value: str, attack: float, release: float) -> DataFrame:
+    """``group, step, level``: a follower that rises by ``attack`` and falls by ``release`` of the distance at every step."""
 
-    def step(s, v):
-        level = s["level"] + F.when(v > s["level"], F.lit(attack)).otherwise(F.lit(release)) * (v - s["level"])
-        return F.struct(level.alias("level"), F.concat(s["out"], F.array(level)).alias("out"))
+    def feed(state, p):
+        steps, levels = [], []
+        for v in p[value].tolist():
+            state["level"] += (attack if v > state["level"] else release) * (v - state["level"])
+            levels.append(state["level"])
+            steps.append(state["step"])
+            state["step"] += 1
+        return pd.DataFrame({group: p[group].to_numpy(), "step": steps, "level": levels})
 
-    return F.aggregate(values, start, step, lambda s: s["out"])
+    kind = df.schema[group].dataType.simpleString()
+    return folds.carried(df.filter(F.col(value).isNotNull()), group, order, f"`{group}` {kind}, step int, level double", lambda: {"level": 0.0, "step": 0}, feed)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:

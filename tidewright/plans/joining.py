@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators.numbering import numbered
 from ..registry import query, table
 from .common import ITEMS_SQL, items
 
@@ -46,16 +47,20 @@ def j03(spark, d):
 
 @query(
     "j04_largest_overlap",
-    f"""WITH {_WORK}, p AS (SELECT a.event_no AS left_no, b.event_no AS right_no, least(a.w_end, b.w_end) - greatest(a.w_start, b.w_start) AS overlap FROM work a JOIN work b ON a.project_id = b.project_id AND a.event_no <> b.event_no AND a.w_start < b.w_end AND b.w_start < a.w_end)
-  SELECT left_no, right_no, round(overlap, 3) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY left_no ORDER BY round(overlap, 6) DESC, right_no) AS rn FROM p) WHERE rn = 1""",
+    f"""WITH {_WORK}, i AS (SELECT a.event_no AS left_no, min(b.event_no) AS right_no FROM work a JOIN work b ON a.project_id = b.project_id AND a.scene_id = b.scene_id AND a.event_no <> b.event_no GROUP BY 1),
+  p AS (SELECT a.event_no AS left_no, b.event_no AS right_no, least(a.w_end, b.w_end) - greatest(a.w_start, b.w_start) AS overlap FROM work a JOIN work b ON a.project_id = b.project_id AND a.event_no <> b.event_no AND a.w_start < b.w_end AND b.w_start < a.w_end WHERE a.event_no NOT IN (SELECT left_no FROM i))
+  SELECT left_no, right_no, 'id' AS matched FROM i UNION ALL SELECT left_no, right_no, 'overlap' FROM (SELECT *, row_number() OVER (PARTITION BY left_no ORDER BY round(overlap, 6) DESC, right_no) AS rn FROM p) WHERE rn = 1""",
 )
 def j04(spark, d):
     w = _work(spark, d)
-    left = w.select(F.col("event_no").alias("left_no"), "project_id", F.col("w_start").alias("a0"), F.col("w_end").alias("a1"))
+    seen = w.filter("scene_id is not null").select("project_id", "scene_id", "event_no").distinct()
+    two = seen.withColumn("n", F.row_number().over(W.partitionBy("project_id", "scene_id").orderBy("event_no"))).filter("n <= 2").groupBy("project_id", "scene_id").agg(F.min("event_no").alias("one"), F.max("event_no").alias("two"), F.count("*").alias("n")).filter("n = 2")
+    by_id = seen.join(two, ["project_id", "scene_id"]).groupBy(F.col("event_no").alias("left_no")).agg(F.min(F.when(F.col("event_no") != F.col("one"), F.col("one")).otherwise(F.col("two"))).alias("right_no"))
+    left = w.join(by_id, F.col("event_no") == F.col("left_no"), "left_anti").select(F.col("event_no").alias("left_no"), "project_id", F.col("w_start").alias("a0"), F.col("w_end").alias("a1"))
     right = w.select(F.col("event_no").alias("right_no"), "project_id", F.col("w_start").alias("b0"), F.col("w_end").alias("b1"))
     pairs = J.interval_join(left, right, ("a0", "a1"), ("b0", "b1"), 60.0, ["project_id"]).filter("left_no <> right_no")
-    x = pairs.withColumn("overlap", F.round(F.least("a1", "b1") - F.greatest("a0", "b0"), 6))
-    return x.groupBy("left_no").agg(F.max(F.struct("overlap", (-F.col("right_no")).alias("n"))).alias("m")).select("left_no", (-F.col("m.n")).alias("right_no"), F.round("m.overlap", 3).alias("overlap"))
+    best = pairs.withColumn("overlap", F.round(F.least("a1", "b1") - F.greatest("a0", "b0"), 6)).groupBy("left_no").agg(F.max(F.struct("overlap", (-F.col("right_no")).alias("n"))).alias("m"))
+    return by_id.select("left_no", "right_no", F.lit("id").alias("matched")).unionByName(best.select("left_no", (-F.col("m.n")).alias("right_no"), F.lit("overlap").alias("matched")))
 
 
 @query(
@@ -86,33 +91,41 @@ def j06(spark, d):
 @query(
     "j07_span_overlap_times",
     """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q, l_partkey AS p, l_suppkey AS u FROM lineitem), w AS (SELECT *, sum(q) OVER (PARTITION BY k ORDER BY n, p, u, q ROWS UNBOUNDED PRECEDING) AS e FROM s)
-  SELECT k, u.i AS unit, min(e - q) AS first_at, max(e) AS last_at, count(*) AS words FROM w JOIN (SELECT unnest(range(0, 10)) AS i) u ON e - q < (u.i + 1) * 40 AND u.i * 40 < e GROUP BY 1, 2""",
+  SELECT k, u.i AS unit, min(e - q) AS first_at, max(e) AS last_at, count(*) AS words FROM w JOIN (SELECT unnest(range(0, (SELECT ceil(max(e) / 40)::BIGINT FROM w))) AS i) u ON e - q < (u.i + 1) * 40 AND u.i * 40 < e GROUP BY 1, 2""",
 )
 def j07(spark, d):
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("u"))
     w = s.withColumn("e", F.sum("q").over(W.partitionBy("k").orderBy("n", "p", "u", "q").rowsBetween(W.unboundedPreceding, 0)))
     cells = F.sequence(F.floor((F.col("e") - F.col("q")) / 40), F.ceil(F.col("e") / 40) - 1)
-    return w.withColumn("unit", F.explode(cells)).filter("unit < 10").groupBy("k", "unit").agg(F.min(F.col("e") - F.col("q")).alias("first_at"), F.max("e").alias("last_at"), F.count("*").alias("words"))
+    return w.withColumn("unit", F.explode(cells)).groupBy("k", "unit").agg(F.min(F.col("e") - F.col("q")).alias("first_at"), F.max("e").alias("last_at"), F.count("*").alias("words"))
 
 
 @query(
     "j08_group_attach",
-    """WITH e AS (SELECT DISTINCT project_id, scene_id, event_no, tool, event FROM event_log WHERE scene_id IS NOT NULL)
-  SELECT project_id, scene_id, count(*) AS assets, arg_max(tool, event_no) AS active FROM e GROUP BY 1, 2""",
+    """WITH e AS (SELECT DISTINCT project_id, scene_id, event_no, tool, event FROM event_log), p AS (SELECT project_id, arg_max(tool, event_no) AS tool FROM e WHERE scene_id IS NULL GROUP BY 1),
+  g AS (SELECT project_id, scene_id, count(*) AS assets, arg_max(tool, event_no) FILTER (event = 'finish') AS shown, arg_max(tool, event_no) FILTER (event = 'error') AS missing FROM e WHERE scene_id IS NOT NULL GROUP BY 1, 2)
+  SELECT project_id, scene_id, assets, coalesce(shown, missing, p.tool) AS active, CASE WHEN shown IS NOT NULL THEN 'shown' WHEN missing IS NOT NULL THEN 'missing' WHEN p.tool IS NOT NULL THEN 'project' END AS tier FROM g LEFT JOIN p USING (project_id)""",
 )
 def j08(spark, d):
-    e = table(spark, d, "event_log").filter("scene_id is not null").select("project_id", "scene_id", "event_no", "tool", "event").distinct()
-    return e.groupBy("project_id", "scene_id").agg(F.count("*").alias("assets"), F.max_by("tool", "event_no").alias("active"))
+    e = table(spark, d, "event_log").select("project_id", "scene_id", "event_no", "tool", "event").distinct()
+    last = lambda cond: F.max_by("tool", F.when(cond & F.col("tool").isNotNull(), F.col("event_no")))
+    g = e.filter("scene_id is not null").groupBy("project_id", "scene_id").agg(F.count("*").alias("assets"), last(F.col("event") == "finish").alias("shown"), last(F.col("event") == "error").alias("missing"))
+    p = e.filter("scene_id is null").groupBy("project_id").agg(last(F.lit(True)).alias("tool"))
+    tier = F.when(F.col("shown").isNotNull(), "shown").when(F.col("missing").isNotNull(), "missing").when(F.col("tool").isNotNull(), "project")
+    return g.join(p, "project_id", "left").select("project_id", "scene_id", "assets", F.coalesce("shown", "missing", "tool").alias("active"), tier.alias("tier"))
 
 
 @query(
     "j09_claimed_once",
-    """WITH c AS (SELECT DISTINCT clip_id, unnest(regexp_extract_all(lower(source_tags), '[a-z]+')) AS tag FROM cache_manifest), t AS (SELECT tag, min(clip_id) AS owner, count(*) AS clips FROM c GROUP BY 1)
-  SELECT tag, owner, clips FROM t""",
+    """WITH c AS (SELECT DISTINCT clip_id, source, unnest(regexp_extract_all(lower(source_tags), '[a-z]+')) AS tag FROM cache_manifest WHERE clip_id IS NOT NULL), b AS (SELECT source, min(clip_id) AS asset, row_number() OVER (ORDER BY source) - 1 AS pos FROM c WHERE source IS NOT NULL GROUP BY 1),
+  t AS (SELECT DISTINCT b.pos, b.asset, c.tag FROM b JOIN c ON c.clip_id = b.asset), m AS (SELECT DISTINCT c.clip_id, t.pos FROM c JOIN t USING (tag) WHERE t.pos > 0 AND (c.clip_id = t.asset OR c.clip_id NOT IN (SELECT asset FROM b)))
+  SELECT clip_id AS page, min(pos) AS beat FROM m GROUP BY 1""",
 )
 def j09(spark, d):
-    c = table(spark, d, "cache_manifest").select("clip_id", F.explode(F.regexp_extract_all(F.lower("source_tags"), F.lit("[a-z]+"), F.lit(0))).alias("tag")).distinct()
-    return c.groupBy("tag").agg(F.min("clip_id").alias("owner"), F.count("*").alias("clips"))
+    c = table(spark, d, "cache_manifest").filter("clip_id is not null").select("clip_id", "source", F.explode(F.regexp_extract_all(F.lower("source_tags"), F.lit("[a-z]+"), F.lit(0))).alias("tag")).distinct()
+    first = c.filter("source is not null").groupBy("source").agg(F.min("clip_id").alias("asset"))
+    beats = numbered(first, "source", "place").select((F.col("place") - 1).alias("pos"), "asset")
+    return J.claimed_once(c.select(F.col("clip_id").alias("page"), F.col("tag").alias("claim")).distinct(), beats, "pos", "asset", "page", "claim").select("page", F.col("pos").alias("beat"))
 
 
 @query(

@@ -189,12 +189,30 @@ def t08(spark, d):
     return R.evict_until_fits(c, "size_bytes", "at", "clip_id", 2_000_000_000).select("clip_id", "size_bytes")
 
 
-@query("t10_natural_sort")
+@query(
+    "t10_natural_sort",
+    "SELECT DISTINCT source, array_to_string(list_transform(regexp_extract_all(lower(source), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN lpad(coalesce(nullif(ltrim(p, '0'), ''), '0'), 12, '0') ELSE p END), '') AS sort_key FROM documents",
+)
 def t10(spark, d):
     t = table(spark, d, "documents").select("source").distinct()
     return t.select("source", R.natural_key(F.col("source")).alias("sort_key"))
 
 
+@query("t09_best_page", "SELECT batch_no, arg_max(api_index, struct_pack(s := coalesce(CASE WHEN isnan(score) THEN NULL ELSE score END, 0) / 100 + least(length(coalesce(summary, '')) * 1000 / 100000.0, 1.0)::DOUBLE, p := -api_index)) AS page FROM aihot_24h GROUP BY 1")
+def t09(spark, d):
+    t = table(spark, d, "aihot_24h").select("batch_no", "api_index", F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(0.0)).alias("score"), (F.length(F.coalesce("summary", F.lit(""))) * 1000).alias("area"))
+    return t.groupBy("batch_no").agg(R.best_page("api_index", F.col("score") / 100, F.col("area"), 100_000).alias("page"))
+
+
+@query(
+    "t12_stage_positions",
+    "WITH c AS (SELECT project_id, stage, min(timestamp) AS since FROM checkpoints WHERE stage IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, coalesce(list_position(['research', 'proposal', 'idea', 'script', 'scene_plan', 'assets', 'edit', 'compose', 'publish'], stage), 1000) AS pos FROM c) SELECT project_id, stage, row_number() OVER (PARTITION BY project_id ORDER BY pos, since NULLS FIRST, stage) AS place FROM k",
+)
+def t12(spark, d):
+    c = table(spark, d, "checkpoints").filter("stage is not null").groupBy("project_id", "stage").agg(F.min("timestamp").alias("since"))
+    return R.in_known_order(c, "project_id", "stage", ["research", "proposal", "idea", "script", "scene_plan", "assets", "edit", "compose", "publish"], ["since", "stage"]).select("project_id", "stage", "place")
+
+
 @query("t11_live_then_recent", "SELECT project_id, max(ts) AS last_ts, bool_or(event = 'start') AS live FROM event_log GROUP BY 1 ORDER BY live DESC, last_ts DESC, project_id LIMIT 100")
 def t11(spark, d):
     g = table(spark, d, "event_log").groupBy("project_id").agg(F.max("ts").alias("last_ts"), F.bool_or(F.col("event") == "start").alias("live"))

@@ -99,30 +99,29 @@ def w14(spark, d):
 
 @query(
     "w15_monotone_cues",
-    """WITH c AS (SELECT user_id, event_id, (event_id * 10)::BIGINT AS a, least((event_id * 10 + round(value * 3))::BIGINT, 90000) AS z FROM events), k AS (SELECT * FROM c WHERE z > a),
+    """WITH c AS (SELECT user_id, event_id, (event_id * 10)::BIGINT AS a, (event_id * 10 + round(value * 3))::BIGINT AS z FROM events), k AS (SELECT * FROM c WHERE z > a),
   h AS (SELECT user_id, event_id, greatest(a, coalesce(max(z) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a)) AS a, z FROM k)
   SELECT user_id, event_id, a, z, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS cue FROM h WHERE z > a""",
 )
 def w15(spark, d):
     c = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") * 10).alias("a"), (F.col("event_id") * 10 + F.round(F.col("value") * 3)).cast("long").alias("z"))
-    return S.monotone(c, "user_id", ["event_id"], "a", "z", F.lit(90000))
+    return S.monotone(c, "user_id", ["event_id"], "a", "z", F.max("z").over(W.partitionBy("user_id")))
 
 
-@query("w16_thinned_changes")
+@query("w16_thinned_changes", "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t FROM events), r AS (SELECT user_id, min(t) AS kept_at FROM e GROUP BY 1 UNION ALL SELECT r.user_id, min(e.t) FROM r JOIN e ON e.user_id = r.user_id AND e.t - r.kept_at >= 86400 GROUP BY 1) SELECT * FROM r")
 def w16(spark, d):
-    e = _events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return e.select("user_id", F.explode(S.thinned(F.col("ts"), 86400.0)).alias("kept_at"))
+    return S.thinned(_events(spark, d).select("user_id", F.col("t").alias("kept_at")), "user_id", "kept_at", 86400.0)
 
 
 @query(
     "w17_complement_of_silences",
-    """WITH s AS (SELECT user_id, min(event_id) * 10.0 AS a, min(event_id) * 10.0 + 4 AS z FROM events GROUP BY user_id, event_id), p AS (SELECT user_id, greatest(0, coalesce(max(z - 0.5) OVER (PARTITION BY user_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS b, least(a + 0.5, 2000000) AS e FROM s
-  UNION ALL SELECT user_id, max(z - 0.5), 2000000 FROM s GROUP BY 1), k AS (SELECT user_id, b::DOUBLE AS b, e::DOUBLE AS e FROM p WHERE e - b >= 0.01), i AS (SELECT *, sum(CASE WHEN b - le >= 0.05 OR le IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY b) AS g FROM (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY b) AS le FROM k))
+    """WITH s AS (SELECT user_id, a, z, max(z) OVER (PARTITION BY user_id) AS total FROM (SELECT user_id, min(event_id) * 10.0 AS a, min(event_id) * 10.0 + 4 AS z FROM events GROUP BY user_id, event_id)), p AS (SELECT user_id, greatest(0, coalesce(max(z - 0.5) OVER (PARTITION BY user_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS b, least(a + 0.5, total) AS e FROM s
+  UNION ALL SELECT user_id, max(z - 0.5), max(z) FROM s GROUP BY 1), k AS (SELECT user_id, b::DOUBLE AS b, e::DOUBLE AS e FROM p WHERE e - b >= 0.01), i AS (SELECT *, sum(CASE WHEN b - le >= 0.05 OR le IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY b) AS g FROM (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY b) AS le FROM k))
   SELECT user_id, min(b) AS seg_start, arg_max(e, b) AS seg_end FROM i GROUP BY user_id, g""",
 )
 def w17(spark, d):
     s = table(spark, d, "events").select("user_id", (F.col("event_id") * 10.0).alias("a"), (F.col("event_id") * 10.0 + 4).alias("z"))
-    total = F.greatest(F.lit(2000000.0), F.max("z").over(W.partitionBy("user_id")))
+    total = F.max("z").over(W.partitionBy("user_id"))
     return S.complement(s, "user_id", "a", "z", total, 0.5, 0.01, 0.05)
 
 
@@ -162,10 +161,13 @@ def w21(spark, d):
     return t.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select("doc_id", "i", F.round((F.col("i") + 0.5) * F.col("n_chars") / 4, 3).alias("at"))
 
 
-@query("w22_envelope")
+@query(
+    "w22_envelope",
+    """WITH RECURSIVE v AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS step, value FROM events WHERE value IS NOT NULL), r AS (SELECT user_id, step, 0.6::DOUBLE * value AS level FROM v WHERE step = 0 AND value > 0 UNION ALL
+  SELECT v.user_id, v.step, r.level + CASE WHEN v.value > r.level THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END * (v.value - r.level) FROM r JOIN v ON v.user_id = r.user_id AND v.step = r.step + 1) SELECT user_id, step, round(level, 6) AS level FROM r""",
+)
 def w22(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return e.select("user_id", F.posexplode(S.envelope(F.col("v"), 0.6, 0.1)).alias("step", "level"))
+    return S.envelope(table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value", 0.6, 0.1).withColumn("level", F.round("level", 6))
 
 
 @query(

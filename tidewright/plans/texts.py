@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import timefmt as D
+from ..operators import ranking as R
 from ..registry import query, table
 
 _WS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
@@ -36,7 +36,7 @@ def n03(spark, d):
     return _docs(spark, d).select("doc_id", X.ungrouped(F.col("text")).alias("text"))
 
 
-@query("n04_visible_units", rf"SELECT api_index, length(regexp_replace(title, '{_WS}+', '', 'g')) AS units FROM aihot_24h WHERE title IS NOT NULL AND NOT regexp_matches(title, '[0-9][,，][0-9]')")
+@query("n04_visible_units", rf"SELECT api_index, length(regexp_replace(title, '{_WS}+', '', 'g')) - coalesce(list_sum(list_transform(regexp_extract_all(title, '(?:^|[^0-9])[0-9]{{1,3}}(?:[,，][0-9]{{3}})+(?:[^0-9]|$)'), lambda x: len(regexp_extract_all(x, '[0-9][,，][0-9]')))), 0)::BIGINT AS units FROM aihot_24h WHERE title IS NOT NULL")
 def n04(spark, d):
     return _feed(spark, d).filter("title is not null").select("api_index", X.visible_units(F.col("title")).cast("long").alias("units"))
 
@@ -58,7 +58,7 @@ def n06(spark, d):
 @query("n08_spoken_rewrites")
 def n08(spark, d):
     x = _feed(spark, d).filter("title is not null").select("api_index", X.rewritten_udf("title").alias("r"))
-    return x.select("api_index", F.col("r.spoken").alias("spoken"), F.explode_outer("r.rewrites").alias("w")).select("api_index", "spoken", "w.*")
+    return x.select("api_index", F.col("r.spoken").alias("spoken"), F.inline_outer("r.rewrites"))
 
 
 @query(
@@ -71,22 +71,36 @@ def n09(spark, d):
     return t.select("api_index", F.array_join(X.unsupported(F.col("title"), F.col("originalTitle")), " ").alias("unsupported"))
 
 
-@query("n10_copied")
+@query(
+    "n10_copied",
+    rf"""WITH c AS (SELECT api_index, regexp_replace(title, '({_WS}|[\p{{P}}])+', '', 'g') AS t, regexp_replace(summary, '({_WS}|[\p{{P}}])+', '', 'g') AS s FROM aihot_24h WHERE title IS NOT NULL AND summary IS NOT NULL)
+  SELECT api_index, t = s OR (length(t) >= 18 AND contains(s, t)) AS copied FROM c""",
+)
 def n10(spark, d):
     t = _feed(spark, d).filter("title is not null and summary is not null")
     return t.select("api_index", X.copied(F.col("title"), F.col("summary")).alias("copied"))
 
 
-@query("n11_missing_tokens")
+@query(
+    "n11_missing_tokens",
+    """SELECT api_index, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all("originalTitle", '[A-Z][a-z]{3,}'), lambda w: NOT regexp_matches(title, '(^|[^A-Za-z0-9])' || w || '($|[^A-Za-z0-9])', 'i')))), ' ') AS missing
+  FROM aihot_24h WHERE title IS NOT NULL AND "originalTitle" IS NOT NULL""",
+)
 def n11(spark, d):
     t = _feed(spark, d).filter("title is not null and originalTitle is not null")
     names = F.regexp_extract_all("originalTitle", F.lit("[A-Z][a-z]{3,}"), F.lit(0))
     return t.select("api_index", F.array_join(X.missing_tokens(names, F.col("title")), " ").alias("missing"))
 
 
-@query("n12_fragments")
+@query(
+    "n12_fragments",
+    """WITH p AS (SELECT api_index, list_concat([trim(coalesce(title, ''), ' ')], list_filter(list_transform(coalesce(regexp_extract_all(summary, '[^。！？!?；;]+[。！？!?；;]?'), []), lambda x: trim(x, ' ')), lambda x: x <> '')) AS p FROM aihot_24h),
+  k AS (SELECT api_index, p, list_transform(p, lambda x: replace(regexp_replace(x, '[。！？!?；;\\s]+$', ''), ' ', '')) AS k FROM p), o AS (SELECT api_index, list_filter(p, lambda x, i: k[i] <> '' AND list_position(k, k[i]) = i) AS o FROM k),
+  n AS (SELECT api_index, o, len(list_filter(range(1, len(o) + 1), lambda i: list_sum(list_transform(o[1:i], lambda x: length(x))) + i - 1 <= 155)) AS n FROM o)
+  SELECT api_index, (i - 1)::INT AS place, o[i] AS fragment FROM n, (SELECT unnest([1, 2, 3]) AS i) WHERE i <= len(o) AND i <= greatest(1, n)""",
+)
 def n12(spark, d):
-    return _feed(spark, d).select("api_index", F.posexplode(X.fragments_udf("title", "summary")).alias("place", "fragment"))
+    return _feed(spark, d).select("api_index", F.posexplode(X.fragments(F.col("title"), F.col("summary"))).alias("place", "fragment"))
 
 
 @query(
@@ -98,14 +112,15 @@ def n13(spark, d):
     return _feed(spark, d).filter("summary is not null").select("api_index", F.array_join(X.clauses(F.col("summary")), "|").alias("clauses"))
 
 
-@query("n14_unique_labels")
+@query(
+    "n14_unique_labels",
+    """WITH b AS (SELECT batch_no, api_index, left(coalesce(nullif(regexp_extract(title, '[A-Za-z][A-Za-z0-9.+-]*|[一-鿿]+'), ''), nullif(trim(title, ' '), ''), 'item'), 16) AS base FROM aihot_24h),
+  r AS (SELECT *, row_number() OVER (PARTITION BY batch_no, base ORDER BY api_index) AS n FROM b), s AS (SELECT *, CASE WHEN n > 1 THEN row_number() OVER (PARTITION BY batch_no, left(base, 10), n > 1 ORDER BY api_index) END AS again FROM r)
+  SELECT api_index, CASE WHEN n = 1 THEN base ELSE left(base, 10) || ' · ' || (again + 1) END AS label FROM s""",
+)
 def n14(spark, d):
-    def label(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("api_index")
-        return pd.DataFrame({"api_index": p["api_index"], "label": X.unique_labels(p["title"].tolist())})
-
-    # a batch is what one fetch returned: its size has the fetch's limit
-    return _feed(spark, d).select("batch_no", "api_index", "title").groupBy("batch_no").applyInPandas(label, "api_index long, label string")
+    b = _feed(spark, d).select("batch_no", "api_index", X.label_base(F.col("title")).alias("base"))
+    return R.unique_labels(b, "batch_no", "base", "api_index").select("api_index", "label")
 
 
 @query("n15_tokens", """WITH t AS (SELECT unnest(regexp_extract_all(lower("originalTitle"), '[a-z0-9](?:[a-z0-9+._-]*[a-z0-9])?')) AS token FROM aihot_24h) SELECT token, count(*) AS n FROM t GROUP BY 1""")
@@ -119,7 +134,11 @@ def n16(spark, d):
     return w.select("doc_id", F.size("w").cast("long").alias("words"), F.size(F.array_distinct("w")).cast("long").alias("distinct_words"))
 
 
-@query("n17_corrections")
+@query(
+    "n17_corrections",
+    """SELECT api_index, array_to_string(list_transform(string_split("originalTitle", ' '), lambda w: coalesce(CASE lower(rtrim(w, '.,!?;:')) WHEN 'releases' THEN 'ships' WHEN 'updates' THEN 'renews' WHEN 'repository' THEN 'repo' END || substr(w, length(rtrim(w, '.,!?;:')) + 1), w)), ' ') AS title
+  FROM aihot_24h WHERE "originalTitle" IS NOT NULL""",
+)
 def n17(spark, d):
     return _feed(spark, d).filter("originalTitle is not null").select("api_index", X.corrected(F.col("originalTitle"), {"releases": "ships", "updates": "renews", "repository": "repo"}).alias("title"))
 
@@ -133,6 +152,16 @@ def n18(spark, d):
     return t.filter("tag <> ''").groupBy("tag").agg(F.count("*").alias("clips"))
 
 
+@query(
+    "n18b_slugs_and_years",
+    """SELECT DISTINCT source_url, array_to_string(list_filter(string_split_regex(lower(regexp_extract(rtrim(source_url, '/'), '([^/]*)$', 1)), '[-_.?=&]+'), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$')), ' ') AS tags,
+  TRY_CAST(nullif(regexp_extract(source_url, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), '') AS INTEGER) AS year, CASE WHEN contains(lower(license), 'cc0') OR contains(lower(license), 'public') THEN 'public' WHEN contains(lower(license), 'cc') THEN 'attribution' WHEN license IS NULL OR trim(license, ' ') = '' THEN 'unknown' ELSE 'other' END AS license_class FROM cache_manifest WHERE source_url IS NOT NULL""",
+)
+def n18b(spark, d):
+    t = table(spark, d, "cache_manifest").filter("source_url is not null")
+    return t.select("source_url", F.array_join(X.slug_tags(F.col("source_url")), " ").alias("tags"), X.year_token(F.col("source_url")).alias("year"), X.license_class(F.col("license")).alias("license_class")).distinct()
+
+
 _PHRASES = ["in most regions", "according to the team", "本条由编辑部整理", "据公告"]
 
 
@@ -156,16 +185,40 @@ def n22(spark, d):
     return _docs(spark, d).select("doc_id", X.plain_dashes(F.col("text")).alias("text"))
 
 
-@query("n24_platforms", "SELECT api_index, CASE WHEN contains(lower(links.original), '/article') THEN 'article' WHEN contains(lower(links.original), '/news') THEN 'news' WHEN contains(lower(links.original), '?') THEN 'query' ELSE 'page' END AS platform FROM aihot_24h WHERE links.original IS NOT NULL")
+# Fragments of addresses and the platform they name, in the order in which they are asked.
+_PLATFORMS = [("youtube.com/shorts", "shorts"), ("youtu.be+/shorts", "shorts"), ("youtube.com", "youtube"), ("youtu.be", "youtube"), ("instagram.com", "instagram"), ("tiktok.com", "tiktok"), ("vimeo.com", "vimeo"), ("twitter.com", "twitter"), ("x.com", "twitter")]
+#: Addresses that the tables don't have, beside those they have.
+_VIDEO_SQL = "u AS (SELECT api_index, links.original AS url FROM aihot_24h WHERE links.original IS NOT NULL UNION ALL SELECT -api_index - 1, ['https://www.youtube.com/shorts/', 'https://youtu.be/', 'https://www.youtube.com/watch?list=a&v=', 'https://www.youtube.com/embed/', 'https://VIMEO.com/', 'https://netflix.com/', 'https://tiktok.com/@', ''][(api_index % 8 + 1)::INT] || left(md5(api_index::VARCHAR), 11) FROM aihot_24h)"
+
+
+def _video_links(spark, d):
+    t = _feed(spark, d)
+    heads = F.array(*map(F.lit, ("https://www.youtube.com/shorts/", "https://youtu.be/", "https://www.youtube.com/watch?list=a&v=", "https://www.youtube.com/embed/", "https://VIMEO.com/", "https://netflix.com/", "https://tiktok.com/@", "")))
+    made = t.select((-F.col("api_index") - 1).alias("api_index"), F.concat(F.get(heads, (F.col("api_index") % 8).cast("int")), F.left(F.md5(F.col("api_index").cast("string").cast("binary")), F.lit(11))).alias("url"))
+    return t.filter("links.original is not null").select("api_index", F.col("links.original").alias("url")).unionByName(made)
+
+
+@query("n24_platforms", f"WITH {_VIDEO_SQL} SELECT api_index, CASE " + " ".join("WHEN " + " AND ".join(f"contains(lower(url), '{x}')" for x in f.split("+")) + f" THEN '{n}'" for f, n in _PLATFORMS) + " ELSE 'other_url' END AS platform FROM u")
 def n24(spark, d):
-    return _feed(spark, d).filter("links.original is not null").select("api_index", X.ordered_case(F.col("links.original"), [("/article", "article"), ("/news", "news"), ("?", "query")], "page").alias("platform"))
+    return _video_links(spark, d).select("api_index", X.ordered_case(F.col("url"), _PLATFORMS, "other_url").alias("platform"))
 
 
-@query("n25_ids_of_addresses", "SELECT api_index, coalesce(nullif(regexp_extract(links.original, '[?&]a?id=([a-z0-9]+)', 1), ''), nullif(regexp_extract(links.original, '/p/([a-z0-9]+)', 1), ''), links.original) AS page_id FROM aihot_24h")
+@query(
+    "n25_ids_of_addresses",
+    f"WITH {_VIDEO_SQL} SELECT api_index, CASE WHEN regexp_full_match(url, '[A-Za-z0-9_-]{{11}}') THEN url ELSE coalesce(nullif(regexp_extract(url, '(?:youtube\\.com/watch\\?.*v=|youtu\\.be/|youtube\\.com/embed/|youtube\\.com/shorts/)([A-Za-z0-9_-]{{11}})', 1), ''), trim(url, ' ')) END AS video_id FROM u",
+)
 def n25(spark, d):
-    u = F.col("links.original")
-    pick = lambda p: F.nullif(F.regexp_extract(u, p, 1), F.lit(""))
-    return _feed(spark, d).select("api_index", F.coalesce(pick("[?&]a?id=([a-z0-9]+)"), pick("/p/([a-z0-9]+)"), u).alias("page_id"))
+    return _video_links(spark, d).select("api_index", X.video_id(F.col("url")).alias("video_id"))
+
+
+@query(
+    "n23_addresses_and_markup",
+    """SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, 'https?://[^\\s]+', '', 'g'), '\\s+', ' ', 'g'), ' ')) AS clean_chars, contains(lower(text), '<script') OR contains(lower(text), 'javascript:') AS markup,
+  source IS NULL OR starts_with(source, '/') OR list_contains(string_split(source, '/'), '..') AS escapes FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"),
+)
+def n23(spark, d):
+    t = _docs(spark, d)
+    return t.select("doc_id", F.length(X.without_addresses(F.col("text"))).cast("long").alias("clean_chars"), X.has_markup(F.col("text")).alias("markup"), (F.col("source").isNull() | X.escapes(F.col("source"))).alias("escapes"))
 
 
 @query("n26_fallback_lookup", "SELECT api_index, coalesce(CASE lower(trim(category, ' ')) WHEN 'paper' THEN 'serif' WHEN 'tip' THEN 'mono' END, CASE WHEN contains(lower(category), 'ai') THEN 'sans' END, 'default') AS family FROM aihot_24h")
@@ -175,23 +228,40 @@ def n26(spark, d):
     return x.select("api_index", F.coalesce("family", F.when(F.lower("category").contains("ai"), F.lit("sans")), F.lit("default")).alias("family"))
 
 
-@query("n27_search_terms")
+@query(
+    "n27_search_terms",
+    """WITH t AS (SELECT api_index, list_filter(regexp_extract_all(lower("originalTitle"), '[a-z0-9](?:[a-z0-9+._-]*[a-z0-9])?'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'with', 'how')) AS w FROM aihot_24h WHERE "originalTitle" IS NOT NULL),
+  x AS (SELECT api_index, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t), p AS (SELECT *, row_number() OVER (PARTITION BY api_index ORDER BY length(w) DESC, i) AS r FROM x)
+  SELECT t.api_index, coalesce(string_agg(p.w, ' ' ORDER BY r) FILTER (r <= 3), '') AS terms, coalesce(string_agg(p.w, ' ' ORDER BY r) FILTER (r <= 2), '') AS fewer FROM t LEFT JOIN p USING (api_index) GROUP BY t.api_index""",
+)
 def n27(spark, d):
-    return _feed(spark, d).filter("originalTitle is not null").select("api_index", F.array_join(X.search_terms(F.col("originalTitle"), ["the", "and", "with", "how"]), " ").alias("terms"))
+    stop = ["the", "and", "with", "how"]
+    return _feed(spark, d).filter("originalTitle is not null").select("api_index", *(F.array_join(X.search_terms(F.col("originalTitle"), stop, n), " ").alias(a) for n, a in ((3, "terms"), (2, "fewer"))))
 
 
-@query("n28_event_keys")
+@query("n28_event_keys", "SELECT api_index, id || '-' || left(sha1(coalesce(title, '')), 10) AS event_key FROM aihot_24h")
 def n28(spark, d):
     return _feed(spark, d).select("api_index", F.concat("id", F.lit("-"), F.left(F.sha1(F.coalesce("title", F.lit("")).cast("binary")), F.lit(10))).alias("event_key"))
 
 
+@query(
+    "n28b_scaffolds",
+    """WITH s AS (SELECT api_index, list_filter(list_transform(coalesce(regexp_extract_all(summary, '[^。！？!?；;]+[。！？!?；;]?'), []), lambda x: trim(x, ' ')), lambda x: x <> '') AS s, coalesce(title, '') || ' ' || coalesce(summary, '') AS t FROM aihot_24h)
+  SELECT api_index, s[1] AS lead, s[2] AS support, nullif(regexp_extract(t, '[0-9]+(?:\\.[0-9]+)?[%KMB]?', 0), '') AS metric, CASE WHEN len(s) >= 4 THEN 'dense' WHEN len(s) >= 2 THEN 'normal' ELSE 'light' END AS density FROM s""".replace("\\\\", "\\"),
+)
+def n28b(spark, d):
+    t = _feed(spark, d).select("api_index", F.coalesce(X.sentences(F.col("summary")), F.array().cast("array<string>")).alias("s"), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))).alias("t"))
+    density = F.when(F.size("s") >= 4, "dense").when(F.size("s") >= 2, "normal").otherwise("light")
+    return t.select("api_index", F.get("s", F.lit(0)).alias("lead"), F.get("s", F.lit(1)).alias("support"), F.nullif(F.regexp_extract("t", r"[0-9]+(?:\.[0-9]+)?[%KMB]?", 0), F.lit("")).alias("metric"), density.alias("density"))
+
+
 @query("n29_units_round_trip")
 def n29(spark, d):
     u = _docs(spark, d).select("doc_id", "text").withColumn("clean", X.collapse(F.col("text"))).select("doc_id", "clean", X.caption_units_udf("clean").alias("units"))
     return u.select("doc_id", F.size("units").alias("units"), (X.squeezed(F.array_join("units", "")) == X.squeezed(F.col("clean"))).alias("whole"))
 
 
-@query("d01_subtitle_times", "WITH s AS (SELECT event_id, (round(value * 100))::BIGINT * 10 + event_id * 1000 AS ms FROM events) SELECT event_id, lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS stamp FROM s WHERE ms < 360000000")
+@query("d01_subtitle_times", "WITH s AS (SELECT event_id, (round(value * 100))::BIGINT * 10 + event_id * 1000 AS ms FROM events) SELECT event_id, CASE WHEN ms < 36000000 THEN '0' ELSE '' END || (ms // 3600000) || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS stamp FROM s WHERE ms IS NOT NULL")
 def d01(spark, d):
     e = table(spark, d, "events").select("event_id", ((F.round(F.col("value") * 100).cast("long") * 10 + F.col("event_id") * 1000) / 1000).alias("s"))
     return e.filter("s is not null").select("event_id", D.subtitle_time(F.col("s")).alias("stamp"))
@@ -269,3 +339,33 @@ def d07(spark, d):
 def w02b(spark, d):
     w = W.partitionBy("user_id").orderBy(F.col("value").desc())
     return table(spark, d, "events").select("event_id", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("dr"))
+
+
+@query("d05_ticks_and_bounds", "WITH w AS (SELECT user_id, event_id, (event_id * 7919 % 100000) * 100000 AS ticks, round(value * 10000000)::BIGINT AS d FROM events), u AS (SELECT *, ticks < max(ticks) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM w WHERE d > 0) SELECT event_id, ticks / 10000000.0::DOUBLE AS starts, (ticks + d) / 10000000.0::DOUBLE AS ends, coalesce(back, false) AS back FROM u")
+def d05(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") * 7919 % 100000 * 100000).alias("ticks"), F.round(F.col("value") * 10000000).cast("long").alias("d")).filter("d > 0")
+    before = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
+    return e.select("event_id", D.ticks(F.col("ticks")).alias("starts"), D.ticks(F.col("ticks") + F.col("d")).alias("ends"), F.coalesce(F.col("ticks") < F.max("ticks").over(before), F.lit(False)).alias("back"))
+
+
+@query("d08_half_even", "SELECT l_orderkey, l_linenumber, l_partkey, round_even((l_quantity / 2)::DECIMAL(12, 1), 0)::DOUBLE AS halves FROM lineitem")
+def d08(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", D.half_even(F.col("l_quantity") / 2, 0).alias("halves"))
+
+
+@query("d12_step_durations", "SELECT event_id, round(CASE event_type WHEN 'click' THEN ceil(length(props) * 0.035 * 30) / 30 + 0.3 WHEN 'view' THEN greatest(2, ceil(0.08 * 30)) / 30 + 0.15 WHEN 'purchase' THEN value ELSE 0 END, 6)::DOUBLE AS seconds FROM events")
+def d12(spark, d):
+    kind = F.when(F.col("event_type") == "click", "cmd").when(F.col("event_type") == "view", "out").when(F.col("event_type") == "purchase", "pause").otherwise("pill")
+    return table(spark, d, "events").select("event_id", F.round(D.step_seconds(kind, F.length("props"), F.col("value")), 6).alias("seconds"))
+
+
+@query("d17_layouts", "SELECT api_index, CASE WHEN length(summary) >= 120 AND regexp_matches(title, '[0-9]') THEN 'metric' WHEN length(summary) >= 120 THEN 'dense' WHEN coalesce(trim(summary, ' '), '') = '' THEN 'title' ELSE 'card' END AS layout, ['a', 'b', 'c'][(api_index % 3 + 1)::INT] AS variant FROM aihot_24h")
+def d17(spark, d):
+    long = F.length("summary") >= 120
+    layout = F.when(long & F.col("title").rlike("[0-9]"), "metric").when(long, "dense").when(F.coalesce(F.trim("summary"), F.lit("")) == "", "title").otherwise("card")
+    return _feed(spark, d).select("api_index", layout.alias("layout"), F.get(F.array(*map(F.lit, "abc")), (F.col("api_index") % 3).cast("int")).alias("variant"))
+
+
+@query("d18_xfade_offsets", "SELECT event_id, round(greatest(0, value - 1.5), 3)::DOUBLE AS at FROM events")
+def d18(spark, d):
+    return table(spark, d, "events").select("event_id", D.xfade_offset(F.col("value"), 1.5).alias("at"))

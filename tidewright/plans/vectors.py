@@ -14,10 +14,11 @@ def _queries(spark, d):
     return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query("v01_similarity", f"WITH {_Q} SELECT query_id, vec_id, round(list_dot_product(q, v), 5) AS sim FROM q JOIN v ON v.vec_id = q.query_id + 1")
+@query("v01_similarity", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 5) AS sim FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
 def v01(spark, d):
     e = table(spark, d, "embeddings")
-    return _queries(spark, d).join(e, F.col("vec_id") == F.col("query_id") + 1).select("query_id", "vec_id", F.round(V.dot(F.col("q"), F.col("embedding")), 5).alias("sim"))
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("w"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(V.dot(F.col("v"), F.col("w")), 5).alias("sim"))
 
 
 @query(
