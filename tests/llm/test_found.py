@@ -38,3 +38,17 @@ def test_found(name, spark, data):
 def test_others_give_rows(name, spark, data):
     assert queries.QUERIES[name](spark, data).count() >= 0
     assert os.path.isdir(data)
+
+
+def test_share_against_a_plain_water_level(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    groups = {}
+    for name, s, i in rows(d, FEED, "source.name, score, api_index"):
+        if (k := B.name_key(name)) is not None:
+            groups.setdefault(k, []).append((B.score_key(s), i))
+    sizes = [len(g) for g in groups.values()]
+    level = max(x for x in range(1, max(sizes) + 1) if x <= 0.05 * sum(min(n, x) for n in sizes) + 1e-9)
+    want = sorted(i for g in groups.values() for _, i in sorted(g)[level:])
+    assert sorted(r.api_index for r in queries.QUERIES["p1_share"](spark, d).collect()) == want

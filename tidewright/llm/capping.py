@@ -20,16 +20,15 @@ def water_levels(counts: DataFrame, scope: list[str], max_count: int | None, max
 
     Where a scope has fewer contributors than 1 / max_share no level can meet the share; the level is then the least count,
     which makes all shares equal."""
-    if max_share is None:
-        return counts.groupBy(*scope).agg(F.lit(max_count).cast("long").alias("level"))
     histogram = counts.groupBy(*scope, "n").agg(F.count("*").alias("m"))
     below = W.partitionBy(*scope).orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     sums = histogram.select(
         *scope, "n", "m", F.coalesce(F.sum(F.col("n") * F.col("m")).over(below), F.lit(0)).alias("kept_whole"), F.coalesce(F.sum("m").over(below), F.lit(0)).alias("m_below"),
         F.sum("m").over(W.partitionBy(*scope)).alias("m_all"), F.coalesce(F.max("n").over(below), F.lit(0)).alias("n_below"),
     )
-    room = 1 - F.lit(float(max_share)) * (F.col("m_all") - F.col("m_below"))
-    fits = F.when(room <= 1e-12, F.col("n")).otherwise(F.least("n", F.floor(F.lit(float(max_share)) * F.col("kept_whole") / F.when(room > 1e-12, room) + 1e-9)))
+    share = 1.0 if max_share is None else float(max_share)  # a share of 1 lets every level pass
+    room = 1 - F.lit(share) * (F.col("m_all") - F.col("m_below"))
+    fits = F.when(room <= 1e-12, F.col("n")).otherwise(F.least("n", F.floor(F.lit(share) * F.col("kept_whole") / F.when(room > 1e-12, room) + 1e-9)))
     level = F.coalesce(F.max(F.when(fits > F.col("n_below"), fits)), F.min("n"))
     if max_count is not None:
         level = F.least(level, F.lit(max_count))
@@ -58,13 +57,14 @@ def cap_contributors(df: DataFrame, scope: list[str], contributor: str, score: s
     s = [f"_s{i}" for i in range(len(scope))]
     rows = df.filter(F.col(contributor).isNotNull()).select(*(F.col(c).alias(a) for c, a in zip(scope, s)), F.col(contributor).alias("_who"), C.number_or_null(F.col(score).cast("double")).alias("_score"), F.col(ordinal).alias("_o"))
     order = [F.col("_score").desc_nulls_last(), F.col("_o").asc()]
+    rows = C.checkpoint(rows)  # the contributors' keys are made once
     counts = rows.groupBy(*s, "_who").agg(F.count("*").alias("n"))
     levels = water_levels(counts, s, max_count, max_share)
     l2 = levels.select(*(F.col(c).alias(f"l{c}") for c in s), "level")
     over = counts.join(l2, [F.col(c).eqNullSafe(F.col(f"l{c}")) for c in s]).filter(F.col("n") > F.col("level")).select(*(F.col(c).alias(f"v{c}") for c in s), F.col("_who").alias("v_who"), "level")
-    crowded = rows.join(over, [F.col(c).eqNullSafe(F.col(f"v{c}")) for c in s] + [F.col("_who") == F.col("v_who")])
+    crowded = rows.join(C.sent(C.checkpoint(over)), [F.col(c).eqNullSafe(F.col(f"v{c}")) for c in s] + [F.col("_who") == F.col("v_who")])
     if max_share is None:
-        ranked = crowded.withColumn("rank", F.row_number().over(W.partitionBy(*s, "_who").orderBy(*order))).filter(F.col("rank") <= max_count)
+        ranked = crowded.withColumn("rank", F.row_number().over(W.partitionBy(*s, "_who").orderBy(*order))).filter((F.col("rank") <= max_count) & (F.col("rank") <= F.col("level")))
         best = ranked.select(F.col("_o").alias("b"))
         cut = crowded.join(best, F.col("_o") == F.col("b"), "left_anti").select(F.col("_o").alias(ordinal))
     else:

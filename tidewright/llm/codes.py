@@ -46,6 +46,8 @@ class Tables:
             if (c := chr(o)).isalnum():
                 lower[o] = ord(c.lower()[0])
         self.bare = np.where(self.look == _CUT, 0, lower[np.where(self.look == _CUT, 0, self.look)]).astype(np.uint32)
+        for o, low in L.lowered_first().items():
+            self.bare[o] = self.bare[ord(low)]
 
     def looks(self, texts: list[str | None]) -> list[str | None]:
         """The look of every text; null stays null."""
@@ -69,7 +71,7 @@ class Tables:
         if slow:
             texts = list(texts)
             for i in slow:
-                texts[i] = self.folder.look(texts[i])
+                texts[i] = self.folder.look(texts[i].translate(L.lowered_first()))
             c, starts = codes(texts)
         b = self.bare[c]
         keep = b != 0

@@ -202,9 +202,22 @@ def look(s: str | None) -> str | None:
     return folder().look(s)
 
 
+@lru_cache(1)
+def lowered_first() -> dict[int, str]:
+    """Capitals that aren't drawn like the capital of the Latin letter their lower case is drawn like: a text in look-alike letters
+    and then in capitals holds them, so the bare form takes their lower case."""
+    f, out = folder(), {}
+    for o in _assigned():
+        c = chr(o)
+        low = c.lower()
+        if len(low) == 1 and low != c and not low.isascii() and f.look(low).isascii() and f.look(c).lower() != f.look(low):
+            out[o] = low
+    return out
+
+
 def bare(s: str | None) -> str:
     """The look in lower case with only letters and digits kept; '' for null and blank texts."""
-    return _NOT_ALNUM.sub("", folder().look(s).lower()) if s else ""
+    return _NOT_ALNUM.sub("", folder().look(s.translate(lowered_first())).lower()) if s else ""
 
 
 def name_key(s: str | None) -> str | None:

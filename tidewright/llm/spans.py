@@ -26,6 +26,8 @@ from . import postings as P
 
 #: Occurrences of a digest up to which they are compared pair by pair.
 FEW = 40
+#: Unit occurrences, and rows compared, of a bucket, on average.
+UNITS, COMPARED = 1_000_000, 20_000
 
 
 def _sizes(length: int) -> tuple[int, int]:
@@ -38,7 +40,9 @@ def shared_units(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFr
     documents passes its occurrences on as they are and sends one witness, so that a digest's bucket gets at most one
     or two postings from each batch."""
     k, w = _sizes(length)
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(doc_id).cast("long"), F.col(text)).filter(F.length(text) >= length)
+    letters = rows.agg(F.sum(F.length(text))).first()[0] or 0
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(letters * 2 / (w + 1)) // UNITS)
     place = np.dtype([("doc", np.int64), ("at", np.int32)])
 
     def emit(batches):
@@ -89,7 +93,6 @@ def shared_units(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFr
         ok = several[group] & (witness == 0)
         return pa.table({"doc": pa.array(owners["doc"][ok]), "at": pa.array(owners["at"][ok]), "digest": pa.array(keys[ok].astype(np.int64) + np.int64(t["bucket"][0].as_py()) * np.int64(1 << 32))})
 
-    rows = docs.select(F.col(doc_id).cast("long"), F.col(text)).filter(F.length(text) >= length)
     return rows.mapInArrow(emit, P.SCHEMA).groupBy("bucket").applyInArrow(meet, "doc long, at int, digest long")
 
 
@@ -122,7 +125,7 @@ def span_pairs(docs: DataFrame, doc_id: str, text: str, length: int = 200, found
     found = (occurrences(docs, doc_id, text, length) if found is None else found).dropDuplicates(["doc", "digest", "lead", "around"])
     count = found.groupBy("digest").agg(F.count("*").alias("n"))
     sized = found.join(count, "digest")
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(32, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.count() // COMPARED)
 
     def compare(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t[c].to_pylist() for c in ("digest", "doc", "lead", "around"))))
@@ -143,7 +146,7 @@ def span_pairs(docs: DataFrame, doc_id: str, text: str, length: int = 200, found
             i = j
         return pa.table({"doc_lo": pa.array([a for a, _ in out], pa.int64()), "doc_hi": pa.array([b for _, b in out], pa.int64())})
 
-    few = sized.filter(F.col("n") <= FEW).groupBy(F.pmod(F.xxhash64("digest"), F.lit(4 * buckets)).alias("part")).applyInArrow(compare, "doc_lo long, doc_hi long")
+    few = sized.filter(F.col("n") <= FEW).groupBy(F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("part")).applyInArrow(compare, "doc_lo long, doc_hi long")
 
     spans = _spans(sized.filter(F.col("n") > FEW), length).select("doc", "span", "earlier").distinct()
     a, b = spans.alias("a"), spans.alias("b")

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Rows after which a task cuts its run down to N a group again.
+#: Rows after which a task cuts its run down to N a group, and again whenever it holds twice what the last cut left.
 _COMPACT = 500_000
+#: Rows of a bucket at most, on average, when runs are merged.
+ROWS = 500_000
 
 
 class LoserTree:
@@ -61,19 +63,34 @@ class LoserTree:
         return self.keys[self.winner] if self.winner < len(self.keys) else None
 
 
-def merge_top(runs: list[list[tuple]], n: int) -> Iterator[tuple]:
-    """(group, rest of key...) of sorted runs, the first n of every group in order. Runs are lists of tuples whose first
-    part is the group. The winner's run seeks past a group that has had its n outputs."""
-    heads = []
-    for r in runs:  # where each run's next group begins
-        nxt, at = [0] * len(r), len(r)
-        for i in range(len(r) - 1, -1, -1):
-            if i + 1 < len(r) and r[i + 1][0] != r[i][0]:
-                at = i + 1
-            nxt[i] = at
-        heads.append(nxt)
-    at = [0] * len(runs)
-    tree = LoserTree([r[0] if r else None for r in runs])
+class Run:
+    """A sorted run held as columns: its key at a place is made when the tree asks for it."""
+
+    def __init__(self, groups: np.ndarray, *columns: np.ndarray) -> None:
+        self.groups, self.columns, self.at, self.size = groups, columns, 0, len(groups)
+        new = np.r_[np.flatnonzero(groups[1:] != groups[:-1]) + 1, len(groups)] if len(groups) else np.zeros(0, np.int64)
+        self.ends, self.group = new.tolist(), 0
+
+    def key(self) -> tuple | None:
+        if self.at >= self.size:
+            return None
+        return (self.groups[self.at], *(c[self.at] for c in self.columns))
+
+    def step(self) -> None:
+        self.at += 1
+        if self.group < len(self.ends) and self.at >= self.ends[self.group]:
+            self.group += 1
+
+    def seek(self) -> None:
+        """To the next group."""
+        self.at = self.ends[self.group]
+        self.group += 1
+
+
+def merge_top(runs: list[Run], n: int) -> Iterator[tuple]:
+    """(group, rest of key...) of sorted runs, the first n of every group in order. The winner's run seeks past a group that has
+    had its n outputs."""
+    tree = LoserTree([r.key() for r in runs])
     group, given = object(), 0
     while (key := tree.top()) is not None:
         s = tree.winner
@@ -82,10 +99,10 @@ def merge_top(runs: list[list[tuple]], n: int) -> Iterator[tuple]:
         if given < n:
             given += 1
             yield key
-            at[s] += 1
+            runs[s].step()
         else:
-            at[s] = heads[s][at[s]]
-        tree.replay(s, runs[s][at[s]] if at[s] < len(runs[s]) else None)
+            runs[s].seek()
+        tree.replay(s, runs[s].key())
 
 
 def _cut(t: pa.Table, n: int) -> pa.Table:
@@ -105,7 +122,7 @@ def top_n_per_group(df: DataFrame, group: list[str], score: str, ordinal: str, n
     descending, ``ordinal`` ascending. Null or not-a-number scores and times come last; null group values are a group of
     their own; repeated rows each count. An empty table gives an empty result; other columns aren't looked at."""
     spark = df.sparkSession
-    buckets = buckets or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS)
     number = lambda c: F.coalesce(C.number_or_null(F.col(c).cast("double")), F.lit(0.0))
     missing = lambda c: (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("byte")
     rows = df.select(
@@ -118,13 +135,14 @@ def top_n_per_group(df: DataFrame, group: list[str], score: str, ordinal: str, n
     def make_run(batches):
         import pyarrow.compute  # noqa: F401
 
-        held, count = [], 0
+        held, count, most = [], 0, _COMPACT
         for b in batches:
             held.append(b)
             count += b.num_rows
-            if count >= _COMPACT:
+            if count >= most:
                 t = _cut(pa.Table.from_batches(held), n)
                 held, count = t.to_batches(), t.num_rows
+                most = max(_COMPACT, 2 * count)
         if not held:
             return
         run = _cut(pa.Table.from_batches(held), n)
@@ -141,8 +159,7 @@ def top_n_per_group(df: DataFrame, group: list[str], score: str, ordinal: str, n
         runs = []
         for blob in t["run"].to_pylist():
             x = pa.ipc.open_stream(blob).read_all()
-            s, tm = x["s"].to_numpy(), x["t"].to_numpy()
-            runs.append(list(zip(x["g"].to_pylist(), x["s0"].to_pylist(), (-s).tolist(), x["t0"].to_pylist(), (-tm).tolist(), x["o"].to_pylist())))
+            runs.append(Run(x["g"].to_numpy(), x["s0"].to_numpy(), -x["s"].to_numpy(), x["t0"].to_numpy(), -x["t"].to_numpy(), x["o"].to_numpy()))
         out, rank, last = [], [], None
         for key in merge_top(runs, n):
             rank.append(rank[-1] + 1 if key[0] == last else 1)
@@ -159,7 +176,8 @@ def feed_leaders(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
     items = C.table(spark, sf_dir, "aihot_24h").select("api_index", "batch_no", "id", "category", "score", "publishedAt")
     first = items.groupBy("batch_no", F.coalesce("id", F.concat(F.lit("\0"), F.col("api_index").cast("string"))).alias("one")).agg(F.min_by(F.struct("api_index", "category", "score", "publishedAt"), "api_index").alias("r")).select("batch_no", "r.*")
     keyed = first.select("api_index", "batch_no", "score", C.instant(F.col("publishedAt")).alias("at"), C.category_key_udf("category").alias("category_key"))
-    return top_n_per_group(keyed, ["batch_no", "category_key"], "score", "api_index", n, time="at")
+    buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), items.count() // ROWS)  # of the table, so that nothing is computed for it
+    return top_n_per_group(keyed, ["batch_no", "category_key"], "score", "api_index", n, time="at", buckets=buckets)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
