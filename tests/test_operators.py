@@ -1,6 +1,7 @@
 """Operators on small frames with results worked out by hand."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -199,3 +200,26 @@ def test_expectations(spark):
     assert {(r.entity, r["rule"], r.detail) for r in found.collect()} == {("1", "none", ""), ("3", "blank", "3")}
     assert E.gates(found, ["none", "other"]).first() == (False, True)
     assert {(r.k, r.a, r.b) for r in E.reconcile(df.select(F.col("i").alias("k"), "t"), df.filter("i > 1").select(F.col("i").alias("k"), "t"), "k", ["t"]).collect()} == set()
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    from datetime import datetime
+
+    from tidewright.streaming import jobs
+
+    for i, hours in enumerate(([9, 10, 14], [14], [10, 13, 14])):  # files in order; rows an hour behind what the batch before last had are late
+        rows = [(datetime(2026, 1, 1, h, 30), "a") for h in hours]
+        spark.createDataFrame(rows, "ts timestamp_ntz, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+        time.sleep(1.1)
+    got = {r.hour.hour: r.n for r in jobs.hourly_counts(spark, f"{tmp_path}/e", files=1).collect()}
+    assert got == {9: 1, 10: 1, 13: 1, 14: 3}
+    runs = [(r.began.hour, r.changes) for r in jobs.coalesced_changes(spark, f"{tmp_path}/e", "event_type", "ts", "2 hours", files=1).orderBy("began").collect()]
+    assert runs == [(9, 3), (13, 4)]
+
+
+def test_streams_of_nothing(spark, tmp_path):
+    from tidewright.streaming import jobs
+
+    spark.createDataFrame([], "project_id string, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/e")
+    assert jobs.changed_keys(spark, f"{tmp_path}/e", "project_id").count() == 0
+    assert jobs.hourly_counts(spark, f"{tmp_path}/e").count() == 0

@@ -46,3 +46,8 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str]) ->
     j = left.join(b, F.col(key) == F.col("_k"), "full_outer")
     cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("a"), F.col(f"_{f}").cast("string").alias("b")) for f in fields))
     return j.select(F.coalesce(key, "_k").alias(key), F.inline(cells)).filter(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def issues(rules: list[tuple[Column, str]]) -> Column:
+    """The names of the rules a row breaks, in order."""
+    return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for broken, name in rules)))

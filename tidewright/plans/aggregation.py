@@ -141,13 +141,14 @@ def a17(spark, d):
 @query(
     "a18_word_accuracy",
     """WITH w AS (SELECT api_index, unnest(regexp_extract_all(lower("originalTitle"), '[a-z0-9]+')) AS t FROM aihot_24h), h AS (SELECT DISTINCT api_index, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM aihot_24h)
-  SELECT w.api_index, count(*) AS words, count(h.t) AS found, round(count(h.t)::DOUBLE / count(*), 6) AS accuracy FROM w LEFT JOIN h ON w.api_index = h.api_index AND w.t = h.t GROUP BY 1""",
+  , l AS (SELECT api_index, count(*) AS leaked FROM h WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.api_index = h.api_index AND w.t = h.t) GROUP BY 1)
+  SELECT api_index, words, found, accuracy, coalesce(leaked, 0) AS leaked FROM (SELECT w.api_index, count(*) AS words, count(h.t) AS found, round(count(h.t)::DOUBLE / count(*), 6) AS accuracy FROM w LEFT JOIN h ON w.api_index = h.api_index AND w.t = h.t GROUP BY 1) LEFT JOIN l USING (api_index)""",
 )
 def a18(spark, d):
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     x = table(spark, d, "aihot_24h").select("api_index", words("originalTitle").alias("w"), F.coalesce(words("title"), F.array().cast("array<string>")).alias("h")).filter(F.size("w") > 0)
     found = F.size(F.filter("w", lambda t: F.array_contains("h", t)))
-    return x.select("api_index", F.size("w").cast("long").alias("words"), found.cast("long").alias("found"), F.round(found / F.size("w"), 6).alias("accuracy"))
+    return x.select("api_index", F.size("w").cast("long").alias("words"), found.cast("long").alias("found"), F.round(found / F.size("w"), 6).alias("accuracy"), F.size(F.array_except("h", "w")).cast("long").alias("leaked"))
 
 
 @query(

@@ -85,6 +85,53 @@ def stream_changes(spark, d):
     return jobs.changed_keys(spark, f"{d}/event_log.parquet", "project_id")
 
 
+@query("stream_sliding_windows", "SELECT event_type, (time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * i))::TIMESTAMP AS hour, count(*) AS n FROM events, (SELECT unnest(range(0, 4)) AS i) GROUP BY 1, 2")
+def stream_sliding(spark, d):
+    return jobs.hourly_counts(spark, f"{d}/events.parquet", slide="15 minutes")
+
+
+@query("stream_coalesced_changes", "WITH x AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x) SELECT user_id, min(ts)::TIMESTAMP AS began, count(*) AS changes FROM s GROUP BY user_id, s")
+def stream_coalesced(spark, d):
+    n = jobs.coalesced_changes(spark, f"{d}/events.parquet", "user_id", "ts", "3 hours")
+    return n.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), "changes")
+
+
+@query("stream_stale_entries", "WITH c AS (SELECT project_id, max(timestamp) AS cached_at FROM cost_ledger WHERE project_id IS NOT NULL GROUP BY 1), l AS (SELECT project_id, max(ts) AS changed_at FROM event_log GROUP BY 1) SELECT c.project_id, coalesce(changed_at > cached_at, false) AS stale FROM c LEFT JOIN l USING (project_id)")
+def stream_stale(spark, d):
+    cached = table(spark, d, "cost_ledger").filter("project_id is not null").groupBy("project_id").agg(F.max("timestamp").alias("cached_at"))
+    return jobs.stale_entries(spark, f"{d}/event_log.parquet", "project_id", "ts", cached)
+
+
+@query(
+    "r03_composition_issues",
+    "SELECT event_no, project_id, array_to_string(list_filter([CASE WHEN tool IS NULL THEN 'no source' END, CASE WHEN coalesce(duration_s, 0) <= 0 OR isnan(duration_s) THEN 'out before in' END, CASE WHEN duration_s > 120 AND NOT isnan(duration_s) THEN 'too long' END, CASE WHEN success IS FALSE THEN 'failed' END], lambda x: x IS NOT NULL), '; ') AS issues FROM (SELECT DISTINCT event_no, project_id, tool, duration_s, success FROM event_log WHERE event <> 'start')",
+)
+def r03(spark, d):
+    e = table(spark, d, "event_log").filter("event <> 'start'").select("event_no", "project_id", "tool", "duration_s", "success").distinct()
+    s = F.col("duration_s")
+    rules = [(F.col("tool").isNull(), "no source"), ((F.coalesce(s, F.lit(0.0)) <= 0) | F.isnan(s), "out before in"), ((s > 120) & ~F.isnan(s), "too long"), (F.col("success") == False, "failed")]  # noqa: E712
+    return e.select("event_no", "project_id", F.array_join(E.issues(rules), "; ").alias("issues"))
+
+
+@query(
+    "f11_probe_issues",
+    "SELECT doc_id, array_to_string(list_filter([CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'empty' END, CASE WHEN lang IS NULL THEN 'no language' END, CASE WHEN n_chars NOT BETWEEN 40 AND 20000 THEN 'length' END, CASE WHEN project_id IS NULL THEN 'no project' END], lambda x: x IS NOT NULL), '; ') AS issues FROM documents",
+)
+def f11(spark, d):
+    rules = [(F.col("text").isNull() | (F.trim("text") == ""), "empty"), (F.col("lang").isNull(), "no language"), (~F.col("n_chars").between(40, 20000), "length"), (F.col("project_id").isNull(), "no project")]
+    return table(spark, d, "documents").select("doc_id", F.array_join(E.issues(rules), "; ").alias("issues"))
+
+
+@query(
+    "f13_renditions",
+    "SELECT source, source_id, arg_min(file_name, struct_pack(p := CASE WHEN ends_with(lower(file_name), '.mp4') THEN 0 WHEN ends_with(lower(file_name), '.mov') THEN 1 ELSE 2 END, s := -coalesce(size_bytes, 0), f := file_name)) AS file_name FROM cache_manifest WHERE file_name IS NOT NULL GROUP BY 1, 2",
+)
+def f13(spark, d):
+    low = F.lower("file_name")
+    order = F.struct(F.when(low.endswith(".mp4"), 0).when(low.endswith(".mov"), 1).otherwise(2).alias("p"), (-F.coalesce("size_bytes", F.lit(0))).alias("s"), F.col("file_name").alias("f"))
+    return table(spark, d, "cache_manifest").filter("file_name is not null").groupBy("source", "source_id").agg(F.min_by("file_name", order).alias("file_name"))
+
+
 # --- extension pack: what Spark gives, on the driver's tables --------------------------------------------------------------
 
 
@@ -126,3 +173,25 @@ def ext_ntile(spark, d):
     from pyspark.sql import Window as W
 
     return table(spark, d, "orders").select("o_orderkey", F.ntile(4).over(W.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")).alias("quarter"))
+
+
+@query("ext_window_functions", "SELECT o_orderkey, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, lead(o_orderkey) OVER w AS next_key, nth_value(o_orderkey, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_key, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS near FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)")
+def ext_windows(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+    near = W.partitionBy("o_custkey").orderBy("o_totalprice").rangeBetween(-1000, 0)
+    return table(spark, d, "orders").select("o_orderkey", F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"), F.lead("o_orderkey").over(w).alias("next_key"), F.nth_value("o_orderkey", 2).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("second_key"), F.count("*").over(near).alias("near"))
+
+
+@query("ext_merged_sketches", "SELECT event_type, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
+def ext_sketches(spark, d):
+    parts = table(spark, d, "events").groupBy("event_type", F.pmod("user_id", F.lit(7)).alias("part")).agg(F.hll_sketch_agg(F.to_date("ts").cast("string")).alias("sketch"))
+    return parts.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("days"))
+
+
+@query("ext_aggregate_function", "SELECT event_type, round(exp(avg(ln(value)) FILTER (value > 0)), 6) AS mean FROM events GROUP BY 1")
+def ext_udaf(spark, d):
+    # a geometric mean of one's own, in two steps of built-in aggregates so that it is combined before the shuffle
+    v = F.when(F.col("value") > 0, F.ln("value"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.exp(F.avg(v)), 6).alias("mean"))

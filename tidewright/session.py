@@ -16,8 +16,10 @@ def local_session(cores: int = 8, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset and all tasks run here."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not there:
         there = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(there)
