@@ -202,7 +202,7 @@ def test_bucket_files_find_all(keys, asked):
     assert sorted(zip(which.tolist(), found["at"].tolist())) == sorted((i, j) for i, k in enumerate(asked.tolist()) for j in np.flatnonzero(keys == k).tolist())
 
 
-@pytest.mark.parametrize("text,want", [("KеуfrаmЕ", "keyframe"), ("KЕУFRАME", "keyframe"), ("TҺE СARԀ", "thecard"), ("ӀICЕNSE", "license"), ("REꞬІONAL E\u0301", "regionalé"), ("ΝΗΡ", "nhp")])
+@pytest.mark.parametrize("text,want", [("KеуfrаmЕ", "keyframe"), ("KЕУFRАME", "keyframe"), ("TҺE СARԀ", "thecard"), ("ӀICЕNSE", "license"), ("REꞬІONAL E\u0301", "regionalé"), ("ΝΗΡ", "nhp"), ("ꓮΡΡLЕ αpple Ⅷ Ⅴ ⅽ", "appleappleⅷvc"), ("ΥУ ΓЗ", "yyyз")])
 def test_bare_of_look_alikes_in_capitals(text, want):
     assert look.bare(text) == want
     c, starts = codes.bare([text])
@@ -279,6 +279,19 @@ def test_links_of_texts_without_a_long_shared_stretch(spark):
     assert groups_of(spark.createDataFrame(rows, "id string, a string, b string, c string")) == want
 
 
+def test_links_beside_a_standing_passage(spark):
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    passage, rows = " ".join(word() for _ in range(36)), []
+    for i in range(100):  # all share the passage; two of a kind share most of the rest
+        body = [word() for _ in range(30)]
+        other = [word() if j % 10 == 3 else w for j, w in enumerate(body)]
+        rows += [(f"k{i}a", passage, " ".join(body), None), (f"k{i}b", passage, " ".join(other), None)]
+    want = B.similar_ids(rows)
+    assert len(want) >= 100
+    assert groups_of(spark.createDataFrame(rows, "id string, a string, b string, c string")) == want
+
+
 def test_exact_similarity():
     a, b = ["abcdef", "abc", "", "abcd"], ["abcdeg", "xyz", "", "abcd"]
     assert neardup.similar(a, b, 3, 0.6).tolist() == [True, False, False, True]
@@ -325,6 +338,17 @@ def test_packing_is_right_and_tight(spark, capacity):
     assert packing.pack(df.filter("doc_id > 5000"), capacity).count() == 0
 
 
+def test_a_laying_of_documents_is_right(spark, data):
+    docs = {r.doc_id: r.tokens for r in packing.token_counts(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text").collect()}
+    fill, parts = {}, {}
+    for r in packing.QUERIES["p6_windows"](spark, data).collect():
+        fill[r.window_no] = fill.get(r.window_no, 0) + r.tokens
+        parts.setdefault(r.doc_id, []).append(r.tokens)
+    assert max(fill.values()) <= 2048 and set(parts) == set(docs)
+    assert all(sum(p) == docs[d] and (len(p) == 1 or docs[d] > 2048) for d, p in parts.items())
+    assert len(fill) <= 1.03 * sum(docs.values()) / 2048 + 3
+
+
 def test_blank_texts_are_not_counted(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, " "), (3, None), (4, "")], "doc_id long, text string")
     assert [(r.doc_id, r.tokens) for r in packing.token_counts(df, "doc_id", "text").collect()] == [(1, 2)]

@@ -21,17 +21,19 @@ import ahocorasick
 # --- Fixed values: letters of other scripts drawn like a Latin letter ------------------------------------
 LOOKALIKE_LETTERS = (
     # Cyrillic
-    "аa еe оo рp сc уy хx ѕs іi јj һh ӏl ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ӀI ԚQ ԜW "
+    "аa еe оo рp сc уy хx ѕs іi јj һh ӏl ԁd ԛq ԝw ѵv АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ӀI ԚQ ԜW УY ҮY ѴV "
     # Greek
-    "οo ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ "
+    "οo ϲc ϳj αa γy ιi νv ρp υu ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ "
     # Armenian
-    "օo սu ՕO ՍU ՏS "
+    "օo սu հh ոn ցg զq յj ՕO ՍU ՏS "
     # Cherokee
     "ᎠD ᎡR ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB "
     # Coptic
-    "ⲞO ⲟo ⲢP ⲤC ⲥc ⲔK ⲘM ⲦT ⲬX "
-    # Latin letters of phonetic alphabets
-    "ɡg"
+    "ⲎH ⲒI ⲚN ⲞO ⲟo ⲢP ⲤC ⲥc ⲔK ⲘM ⲦT ⲬX "
+    # Lisu
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU "
+    # Latin letters of phonetic alphabets, small capitals
+    "ɡg ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs"
 )
 # --- Fixed values: radicals of the CJK supplement and the Han characters of the same shape ----------------
 RADICAL_SUPPLEMENT = (
@@ -109,7 +111,8 @@ def base_pairs() -> tuple[tuple[str, str], ...]:
             continue
         kind, _, rest = how.partition(" ") if how[0] == "<" else ("", "", how)
         to = "".join(chr(int(x, 16)) for x in rest.split())
-        if kind in ("<wide>", "<narrow>") or kind == "" or kind == "<compat>" and len(to) == 1 and _is_han(to):
+        roman = 0x2160 <= o <= 0x217F and len(to) == 1  # numerals drawn as one letter
+        if roman or kind in ("<wide>", "<narrow>") or kind == "" or kind == "<compat>" and len(to) == 1 and _is_han(to):
             pairs.append((c, to))
             if kind == "" and (full := unicodedata.normalize("NFD", c)) != to:
                 pairs.append((c, full))
@@ -205,12 +208,13 @@ def look(s: str | None) -> str | None:
 @lru_cache(1)
 def lowered_first() -> dict[int, str]:
     """Capitals that aren't drawn like the capital of the Latin letter their lower case is drawn like: a text in look-alike letters
-    and then in capitals holds them, so the bare form takes their lower case."""
+    and then in capitals holds them, so the bare form takes their lower case. (The palochka is drawn like I in both cases, but where it stands for a letter it
+    is the l of its lower case.)"""
     f, out = folder(), {}
     for o in _assigned():
         c = chr(o)
         low = c.lower()
-        if len(low) == 1 and low != c and not low.isascii() and f.look(low).isascii() and f.look(c).lower() != f.look(low):
+        if len(low) == 1 and low != c and not low.isascii() and f.look(low).isascii() and (c == "Ӏ" or not f.look(c).isascii()):
             out[o] = low
     return out
 
