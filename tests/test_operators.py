@@ -223,3 +223,40 @@ def test_streams_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "project_id string, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/e")
     assert jobs.changed_keys(spark, f"{tmp_path}/e", "project_id").count() == 0
     assert jobs.hourly_counts(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_leaders_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 8)), 1)
+    v[100:140] = v[7]  # ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "i long, v array<double>").repartition(5)
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    got = {}
+    for r in vectors.rank_by_vector(df, df.filter("i % 20 = 0 or i = 7").select(F.col("i").alias("query_id"), F.col("v").alias("q")), "v", "i", 6, exclude_self=True).orderBy("place").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for q in [*range(0, 300, 20), 7]:
+        assert got[q] == sorted((i for i in range(300) if i != q), key=lambda i: (-round(float(v[q] @ v[i]), 6), i))[:6]
+    assert vectors.rank_by_vector(df, df.filter("i < 0").select(F.col("i").alias("query_id"), F.col("v").alias("q")), "v", "i", 6).count() == 0
+
+
+def test_diverse_sets_against_plain_loops(spark, data):
+    from tidewright import catalog
+
+    e = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    near = lambda q, n: sorted((i for i in e if i != q), key=lambda i: (-round(float(e[q] @ e[i]), 6), i))[:n]
+    got = {name: {} for name in ("v04_marginal_relevance", "v05_diversified")}
+    for name, sets in got.items():
+        for r in catalog.QUERIES[name](spark, data).orderBy("place").collect():
+            sets.setdefault(r.query_id, []).append(r.id)
+    for q in (i for i in e if i % 20 == 0):
+        left, picked = near(q, 30), []
+        while len(picked) < 8 and left:
+            value = [round(0.5 * round(float(e[q] @ e[i]), 6) - 0.5 * max([float(e[i] @ e[j]) for j in picked], default=0.0), 9) for i in left]
+            picked.append(left.pop(value.index(max(value))))
+        assert got["v04_marginal_relevance"][q] == picked
+        first, *left = near(q, 20)
+        kept = [first]
+        while len(kept) < 6 and left:
+            value = [round(-0.5 * max(float(e[i] @ e[j]) for j in kept) - 0.5 * p / max(1, len(left) - 1), 9) for p, i in enumerate(left)]
+            kept.append(left.pop(value.index(max(value))))
+        assert got["v05_diversified"][q] == kept

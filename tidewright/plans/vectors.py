@@ -38,7 +38,7 @@ def v02(spark, d):
 )
 def v03(spark, d):
     e = table(spark, d, "embeddings").filter("label = 3")
-    score = lambda q, v: V.fused(V.dot(q, v), V.dot(F.reverse(q), v))
+    score = lambda q, v: V.fused(V.inner(q, v), V.inner(q[:, ::-1], v))
     return V.rank_by_vector(e, _queries(spark, d), "embedding", "vec_id", 5, score, exclude_self=True).select("query_id", "place", "score")
 
 
