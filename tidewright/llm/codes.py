@@ -128,22 +128,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashes(c: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of the k code points from every position (those across a text's end included; callers mask them)."""
+def hashes(c: np.ndarray, k: int, odd: np.uint64 = _ODD) -> np.ndarray:
+    """64-bit hash of the k code points from every position (those across a text's end included; callers mask them). Another
+    ``odd`` number gives another hash."""
     n = len(c) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x = mix(c.astype(np.uint64) + _ODD)
+    x = mix(c.astype(np.uint64) + odd)
     if k <= 4:
         h = x[:n].copy()
         for i in range(1, k):
-            h = h * _ODD + x[i : i + n]
+            h = h * odd + x[i : i + n]
         return mix(h)
-    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+    inverse = np.uint64(pow(int(odd), -1, 1 << 64))
     down = np.cumprod(np.full(len(c), inverse))
     total = np.zeros(len(c) + 1, np.uint64)
     np.cumsum(x * down, out=total[1:])
-    up = np.cumprod(np.full(n, _ODD))
+    up = np.cumprod(np.full(n, odd))
     return mix((total[k:] - total[:-k]) * up)
 
 

@@ -12,10 +12,9 @@ compared pair by pair but by the spans of ``length`` characters themselves, so t
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ from . import postings as P
 
 #: Occurrences of a digest up to which they are compared pair by pair.
 FEW = 40
+#: Makes a second hash beside that of ``codes``, so that spans are compared by 128 bits.
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 #: Unit occurrences, and rows compared, of a bucket, on average.
 UNITS, COMPARED = 1_000_000, 20_000
 
@@ -159,19 +160,22 @@ def _spans(found: DataFrame, length: int) -> DataFrame:
     """``doc, start, span, earlier``: every span of ``length`` characters around the occurrences, and the span one character
     before it (null at the first)."""
 
+    def digests(h: np.ndarray) -> pa.Array:
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(h), [None, pa.py_buffer(np.ascontiguousarray(h).tobytes())]).cast(pa.binary())
+
     def cut(batches):
         for b in batches:
-            doc, start, span, earlier = [], [], [], []
-            for d, at, lead, around in zip(*(b.column(i).to_pylist() for i in range(4))):
-                last = None
-                for i in range(len(around) - length + 1):
-                    now = hashlib.blake2b(around[i : i + length].encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    doc.append(d)
-                    start.append(at - lead + i)
-                    span.append(now)
-                    earlier.append(last)
-                    last = now
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "span": pa.array(span, pa.binary()), "earlier": pa.array(earlier, pa.binary())})
+            docs, ats, leads = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            texts = b.column(3).to_pylist()
+            for i, j in C.slices(texts):
+                c, starts = K.codes(texts[i:j])
+                h = np.column_stack([K.hashes(c, length), K.hashes(c, length, _OTHER)])
+                who = K.owner(starts)[: len(h)]
+                p = np.flatnonzero(np.arange(len(h)) + length <= starts[who + 1])
+                first = p == starts[who[p]]  # no span before it
+                before = digests(h[np.maximum(p - 1, 0)])
+                w = who[p] + i
+                yield pa.RecordBatch.from_pydict({"doc": pa.array(docs[w]), "start": pa.array(ats[w] - leads[w] + p - starts[who[p]]), "span": digests(h[p]), "earlier": pa.compute.if_else(pa.array(first), pa.scalar(None, pa.binary()), before)})
 
     return found.select("doc", "at", "lead", "around").mapInArrow(cut, "doc long, start long, span binary, earlier binary")
 
