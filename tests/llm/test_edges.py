@@ -156,7 +156,9 @@ def noisy(n, seed=1):
     return [(i, f"id{rnd.randrange(n)}", (t := rnd.choice(base))[: rnd.randrange(len(t) // 2, len(t) + 1)], f"https://h{rnd.randrange(5)}.example/p/{rnd.randrange(n)}") for i in range(n)]
 
 
-def test_repeats_of_a_table_in_increments(spark):
+@pytest.mark.parametrize("size", [50_000, 12])
+def test_repeats_of_a_table_in_increments(spark, monkeypatch, size):
+    monkeypatch.setattr(neardup, "LIST", size)
     rows = noisy(160)
     got = sorted(tuple(r) for r in history.find_all_repeats(items(spark, rows), "i", "id", "t", F.col("u"), first=20, last=60).collect())
     assert got == B.repeats(rows)
@@ -279,7 +281,9 @@ def test_links_of_texts_without_a_long_shared_stretch(spark):
     assert groups_of(spark.createDataFrame(rows, "id string, a string, b string, c string")) == want
 
 
-def test_links_beside_a_standing_passage(spark):
+@pytest.mark.parametrize("size", [50_000, 20])
+def test_links_beside_a_standing_passage(spark, monkeypatch, size):
+    monkeypatch.setattr(neardup, "LIST", size)  # 20: lists of the passage's sequences are cut into ten parts
     rnd = random.Random(17)
     word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6))
     passage, rows = " ".join(word() for _ in range(36)), []
@@ -302,7 +306,7 @@ def test_bitmaps_never_rule_out_a_link():
     texts = ["".join(rnd.choices("abcde", k=n)) for n in (10, 60, 200, 500, 3000)]
     pairs = [(t, t[: int(len(t) * f)] + "z" * int(len(t) * (1 - f) / 2)) for t in texts for f in (0.7, 0.8, 0.95)]
     c, s = codes.codes([x for p in pairs for x in p])
-    *_, n, bits = neardup._tokens(c, s, 3, 0.6, np.zeros(neardup.COUNTERS, np.uint8))
+    *_, n, bits, _ = neardup._tokens(c, s, 3, 0.6, np.zeros(neardup.COUNTERS, np.uint8))
     apart = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1)
     for (a, b), d, x, y in zip(pairs, apart, n[::2], n[1::2]):
         ga, gb = B.grams(a, 3), B.grams(b, 3)

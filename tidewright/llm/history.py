@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from . import codes as K
 from . import common as C
+from . import neardup
 from . import postings as P
-from .neardup import COUNTERS, SAMPLE, _counter, _least, _list_pairs, _slices, similar
+from .neardup import COUNTERS, SAMPLE, _counter, _least, _list_pairs, _slices, lists_of, parted, similar
 from .segments import WORDS, BucketFile, Records, Store, place
 
 SHARE = 0.6
@@ -70,7 +71,7 @@ def _hash(kind: str, text: str) -> int:
 
 
 def title_suffixes(bare: list[str], digits: list[str], classes: np.ndarray, share: float = SHARE):
-    """(title, key, place, size, bitmap) of the substrings of which any title with the share has one: two characters, led by the
+    """(title, key, place, size, bitmap, class) of the substrings of which any title with the share has one: two characters, led by the
     digits, the rarest first."""
     c, starts = K.codes(bare)
     led = {d: _hash("d", d) for d in set(digits)}
@@ -86,15 +87,15 @@ def title_suffixes(bare: list[str], digits: list[str], classes: np.ndarray, shar
     bit[who, (t % np.uint64(64 * WORDS)).astype(np.int64)] = 1
     at = np.arange(len(t)) - np.r_[0, np.cumsum(n)][who]
     keep = at <= (n - _least(n, share))[who]
-    return who[keep], K.mix(t[keep] ^ salt[who[keep]]), at[keep].clip(0, 65535).astype(np.uint16), n, np.packbits(bit, axis=1).view(np.uint64)
+    return who[keep], K.mix(t[keep] ^ salt[who[keep]]), at[keep], n, np.packbits(bit, axis=1).view(np.uint64), ((key[keep] >> np.uint64(47)) & np.uint64(63)).astype(np.int64)
 
 
 def _suffixes(values: list[str], digits: list[str], classes: np.ndarray):
     """``title_suffixes`` of any number of titles."""
     parts = [(a, *title_suffixes(values[a:b], digits[a:b], classes)) for a, b in _slices(values)]
     if not parts:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*((who + a, key, at, n, bits) for a, who, key, at, n, bits in parts)))
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*((who + a, *rest) for a, who, *rest in parts)))
 
 
 def _equal(kinds: list[str], values: list[str]) -> np.ndarray:
@@ -117,8 +118,8 @@ def read_rows(df: DataFrame, ordinal: str, id_: str, title: str, address) -> Dat
     return df.select(F.col(ordinal).cast("long"), F.col(id_).cast("string"), title, address).mapInArrow(read, "r long, id string, page string, digits string, bare string")
 
 
-def _classes(names: DataFrame) -> np.ndarray:
-    """Classes of frequency of two-character sequences in a sample of titles, by counter of their hash."""
+def _classes(names: DataFrame) -> tuple[np.ndarray, int]:
+    """Classes of frequency of two-character sequences in a sample of titles, by counter of their hash, and the titles of the sample."""
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int32)
@@ -134,14 +135,14 @@ def _classes(names: DataFrame) -> np.ndarray:
     total = np.zeros(COUNTERS, np.int64)
     for r in (titles.sample(SAMPLE / rows, 7) if rows > SAMPLE else titles).mapInArrow(count, "at binary, n binary").toLocalIterator():
         total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int32)
-    return np.minimum(63, np.log2(total + 1) * 3.5).astype(np.uint8)
+    return np.minimum(63, np.log2(total + 1) * 3.5).astype(np.uint8), min(rows, SAMPLE)
 
 
-def like(names: DataFrame, classes: np.ndarray, store: Store | None) -> DataFrame:
+def like(names: DataFrame, classes: np.ndarray, scale: float, store: Store | None) -> DataFrame:
     """``a, b, segment``: names (``num, kind, digits, value``) that may be alike: pairs of titles of the batch (segment -1), and names
     with places of records in the store's segments."""
     path, segments, buckets = (store.path, store.segments, store.buckets) if store else (None, [], 32)
-    order = names.sparkSession.sparkContext.broadcast(classes)
+    order, most = names.sparkSession.sparkContext.broadcast(classes), neardup.LIST
     folder = f"{C.folder(names.sparkSession)}/titles-{uuid.uuid4().hex}"
     files = lambda: pafs.FileSystem.from_uri(folder)
     fs, here = files()
@@ -158,8 +159,8 @@ def like(names: DataFrame, classes: np.ndarray, store: Store | None) -> DataFram
                 others = [i for i, k in enumerate(kinds) if k != "t"]
                 out, name = P.Buckets(buckets), uuid.uuid4().hex
                 if titles:
-                    who, key, place_, n, bits = _suffixes([values[i] for i in titles], [digits[i] for i in titles], order.value)
-                    out.add(key, who.astype(np.uint16), place_)
+                    who, key, place_, n, bits, classes_of = _suffixes([values[i] for i in titles], [digits[i] for i in titles], order.value)
+                    out.add(*parted(key, who.astype(np.uint16), place_, classes_of, num[titles][who], scale, most, bool(segments)))
                     with fs.open_output_stream(f"{here}/{name}") as f:
                         f.write(np.column_stack([num[titles].view(np.uint64), n.astype(np.uint64), bits]).tobytes())
                     for r in out.rows():
@@ -175,15 +176,9 @@ def like(names: DataFrame, classes: np.ndarray, store: Store | None) -> DataFram
         number = np.empty(len(sheet), np.uint64)
         number[order] = np.arange(len(sheet), dtype=np.uint64)
         sheet = sheet[order]
-        whole = (key.astype(np.uint64) << np.uint64(32)) | number[owner]
-        o = np.argsort(whole)
-        whole, at = whole[o], at[o]
-        new = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
-        at = np.minimum.reduceat(at, new)
-        key, who = (whole[new] >> np.uint64(32)).astype(np.uint32), (whole[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        who, at, cut, opposite = lists_of(key, number[owner], at)
         found, waiting, m = np.zeros(0, np.int64), [], len(sheet)
-        for i, j in _list_pairs(who, at, cut, sheet[:, 1].astype(np.int64), sheet[:, 2:], SHARE):
+        for i, j in _list_pairs(who, at, cut, sheet[:, 1].astype(np.int64), sheet[:, 2:], SHARE, opposite):
             waiting.append(i * m + j)
             if len(waiting) >= 4096:
                 found, waiting = K.sorted_set(np.concatenate([found, *waiting])), []
@@ -334,8 +329,8 @@ def absorb(rows: DataFrame, tables: C.Tables, store: Store | None = None, keep:
     titles = named.filter("kind = 't'").drop("r").dropDuplicates(["k"])  # a title once, however often it stands
     asked = titles.unionByName(named.filter("kind <> 't'").drop("r")) if old else titles
     names = tables.put(asked.withColumn("num", F.monotonically_increasing_id()))
-    classes = store.order(lambda: _classes(names)) if store else _classes(names)
-    met = like(names, classes, store)
+    classes, sampled = store.order(lambda: _classes(names)) if store else _classes(names)
+    met = like(names, classes, max(1.0, names.filter("kind = 't'").count() / max(1, sampled)), store)
     links = C.checkpoint(_linked(met.filter("segment = -1"), names))
     own = tables.put(named.select("r", "k"))
     known = None
@@ -366,7 +361,7 @@ def _record_postings(b: pa.RecordBatch, classes: np.ndarray):
     """(row, key, size, bitmap) of records."""
     _, ids, pages, digits, bare = (c.to_pylist() for c in b.columns)
     titles = [i for i, x in enumerate(bare) if x is not None]
-    who, key, _, n, bits = _suffixes([bare[i] for i in titles], [digits[i] for i in titles], classes)
+    who, key, _, n, bits, _ = _suffixes([bare[i] for i in titles], [digits[i] for i in titles], classes)
     others = [(i, kind, v) for kind, col in (("i", ids), ("p", pages)) for i, v in enumerate(col) if v is not None]
     zero = np.zeros(len(others), np.int64)
     return (

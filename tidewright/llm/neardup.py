@@ -38,6 +38,10 @@ D, PAIRS = 1500, 30_000
 SAMPLE, COUNTERS = 100_000, 1 << 20
 #: Postings of a bucket, on average: what one call has in memory.
 POSTINGS = 1_000_000
+#: Texts that may have a token before its list is cut into parts of so many, and every two parts become a list of their own.
+LIST = 50_000
+#: A place goes into 14 bits (greater ones as the greatest, which rules out less); above it the list is whole or which part this is.
+PLACE = 14
 #: Words of a bitmap for texts of up to 150 sequences on average (more for longer ones); texts of a file, numbered by 15 bits.
 WORDS, TEXTS = 12, 32_768
 
@@ -113,11 +117,35 @@ def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, classes: np
     bit[who, ((t >> np.uint64(8)) % np.uint64(64 * words)).astype(np.int64)] = 1
     place = np.arange(len(t)) - np.r_[0, np.cumsum(n)][who]
     keep = place <= (n - _least(n, share))[who]
-    return who[keep], t[keep], place[keep].clip(0, 65535).astype(np.uint16), n, np.packbits(bit, axis=1).view(np.uint64)
-
-
-def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.ndarray, bits: np.ndarray, share: float):
+    return who[keep], t[keep], place[keep], n, np.packbits(bit, axis=1).view(np.uint64), ((key[keep] >> np.uint64(47)) & np.uint64(63)).astype(np.int64)
+
+
+def parted(t: np.ndarray, owner: np.ndarray, place: np.ndarray, classes_of: np.ndarray, who: np.ndarray, scale: float, most: int, whole: bool = False):
+    """Postings (token, owner, place with part). A token that more than ``most`` texts have, by its class and ``scale``, is posted once for
+    every other part of its texts and once for its own; ``who`` spreads texts over parts. With ``whole`` it is posted as it is, too,
+    as no part of a list."""
+    parts = np.ceil(np.exp2(classes_of / 3.5) * scale / most).astype(np.int64)
+    place = np.minimum(place, (1 << PLACE) - 1).astype(np.uint16)
+    hot = np.flatnonzero(parts > 1)
+    if not len(hot):
+        return t, owner, place
+    g = parts[hot]
+    own = (K.mix(who[hot].astype(np.uint64) + np.uint64(1)) % g.astype(np.uint64)).astype(np.int64)
+    h = np.repeat(np.arange(len(hot)), g)
+    other = np.arange(len(h)) - np.repeat(np.cumsum(g) - g, g)
+    own = own[h]
+    mode = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint16)
+    key = K.mix(t[hot][h] + (np.minimum(own, other) * g[h] + np.maximum(own, other)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    cold = parts <= 1
+    out = np.r_[t[cold], key], np.r_[owner[cold], owner[hot][h]], np.r_[place[cold], place[hot][h] | (mode << np.uint16(PLACE))]
+    if whole:
+        out = np.r_[out[0], t[hot]], np.r_[out[1], owner[hot]], np.r_[out[2], place[hot] | np.uint16(3 << PLACE)]
+    return out
+
+
+def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.ndarray, bits: np.ndarray, share: float, opposite: np.ndarray | None = None):
     """Pairs (i, j) of texts that meet in a list and that sizes, places and bitmaps don't rule out. Texts are numbered by size.
+    ``opposite`` gives the list whose texts a list's are paired with: itself, another, or none (-1).
 
     Texts of sizes x and y need share / (1 + share) (x + y) shared sequences, and have x - place at most if the list's is the first.
     So each has a greatest size of the other. Bitmaps are compared folded to as few words as tell unlike texts of their size
@@ -140,11 +168,17 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
     bound = np.minimum(np.floor(apart * size + 0.5), 16_000).astype(np.int16)
     small = size.astype(np.int32)
 
-    # a text's partners stand after it in the list, up to the greatest size it allows
-    lists = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    # a text's partners are those of the opposite list from its size (behind it, in its own) up to the greatest size it allows
+    each = np.diff(cut)
+    lists = np.repeat(np.arange(len(each)), each)
+    to = lists if opposite is None else np.repeat(opposite, each)
     step = int(n.max()) + 2
-    end = np.searchsorted(lists * step + size, lists * step + np.clip(np.floor(most).astype(np.int64), 0, step - 1), "right")
-    count = np.maximum(end - np.arange(len(owner)) - 1, 0)
+    where = lists * step + size
+    begin = np.arange(len(owner)) + 1
+    cross = np.flatnonzero((to != lists) & (to >= 0))
+    begin[cross] = np.where(to[cross] > lists[cross], np.searchsorted(where, to[cross] * step + size[cross], "left"), np.searchsorted(where, to[cross] * step + size[cross], "right"))
+    end = np.searchsorted(where, np.maximum(to, 0) * step + np.clip(np.floor(most).astype(np.int64), 0, step - 1), "right")
+    count = np.where(to >= 0, np.maximum(end - begin, 0), 0)
 
     def first_words(typical: float) -> list[np.ndarray]:
         """The fewest whose expected difference is well above what similar texts of this size can have."""
@@ -164,20 +198,20 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
 
     long = np.flatnonzero(count > D)
     for i in long.tolist():
-        j = slice(i + 1, i + 1 + int(count[i]))
+        j = slice(int(begin[i]), int(begin[i] + count[i]))
         few = first_words(size[i])
         far = np.zeros(int(count[i]), np.uint8 if len(few) <= 4 else np.int16)  # 256 bits look like none and go on
         for w in few:
             far += np.bitwise_count(w[j] ^ w[i])
         near = np.flatnonzero(far <= bound[j] + bound[i])
-        yield rest(np.full(len(near), i), i + 1 + near)
+        yield rest(np.full(len(near), i), begin[i] + near)
     count[long] = 0
     before = np.r_[0, np.cumsum(count)]
     a = 0
     while a < len(owner):
         z = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, "right")) - 1)
         c = count[a:z]
-        j = np.arange(before[a], before[z]) + np.repeat(np.arange(a, z) + 1 - before[a:z], c)
+        j = np.arange(before[a], before[z]) + np.repeat(begin[a:z] - before[a:z], c)
         few = first_words(1.1 * float(small[j].mean())) if len(j) else []
         far = np.zeros(len(j), np.uint8 if len(few) <= 4 else np.int16)
         for w in few:
@@ -187,6 +221,26 @@ def _list_pairs(owner: np.ndarray, place: np.ndarray, cut: np.ndarray, n: np.nda
         a = z
 
 
+def lists_of(key: np.ndarray, owner: np.ndarray, place: np.ndarray):
+    """Owners and places in lists by key and part, where each list begins, and which list is its opposite."""
+    part = place >> np.uint16(PLACE)
+    # up to 2^30 owners a bucket
+    whole = (key.astype(np.uint64) << np.uint64(32)) | (part.astype(np.uint64) << np.uint64(30)) | owner
+    order = np.argsort(whole)
+    whole, place = whole[order], place[order] & np.uint16((1 << PLACE) - 1)
+    first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])  # tokens of a text that look alike are one, at the least place
+    place, whole = np.minimum.reduceat(place, first), whole[first]
+    list_ = whole >> np.uint64(30)
+    cut = np.r_[np.flatnonzero(np.r_[True, list_[1:] != list_[:-1]]), len(list_)]
+    of = list_[cut[:-1]]
+    opposite = np.arange(len(of))
+    mode = of & np.uint64(3)
+    opposite[mode > 0] = -1
+    two = np.flatnonzero((mode[1:] == 2) & (mode[:-1] == 1) & ((of[1:] >> np.uint64(2)) == (of[:-1] >> np.uint64(2))))
+    opposite[two], opposite[two + 1] = two + 1, two
+    return (whole & np.uint64((1 << 30) - 1)).astype(np.int64), place, cut, opposite
+
+
 def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFrame:
     """``a, b``: numbers of the distinct ``texts(num, text)``; every pair with the share is among them, and few others."""
     spark = texts.sparkSession
@@ -194,6 +248,7 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
     classes, tokens = _token_classes(texts, rows, k)
     buckets = max(8, int(rows * tokens * (1 - share) / POSTINGS))
     words = WORDS * max(1, math.ceil(tokens / 150))
+    scale, most = max(1.0, rows / SAMPLE), LIST
     counts = spark.sparkContext.broadcast(classes)
     folder = f"{C.folder(spark)}/neardup-{uuid.uuid4().hex}"
     files = lambda: pafs.FileSystem.from_uri(folder)
@@ -208,8 +263,8 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
                 out, sheets, col = P.Buckets(buckets), [], part.column(1).to_pylist()
                 ids = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 for i, j in _slices(col):
-                    who, t, place, n, bits = _tokens(*K.codes(col[i:j]), k, share, counts.value, words)
-                    out.add(t, (who + i).astype(np.uint16), place)
+                    who, t, place, n, bits, classes_of = _tokens(*K.codes(col[i:j]), k, share, counts.value, words)
+                    out.add(*parted(t, (who + i).astype(np.uint16), place, classes_of, ids[who + i], scale, most))
                     sheets.append(np.column_stack([ids[i:j], n.astype(np.uint64), bits]))
                 if sheets:
                     name = uuid.uuid4().hex
@@ -236,15 +291,9 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
         number[order] = np.arange(have, dtype=np.uint64)  # texts by size
         sheet = sheet[order]
         key, owner, place = np.concatenate(keys), number[np.concatenate(owners)], np.concatenate(places)
-        whole = (key.astype(np.uint64) << np.uint64(32)) | owner
-        order = np.argsort(whole)
-        whole, place = whole[order], place[order]
-        first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])  # tokens of a text that look alike are one, at the least place
-        place = np.minimum.reduceat(place, first)
-        key, owner = (whole[first] >> np.uint64(32)).astype(np.uint32), (whole[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        owner, place, cut, opposite = lists_of(key, owner, place)
         found, waiting, m = np.zeros(0, np.int64), [], len(sheet)
-        for i, j in _list_pairs(owner, place, cut, sheet[:, 1].astype(np.int64), sheet[:, 2:], share):
+        for i, j in _list_pairs(owner, place, cut, sheet[:, 1].astype(np.int64), sheet[:, 2:], share, opposite):
             waiting.append(i * m + j)
             if len(waiting) >= 4096:
                 found, waiting = K.sorted_set(np.concatenate([found, *waiting])), []

@@ -131,16 +131,17 @@ class Store:
         """Name and number of records of each, the oldest first."""
         return self.state["segments"]
 
-    def order(self, make) -> np.ndarray:
-        """The classes of frequency by which sequences are ordered: made once, with the first records, and kept, since all segments
-        must be ordered alike."""
+    def order(self, make) -> tuple[np.ndarray, int]:
+        """The classes of frequency by which sequences are ordered, and how many titles they were counted in: made once, with the first
+        records, and kept, since all segments must be ordered alike."""
         fs, p = pafs.FileSystem.from_uri(self.path)
         if self.state["order"] is None:
             self.state["order"] = f"order-{uuid.uuid4().hex}"
+            classes, self.state["sampled"] = make()
             with fs.open_output_stream(f"{p}/{self.state['order']}") as f:
-                f.write(make().astype(np.uint8).tobytes())
+                f.write(classes.astype(np.uint8).tobytes())
         with fs.open_input_file(f"{p}/{self.state['order']}") as f:
-            return np.frombuffer(f.read(), np.uint8)
+            return np.frombuffer(f.read(), np.uint8), self.state["sampled"]
 
     def _save(self) -> None:
         fs, p = pafs.FileSystem.from_uri(self.path)
