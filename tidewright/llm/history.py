@@ -324,15 +324,15 @@ def absorb(rows: DataFrame, tables: C.Tables, store: Store | None = None, keep:
     ``keep``, the accepted rows are added to the store. All rows must come later than the store's."""
     key = lambda kind, *c: F.unhex(F.md5(F.concat_ws("\x1f", F.lit(kind), *(F.col(x) for x in c))))
     name = lambda kind, value, *c: F.when(F.col(value).isNotNull(), F.struct(key(kind, *c, value).alias("k"), F.lit(kind).alias("kind"), (F.col(c[0]) if c else F.lit("")).alias("digits"), F.col(value).alias("value")))
-    named = rows.select("r", F.inline(F.array_compact(F.array(name("i", "id"), name("p", "page"), name("t", "bare", "digits")))))
+    titles = rows.filter("bare is not null").select(F.inline(F.array(name("t", "bare", "digits")))).distinct()  # a title once, however often it stands
     old = store is not None and bool(store.segments)
-    titles = named.filter("kind = 't'").drop("r").dropDuplicates(["k"])  # a title once, however often it stands
-    asked = titles.unionByName(named.filter("kind <> 't'").drop("r")) if old else titles
+    asked = titles.unionByName(rows.select(F.inline(F.array_compact(F.array(name("i", "id"), name("p", "page")))))) if old else titles
     names = tables.put(asked.withColumn("num", F.monotonically_increasing_id()))
     classes, sampled = store.order(lambda: _classes(names)) if store else _classes(names)
     met = like(names, classes, max(1.0, names.filter("kind = 't'").count() / max(1, sampled)), store)
     links = C.checkpoint(_linked(met.filter("segment = -1"), names))
-    own = tables.put(named.select("r", "k"))
+    keys = F.array_compact(F.array(*(F.when(F.col(c[-1]).isNotNull(), key(kind, *c)) for kind, *c in (("i", "id"), ("p", "page"), ("t", "digits", "bare")))))
+    own = tables.put(rows.select("r", F.explode(keys).alias("k")))
     known = None
     if old:
         found = C.checkpoint(_known(met.filter("segment >= 0"), names, store))

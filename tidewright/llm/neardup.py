@@ -382,7 +382,7 @@ def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3
     tables = C.Tables(df.sparkSession)
     keyed = df.filter(F.col(key).isNotNull()).select(*fields, F.col(key).cast("string"))
     rows = tables.put(keyed.mapInArrow(id_texts, "d binary, key string, text string"))  # folded once, read by all that follows
-    texts = tables.put(rows.select("d", "text").dropDuplicates(["d"]).withColumn("num", F.monotonically_increasing_id()))
+    texts = tables.put(rows.select("d", "text").distinct().withColumn("num", F.monotonically_increasing_id()))
     pairs = candidate_pairs(texts, k, share)
     links = verified(pairs, texts, k, share).select(F.col("a").alias("u"), F.col("b").alias("v"))
     owned = C.checkpoint(rows.select("d", "key").distinct().join(texts.select("d", "num"), "d").select("num", "key"))
