@@ -260,3 +260,12 @@ def test_diverse_sets_against_plain_loops(spark, data):
             value = [round(-0.5 * max(float(e[i] @ e[j]) for j in kept) - 0.5 * p / max(1, len(left) - 1), 9) for p, i in enumerate(left)]
             kept.append(left.pop(value.index(max(value))))
         assert got["v05_diversified"][q] == kept
+
+
+def test_colors(spark):
+    assert one(spark, D.hsl(F.lit("#ff0000"))) == (0.0, 1.0, 0.5) and one(spark, D.hsl(F.lit("#0000ff")))[0] == 240.0 and one(spark, D.hsl(F.lit("#808080")))[:2] == (0.0, 0.0)
+    assert one(spark, D.harmony(F.lit("#ff0000"), "triadic")) == ["#FF0000", "#00FF00", "#0000FF"]
+    assert one(spark, D.harmony(F.lit("#ff0000"), "complementary")) == ["#FF0000", "#00FFFF"]
+    assert one(spark, D.composite(F.lit("#00000080"), F.lit("#ffffff"))) == "#7F7F7F"
+    assert one(spark, D.type_scale(F.lit(24), D.SCALES["major_third"])) == (19, 24, 30, 38, 47)
+    assert one(spark, D.half_even(F.lit(2.5), 0)) == 2.0 and one(spark, D.half_even(F.lit(3.5), 0)) == 4.0

@@ -70,3 +70,59 @@ def step_seconds(kind: Column, letters: Column, pause: Column, fps: int = 30) ->
 
 def xfade_offset(seconds: Column, fade: float) -> Column:
     return F.round(F.greatest(F.lit(0.0), seconds - fade), 3)
+
+
+def hsl(hex_color: Column) -> Column:
+    """``h`` in degrees, ``s`` and ``l`` from 0 to 1 of #rrggbb, to six digits."""
+    r, g, b = (channel(hex_color, i) for i in (2, 4, 6))
+    most, least = F.greatest(r, g, b), F.least(r, g, b)
+    d, l = most - least, (most + least) / 2
+    turn = F.when(most == r, (g - b) / d).when(most == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
+    hue = F.when(d == 0, F.lit(0.0)).otherwise(F.when(turn < 0, turn + 6).otherwise(turn) * 60)
+    sat = F.when(d == 0, F.lit(0.0)).otherwise(d / (1 - F.abs(2 * l - 1)))
+    return F.struct(F.round(hue, 6).alias("h"), F.round(sat, 6).alias("s"), F.round(l, 6).alias("l"))
+
+
+def hsl_hex(h: Column, s: Column, l: Column) -> Column:
+    """#RRGGBB of a hue in degrees, saturation and lightness."""
+
+    def part(n: int) -> Column:
+        k = (h / 30 + n) % 12
+        c = l - s * F.least(l, 1 - l) * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
+        return F.bround(c * 255).cast("int")
+
+    return F.format_string("#%02X%02X%02X", part(0), part(8), part(4))
+
+
+def composite(front: Column, back: Column) -> Column:
+    """#RRGGBB of #rrggbbaa before an opaque #rrggbb."""
+    alpha = channel(front, 8)
+    part = lambda i: F.bround((alpha * channel(front, i) + (1 - alpha) * channel(back, i)) * 255).cast("int")
+    return F.format_string("#%02X%02X%02X", part(2), part(4), part(6))
+
+
+# Turns of hue of a harmony, ratios of type scales, hues in degrees that some eyes don't tell apart.
+HARMONIES = {"complementary": [0, 180], "analogous": [-30, 0, 30], "triadic": [0, 120, 240], "split-complementary": [0, 150, 210]}
+SCALES = {"minor_second": 1.067, "major_second": 1.125, "minor_third": 1.2, "major_third": 1.25, "perfect_fourth": 1.333, "golden": 1.618}
+CONFUSED = [
+    ("deuteranopia", 0, 30, 90, 150),
+    ("deuteranopia", 30, 60, 90, 130),
+    ("deuteranopia", 330, 360, 90, 150),
+    ("protanopia", 0, 40, 80, 140),
+    ("protanopia", 340, 360, 80, 140),
+    ("protanopia", 0, 20, 170, 200),
+    ("tritanopia", 200, 270, 50, 100),
+    ("tritanopia", 220, 260, 40, 80),
+    ("tritanopia", 170, 210, 300, 340),
+]
+
+
+def harmony(hex_color: Column, kind: str) -> Column:
+    """The colors of a harmony around a color."""
+    c = hsl(hex_color)
+    return F.array(*(hsl_hex((c["h"] + n + 360) % 360, c["s"], c["l"]) for n in HARMONIES[kind]))
+
+
+def type_scale(base: Column, ratio: float) -> Column:
+    """Sizes from caption to display: the base divided by the ratio, and times its powers, halves to even."""
+    return F.struct(*(F.bround(base * F.lit(float(ratio**n))).cast("int").alias(a) for a, n in (("caption", -1), ("body", 0), ("subheading", 1), ("heading", 2), ("display", 3))))

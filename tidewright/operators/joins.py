@@ -97,3 +97,14 @@ def claimed_once(pages: DataFrame, beats: DataFrame, pos: str, asset: str, page:
     free = pages.join(planned, F.col(page) == F.col("_planned"), "left").withColumn("_free", F.col("_planned").isNull())
     met = free.join(wanted, F.col(claim) == F.col("_claim")).filter(F.col("_free") | (F.col(page) == F.col(asset)))
     return met.groupBy(page).agg(F.min(pos).alias(pos))
+
+
+def confused_pairs(df: DataFrame, group: str, key: str, value: str, ranges: list[tuple]) -> DataFrame:
+    """Pairs of rows of a group, ``*_a`` with the lesser key, of which one's value lies in a range's first half and the other's in its
+    second, with the range's ``kind``. Rows are spread over the ranges they lie in, so the join is one of equal keys."""
+    halves = [(i, kind, side, lo, hi) for i, (kind, a0, a1, b0, b1) in enumerate(ranges) for side, lo, hi in ((0, a0, a1), (1, b0, b1))]
+    lies = F.array_compact(F.array(*(F.when(F.col(value).between(lo, hi), F.struct(F.lit(i).alias("_range"), F.lit(kind).alias("kind"), F.lit(side).alias("_side"))) for i, kind, side, lo, hi in halves)))
+    x = df.select("*", F.inline(lies))
+    a, b = (x.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns), F.col("_range").alias(f"_range_{s}"), F.col("_side").alias(f"_side_{s}"), F.col("kind").alias(f"kind_{s}")) for s in "ab")
+    on = (F.col(f"{group}_a") == F.col(f"{group}_b")) & (F.col("_range_a") == F.col("_range_b")) & (F.col("_side_a") != F.col("_side_b")) & (F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return a.join(b, on).withColumnRenamed("kind_a", "kind").drop("kind_b", "_range_a", "_range_b", "_side_a", "_side_b")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.timefmt import CONFUSED, hsl
 from ..operators import joins as J
 from ..operators.numbering import numbered
 from ..registry import query, table
 from .common import ITEMS_SQL, items
+from .texts import COLORS_SQL, colors
 
 #: Work on a scene as an interval of seconds: from an event's end minus its duration to its end.
 _WORK = """work AS (SELECT DISTINCT event_no, project_id, scene_id, epoch(ts::TIMESTAMPTZ)::DOUBLE - duration_s AS w_start, epoch(ts::TIMESTAMPTZ)::DOUBLE AS w_end FROM event_log WHERE event = 'finish' AND duration_s > 0 AND NOT isnan(duration_s))"""
@@ -143,13 +145,13 @@ def j10(spark, d):
 
 @query(
     "j11_theta_self_join",
-    """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_acctbal AS v FROM supplier) SELECT a.k AS a, b.k AS b, round(abs(a.v - b.v), 2) AS gap FROM s a JOIN s b ON a.n = b.n AND a.k < b.k AND abs(a.v - b.v) BETWEEN 150 AND 210""",
+    f"""WITH {COLORS_SQL}, z(kind, a0, a1, b0, b1) AS (VALUES {", ".join(map(str, CONFUSED))})
+  SELECT DISTINCT x.k AS a, y.k AS b, kind FROM colors x JOIN colors y ON x.n = y.n AND x.k < y.k AND abs(x.l - y.l) <= 0.3 AND x.s >= 0.15 AND y.s >= 0.15 JOIN z ON (x.h BETWEEN a0 AND a1 AND y.h BETWEEN b0 AND b1) OR (y.h BETWEEN a0 AND a1 AND x.h BETWEEN b0 AND b1)""",
 )
 def j11(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("v"))
-    a, b = s.alias("a"), s.alias("b")
-    gap = F.abs(F.col("a.v") - F.col("b.v"))
-    return a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.k") < F.col("b.k")) & gap.between(150, 210)).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(gap, 2).alias("gap"))
+    c = colors(spark, d).select("k", "n", hsl(F.col("color")).alias("c")).filter("c.s >= 0.15").select("k", "n", F.col("c.h").alias("h"), F.col("c.l").alias("l"))
+    pairs = J.confused_pairs(c, "n", "k", "h", CONFUSED).filter(F.abs(F.col("l_a") - F.col("l_b")) <= 0.3)
+    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "kind").distinct()
 
 
 @query(

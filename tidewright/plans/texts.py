@@ -369,3 +369,37 @@ def d17(spark, d):
 @query("d18_xfade_offsets", "SELECT event_id, round(greatest(0, value - 1.5), 3)::DOUBLE AS at FROM events")
 def d18(spark, d):
     return table(spark, d, "events").select("event_id", D.xfade_offset(F.col("value"), 1.5).alias("at"))
+
+
+COLORS_SQL = """c AS (SELECT s_suppkey AS k, s_nationkey AS n, (s_suppkey * 37) % 256 AS ri, (s_suppkey * 91) % 256 AS gi, (s_suppkey * 53) % 256 AS bi FROM supplier), f AS (SELECT *, ri / 255.0::DOUBLE AS r, gi / 255.0::DOUBLE AS g, bi / 255.0::DOUBLE AS b FROM c),
+  m AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d, (greatest(r, g, b) + least(r, g, b)) / 2 AS li FROM f), t AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN hi = r THEN (g - b) / d WHEN hi = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END AS turn FROM m),
+  colors AS (SELECT k, n, round(CASE WHEN turn < 0 THEN turn + 6 ELSE turn END * 60, 6) AS h, round(CASE WHEN d = 0 THEN 0 ELSE d / (1 - abs(2 * li - 1)) END, 6) AS s, round(li, 6) AS l FROM t)"""
+
+
+def colors(spark, d):
+    """Suppliers with a color made of their key."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(k.alias("k"), F.col("s_nationkey").alias("n"), F.format_string("#%02x%02x%02x", (k * 37) % 256, (k * 91) % 256, (k * 53) % 256).alias("color"))
+
+
+@query("d09b_hues", f"WITH {COLORS_SQL} SELECT k, h, s, l FROM colors")
+def d09b(spark, d):
+    return colors(spark, d).select("k", D.hsl(F.col("color")).alias("c")).select("k", "c.*")
+
+
+@query("d09c_composites", "SELECT k, printf('#%02X%02X%02X', round_even(a * r + (1 - a) * 255, 0)::INT, round_even(a * g + (1 - a) * 255, 0)::INT, round_even(a * b + (1 - a) * 255, 0)::INT) AS color FROM (SELECT s_suppkey AS k, (s_suppkey * 37) % 256 AS r, (s_suppkey * 91) % 256 AS g, (s_suppkey * 53) % 256 AS b, 128 / 255.0::DOUBLE AS a FROM supplier)")
+def d09c(spark, d):
+    return colors(spark, d).select("k", D.composite(F.concat("color", F.lit("80")), F.lit("#ffffff")).alias("color"))
+
+
+_PART = lambda n: f"round_even((l - s * least(l, 1 - l) * greatest(-1, least((x / 30 + {n}) % 12 - 3, 9 - (x / 30 + {n}) % 12, 1))) * 255, 0)::INT"
+
+
+@query("d09d_harmonies", f"WITH {COLORS_SQL}, x AS (SELECT k, s, l, i, (h + i + 360) % 360 AS x FROM colors, (SELECT unnest([0, 120, 240]) AS i)) SELECT k, string_agg(printf('#%02X%02X%02X', {_PART(0)}, {_PART(8)}, {_PART(4)}), ' ' ORDER BY i) AS palette FROM x GROUP BY 1")
+def d09d(spark, d):
+    return colors(spark, d).select("k", F.array_join(D.harmony(F.col("color"), "triadic"), " ").alias("palette"))
+
+
+@query("d09e_type_scales", "SELECT DISTINCT p_size, round_even(p_size / 1.25::DOUBLE, 0)::INT AS caption, round_even(p_size * 1.25::DOUBLE, 0)::INT AS subheading, round_even(p_size * 1.953125::DOUBLE, 0)::INT AS display FROM part")
+def d09e(spark, d):
+    return table(spark, d, "part").select("p_size").distinct().select("p_size", D.type_scale(F.col("p_size"), D.SCALES["major_third"]).alias("t")).select("p_size", "t.caption", "t.subheading", "t.display")
