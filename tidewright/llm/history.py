@@ -350,7 +350,8 @@ def absorb(rows: DataFrame, tables: C.Tables, store: Store | None = None, keep:
     repeats = rest.join(owner, "k").filter("first_index < r").groupBy("r").agg(F.min("first_index").alias("first_index"))
     repeats = C.checkpoint(repeats if known is None else repeats.unionByName(known.select("r", "first_index")))
     if store and keep:
-        new = rows.join(C.sent(repeats), "r", "left_anti")
+        # written first: a task that runs again must give a segment the same bytes, so its rows must not come from a shuffle
+        new = tables.put(rows.join(C.sent(repeats), "r", "left_anti"))
         count = new.count()
         if count:
             store.add(new, lambda b: _record_postings(b, classes), count)

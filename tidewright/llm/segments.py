@@ -150,7 +150,7 @@ class Store:
         fs.move(f"{p}/segments.new", f"{p}/segments.json")
 
     def add(self, records: DataFrame, postings, count: int) -> None:
-        """A segment of the records (``r, id, page, digits, bare``). ``postings(batch)`` gives (row, 64-bit key, size, bitmap) arrays."""
+        """A segment of the records (``r, id, page, digits, bare``), which are read from a written table. ``postings(batch)`` gives (row, 64-bit key, size, bitmap) arrays."""
         name, path, buckets = f"s-{uuid.uuid4().hex}", self.path, self.buckets
         pafs.FileSystem.from_uri(path)[0].create_dir(pafs.FileSystem.from_uri(f"{path}/{name}")[1])
 
@@ -187,9 +187,16 @@ class Store:
         records.select("r", "id", "page", "digits", "bare").mapInArrow(write, "bucket int, keys binary, entries binary").groupBy("bucket").applyInArrow(seal, "bucket int, bytes long").agg(F.sum("bytes")).first()
         self.segments.append({"name": name, "records": count, "of": [name]})
         like = lambda a, b: a["records"] < 2 * b["records"] and len(a["of"]) + len(b["of"]) < 1 << 12
+        old = []
         while len(self.segments) > 1 and like(*self.segments[-2:]):
+            old += self.segments[-2:]
             self._merge()
         self._save()
+        fs, p = pafs.FileSystem.from_uri(path)
+        for s in old:  # the sorted keys of these are in the new segment, their records stay
+            for k in range(self.buckets):
+                if fs.get_file_info(f"{p}/{s['name']}/bucket-{k}").type == pafs.FileType.File:
+                    fs.delete_file(f"{p}/{s['name']}/bucket-{k}")
 
     def _merge(self) -> None:
         """The two newest segments as one. Records stay where they are: the merged segment's places lead to both."""
@@ -219,10 +226,6 @@ class Store:
 
         self.spark.range(0, self.buckets, 1, self.buckets).select(F.col("id").cast("int").alias("bucket")).mapInArrow(merge, "bucket int").count()
         self.segments.append({"name": name, "records": a["records"] + b["records"], "of": a["of"] + b["of"]})
-        for s in (a, b):  # the sorted keys of both are in the new segment, their records stay
-            for k in range(self.buckets):
-                if fs.get_file_info(f"{p}/{s['name']}/bucket-{k}").type == pafs.FileType.File:
-                    fs.delete_file(f"{p}/{s['name']}/bucket-{k}")
 
     def remove(self) -> None:
         fs, p = pafs.FileSystem.from_uri(self.path)
