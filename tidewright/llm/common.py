@@ -56,7 +56,7 @@ class Tables:
 
     def put(self, df: DataFrame, partition: str | None = None) -> DataFrame:
         """The rows of ``df``, from now on read from the folder."""
-        there = f"{self.path}/{uuid.uuid4().hex}"
+        self.last = there = f"{self.path}/{uuid.uuid4().hex}"
         w = df.write.option("compression", "zstd")
         (w.partitionBy(partition) if partition else w).parquet(there)
         return self.spark.read.schema(df.schema).parquet(there)

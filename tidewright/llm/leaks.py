@@ -7,7 +7,8 @@ sides the same windows, the same sets and so, with certainty, the same minima. F
 possible coverage follows; only items that can reach the share are verified, exactly, by the shingles of ``run`` letters
 that the document contains.
 
-The items' minima go to every task in blocks of a bounded number of letters, one pass over the documents a block; documents
+The items' bare texts lie in the shared folder in blocks of a bounded number of letters. A task makes one block's tables at a time and
+searches them for as many of its documents as it may hold, so the documents are read once however many items there are. They
 never leave their task, so there is no shuffle, and a hot source or a very long text costs what its length costs.
 """
 
@@ -17,14 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codes as K
 from . import common as C
 
-#: Letters of items in one block; a block's tables take about 40 bytes a letter in every worker.
+#: Letters of items in one block, on average; a block's tables take about 40 bytes a letter in every worker.
 BLOCK_LETTERS = 1_000_000
+#: Letters of documents that a task holds while it goes through several blocks.
+HELD = 8_000_000
 
 
 class ItemIndex:
@@ -93,29 +98,56 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     document's bare text. Null and blank texts, and items shorter than ``run``, match nothing; repeated rows of a document
     give repeated rows; an empty side gives an empty result."""
     kinds = f"{doc_id} long, {item_id} long"
-    found = None
-
-    def pass_over(block: list[tuple[int, str]]) -> DataFrame:
-        def search(batches):
-            index = ItemIndex(block, run, share)
-            for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for i, j in C.slices(texts):
-                    got = list(index.search(*K.bare(texts[i:j])))
-                    yield pa.RecordBatch.from_pydict({doc_id: pa.array([ids[i + d] for d, _ in got], pa.int64()), item_id: pa.array([x for _, x in got], pa.int64())})
-
-        return docs.select(F.col(doc_id).cast("long"), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(search, kinds)
-
-    block, letters = [], 0
-    for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t is not null").toLocalIterator():
-        bare = K.as_text(*K.bare([r.t]))[0]
-        if block and letters + len(bare) > BLOCK_LETTERS:
-            found = pass_over(block) if found is None else found.unionByName(pass_over(block))
-            block, letters = [], 0
-        block.append((r.i, bare))
-        letters += len(bare)
-    last = pass_over(block)
-    return last if found is None else found.unionByName(last)
+    tables = C.Tables(docs.sparkSession)
+
+    def bare_items(batches):
+        for b in batches:
+            texts = K.as_text(*K.bare(b.column(1).to_pylist()))
+            ok = pa.array([len(x) >= run for x in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), pa.array(texts, pa.string()).filter(ok)], ["i", "b"])
+
+    wanted = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
+    kept = tables.put(wanted.mapInArrow(bare_items, "i long, b string"))
+    letters = kept.agg(F.sum(F.length("b"))).first()[0] or 0
+    blocks = -(-letters // BLOCK_LETTERS)
+    tables.put(kept.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(max(1, blocks)))), "block")
+    where = tables.last
+
+    def index_of(block: int) -> ItemIndex:
+        fs, path = pafs.FileSystem.from_uri(f"{where}/block={block}")
+        if fs.get_file_info(path).type != pafs.FileType.Directory:
+            return ItemIndex([], run, share)
+        t = pq.read_table(path, filesystem=fs, columns=["i", "b"], partitioning=None)
+        return ItemIndex(list(zip(t["i"].to_pylist(), t["b"].to_pylist())), run, share)
+
+    def search(batches):
+        made: dict[int, ItemIndex] = {}
+
+        def over(held):
+            for block in range(blocks):
+                if block not in made:
+                    made.clear()  # one block at a time
+                    made[block] = index_of(block)
+                for ids, c, starts in held:
+                    got = list(made[block].search(c, starts))
+                    if got:
+                        yield pa.RecordBatch.from_pydict({doc_id: pa.array([ids[d] for d, _ in got], pa.int64()), item_id: pa.array([x for _, x in got], pa.int64())})
+
+        held, size = [], 0
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j in C.slices(texts):
+                c, starts = K.bare(texts[i:j])
+                held.append((ids[i:j], c, starts))
+                size += len(c)
+                if blocks == 1 or size > HELD:
+                    yield from over(held)
+                    held, size = [], 0
+        yield from over(held)
+
+    found = C.checkpoint(docs.select(F.col(doc_id).cast("long"), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(search, kinds))
+    tables.remove()
+    return found
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
