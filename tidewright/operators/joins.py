@@ -74,8 +74,8 @@ def containment(left: DataFrame, right: DataFrame, key: str, a: str, b: str) ->
 
 def dictionary_match(lines: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
     """Rows of ``lines`` with every ``entity`` one of whose ``alias`` stands in the text: anywhere if the alias holds Han
-    characters, between non-word characters if it is Latin. ``aliases`` is a dictionary and must be small."""
-    d = F.broadcast(aliases.select("entity", "alias"))
+    characters, between non-word characters if it is Latin. ``aliases`` is a dictionary; only a small one is sent to every task."""
+    d = small(aliases.select("entity", "alias"))
     word = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.lower("alias"), F.lit(r"\E(?![A-Za-z0-9_])"))
     low = F.lower(F.col(text))
     return lines.join(d, low.contains(F.lower("alias"))).filter(F.when(F.col("alias").rlike(r"[一-鿿]"), F.lit(True)).otherwise(F.regexp_like(low, word)))
