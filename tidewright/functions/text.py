@@ -169,11 +169,16 @@ def fragments(title: Column, summary: Column, most_chars: int = 155, most: int =
     key = lambda p: F.regexp_replace(F.regexp_replace(p, r"[。！？!?；;\s]+$", ""), " ", "")
     parts = F.concat(F.array(F.trim(F.coalesce(title, F.lit("")))), F.coalesce(sentences(summary), F.array().cast("array<string>")))
     keyed = F.transform(parts, lambda p: F.struct(key(p).alias("k"), p.alias("p")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    once = F.transform(F.filter(keyed, lambda x, i: (x["k"] != "") & (F.array_position(keys, x["k"]) == i + 1)), lambda x: x["p"])
-    total = lambda i: F.aggregate(F.slice(once, 1, i), F.lit(0), lambda n, p: n + F.length(p)) + i - 1
-    fit = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(once), F.lit(1))), lambda i: total(i) <= most_chars))
-    return F.slice(once, 1, F.greatest(F.lit(1), F.least(F.lit(most), fit)))
+    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
+
+    def step(s, x):
+        used = s["used"] + F.length(x["p"]) + F.when(s["used"] > 0, 1).otherwise(0)
+        over = (s["used"] > 0) & (used > most_chars)
+        taken = F.struct(used.alias("used"), (F.size(s["out"]) + 1 >= most).alias("full"), F.array_append(s["keys"], x["k"]).alias("keys"), F.array_append(s["out"], x["p"]).alias("out"))
+        closed = F.struct(s["used"].alias("used"), F.lit(True).alias("full"), s["keys"].alias("keys"), s["out"].alias("out"))
+        return F.when(s["full"] | (x["k"] == "") | F.array_contains(s["keys"], x["k"]), s).when(over, closed).otherwise(taken)
+
+    return F.aggregate(keyed, start, step, lambda s: s["out"])
 
 
 def label_base(title: Column, width: int = 16) -> Column:
