@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query, table
+from ..session import shared_folder
 from ..sources import documents as S
 
 
@@ -64,3 +68,43 @@ def s17(spark, d):
 @query("s18_idempotency_key", """SELECT DISTINCT id, left(sha256('{"id":"' || id || '","operation":' || CASE WHEN operation IS NULL THEN 'null' ELSE '"' || operation || '"' END || '}'), 16) AS key FROM cost_ledger""")
 def s18(spark, d):
     return table(spark, d, "cost_ledger").select("id", S.idempotency_key(id=F.col("id"), operation=F.col("operation")).alias("key")).distinct()
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query("s03b_conditional_fetches", "WITH b AS (SELECT batch_no, etag, max(CASE WHEN etag IS NOT NULL THEN batch_no END) OVER (PARTITION BY query ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM feed_batches) SELECT b.batch_no, CASE WHEN b.etag IS NULL THEN 'untagged' WHEN b.etag = o.etag THEN 'not modified' ELSE 'fetched' END AS state FROM b LEFT JOIN feed_batches o ON o.batch_no = b.p")
+def s03b(spark, d):
+    # what a cache keeps is an entry a query, renewed by its fetches in order
+    b = table(spark, d, "feed_batches").select("batch_no", "etag", "query")
+    held = F.last("etag", ignorenulls=True).over(W.partitionBy("query").orderBy("batch_no").rowsBetween(W.unboundedPreceding, -1))
+    state = F.when(F.col("etag").isNull(), "untagged").when(F.col("etag") == F.col("held"), "not modified").otherwise("fetched")
+    return b.withColumn("held", held).select("batch_no", state.alias("state"))
+
+
+@query("s06_appended_lines", "SELECT event_no, project_id, tool, count(*) AS lines FROM event_log GROUP BY 1, 2, 3")
+def s06(spark, d):
+    e, there = table(spark, d, "event_log").select("event_no", "project_id", "tool", "success"), _folder(spark)
+    for part in (e.filter("success"), e.filter("not success or success is null")):
+        S.append_lines(part.drop("success"), there)
+    return S.json_lines(spark, there, "event_no long, project_id string, tool string").groupBy("event_no", "project_id", "tool").agg(F.count("*").alias("lines"))
+
+
+@query("s09_checkpoint_documents", "SELECT project_id, stage, status, count(*) AS n FROM (SELECT DISTINCT project_id, stage, status, timestamp FROM checkpoints WHERE stage IS NOT NULL AND project_id IS NOT NULL) GROUP BY 1, 2, 3")
+def s09(spark, d):
+    there = _folder(spark)
+    c = table(spark, d, "checkpoints").filter("stage is not null and project_id is not null").select("project_id", "stage", "status", "timestamp").distinct()
+    c.withColumn("of", F.col("stage")).write.partitionBy("of").json(there)
+    return S.json_lines(spark, there, "project_id string, stage string, status string, timestamp string").groupBy("project_id", "stage", "status").agg(F.count("*").alias("n"))
+
+
+@query("s19_formats", "SELECT f AS format, count(*) AS n, count(DISTINCT p_brand) AS brands, sum(p_size)::BIGINT AS sizes FROM part, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS f) GROUP BY 1")
+def s19(spark, d):
+    t, out = table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), None
+    for kind in ("csv", "json", "orc", "parquet"):
+        there = _folder(spark)
+        S.write_table(t, there, kind=kind)
+        one = spark.read.schema(t.schema).format(kind).load(there).agg(F.lit(kind).alias("format"), F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"), F.sum("p_size").cast("long").alias("sizes"))
+        out = one if out is None else out.unionByName(one)
+    return out
