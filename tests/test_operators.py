@@ -1,6 +1,8 @@
 """Operators on small frames with results worked out by hand."""
 
 import json
+import random
+import re
 import time
 
 import numpy as np
@@ -269,3 +271,40 @@ def test_colors(spark):
     assert one(spark, D.composite(F.lit("#00000080"), F.lit("#ffffff"))) == "#7F7F7F"
     assert one(spark, D.type_scale(F.lit(24), D.SCALES["major_third"])) == (19, 24, 30, 38, 47)
     assert one(spark, D.half_even(F.lit(2.5), 0)) == 2.0 and one(spark, D.half_even(F.lit(3.5), 0)) == 4.0
+
+
+def test_ungrouped_against_a_plain_pattern(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("0123456789,，,, x", k=rnd.randrange(1, 24))) for _ in range(3000)] + ["1,234 and 91,2345", "1,234,5678", "5,1,234", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.t for r in df.select("i", X.ungrouped(F.col("t")).alias("t")).collect()}
+    plain = lambda t: re.sub(r"(?<![0-9])[0-9]{1,3}(?:[,，][0-9]{3})+(?![0-9])", lambda m: re.sub("[,，]", "", m[0]), t)
+    assert got == {i: t if t is None else plain(t) for i, t in enumerate(texts)}
+
+
+def test_caption_units_against_a_plain_walk():
+    rnd = random.Random(6)
+
+    def plain(text, most):
+        out = []
+        for sentence in re.findall(r"[^。！？!?；;]+[。！？!?；;]?", text):
+            s = sentence.strip()
+            while s:
+                seen, fit = 0, len(s)
+                for i, c in enumerate(s):
+                    seen += not c.isspace()
+                    if seen > most:
+                        fit = i
+                        break
+                if fit < len(s):
+                    for cut in range(fit, max(1, fit // 2) - 1, -1):
+                        if s[cut - 1] in "，、：；,;:）)" or s[cut - 1].isspace():
+                            fit = cut
+                            break
+                out.append(s[:fit])
+                s = s[fit:]
+        return [u for u in out if u.strip()]
+
+    for _ in range(2000):
+        text = "".join(rnd.choices("abc文字 ，,、。！ )", k=rnd.randrange(0, 80)))
+        assert X.caption_units(text, 7) == plain(text, 7), text

@@ -24,9 +24,8 @@ def squeezed(x: Column) -> Column:
 
 def ungrouped(x: Column) -> Column:
     """Numbers without separators between groups of three digits."""
-    one = r"(?<![0-9])([0-9]{1,3}(?:[,，][0-9]{3})+)(?![0-9])"
-    found = F.regexp_extract_all(x, F.lit(one), F.lit(1))
-    return F.aggregate(found, x, lambda s, n: F.replace(s, n, F.regexp_replace(n, "[,，]", "")))
+    first = r"(?<![0-9])(?=[0-9]{1,3}(?:[,，][0-9]{3})+(?![0-9]))[0-9]{1,3}"  # where a grouped number begins
+    return F.regexp_replace(x, rf"({first}|\G(?<=[,，])[0-9]{{3}})[,，](?=[0-9]{{3}}(?![0-9]))", "$1")
 
 
 def visible_units(x: Column) -> Column:
