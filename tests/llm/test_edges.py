@@ -296,6 +296,20 @@ def test_links_beside_a_standing_passage(spark, monkeypatch, size):
     assert groups_of(spark.createDataFrame(rows, "id string, a string, b string, c string")) == want
 
 
+def test_sequences_are_counted_in_all_texts(spark):
+    n = 120_000  # each text has a sequence of its own, all have one in common, and one more has a sequence very often
+    own = [chr(0x4E00 + i // 400) + chr(0x4E00 + i % 400) + "." for i in range(n)]
+    texts = spark.createDataFrame([("abc" + x,) for x in own] + [("z" * 600_000,)], "text string")
+    classes, *rest, tokens = neardup._token_classes(texts, n + 1, 3)
+    class_of = lambda x: classes[neardup._counter(codes.grams(*codes.codes(x), 3)[1])]
+    assert (class_of(own) > 0).all()
+    assert tokens == (4 * n + 599_998) / (n + 1)
+    (greatest,) = rest
+    abc, z = class_of(["abc", "zzz"])
+    assert n <= greatest[abc] < 1.01 * n and abc < z == 63
+    assert 599_998 <= greatest[z] < 600_100
+
+
 def test_exact_similarity():
     a, b = ["abcdef", "abc", "", "abcd"], ["abcdeg", "xyz", "", "abcd"]
     assert neardup.similar(a, b, 3, 0.6).tolist() == [True, False, False, True]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is computed meanwhile go when it is done, not with some later garbage collection of the driver."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def folder(spark: SparkSession) -> str:
     """The URI of ``spark.checkpoint.dir``, for files that tasks share."""
     _set_folder(spark)

@@ -29,10 +29,12 @@ from . import codes as K
 from . import common as C
 from . import neardup
 from . import postings as P
-from .neardup import COUNTERS, SAMPLE, _counter, _least, _list_pairs, _slices, lists_of, parted, similar
+from .neardup import COUNTERS, _counter, _least, _list_pairs, _slices, lists_of, parted, similar
 from .segments import WORDS, BucketFile, Records, Store, place
 
 SHARE = 0.6
+#: Titles whose sequences are counted for the order of tokens.
+SAMPLE = 100_000
 #: Claims that one task may settle.
 LAST = 1_000_000
 #: Rows of the first increment of a table that is taken in at once; with each later one ``GROWTH`` times as many are known.
@@ -160,7 +162,7 @@ def like(names: DataFrame, classes: np.ndarray, scale: float, store: Store | Non
                 out, name = P.Buckets(buckets), uuid.uuid4().hex
                 if titles:
                     who, key, place_, n, bits, classes_of = _suffixes([values[i] for i in titles], [digits[i] for i in titles], order.value)
-                    out.add(*parted(key, who.astype(np.uint16), place_, classes_of, num[titles][who], scale, most, bool(segments)))
+                    out.add(*parted(key, who.astype(np.uint16), place_, np.exp2(classes_of / 3.5) * scale, num[titles][who], most, bool(segments)))
                     with fs.open_output_stream(f"{here}/{name}") as f:
                         f.write(np.column_stack([num[titles].view(np.uint64), n.astype(np.uint64), bits]).tobytes())
                     for r in out.rows():

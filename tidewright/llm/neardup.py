@@ -1,6 +1,6 @@
 """Problem 4: groups of texts that share most of their content, by prefixes of their sequences.
 
-A token is one of a text's k-letter sequences; all texts order them alike, rare ones first (by counts of a sample of rows, which
+A token is one of a text's k-letter sequences; all texts order them alike, rare ones first (by counts over all texts; they
 decide the cost and never the result). Texts with the asked share have a token in
 common among each one's first ``n - ceil(share n) + 1``, so the posting lists of these prefixes hold every pair:
 
@@ -34,8 +34,8 @@ from .graph import components
 
 #: Partners of a text in a list above which they are compared in place and not gathered; pairs gathered at once.
 D, PAIRS = 1500, 30_000
-#: Texts whose sequences are counted for the order of tokens.
-SAMPLE, COUNTERS = 100_000, 1 << 20
+#: Counters of sequences by their hash, and how many go into one row when tasks' counts are added up.
+COUNTERS, RANGE = 1 << 20, 1 << 12
 #: Postings of a bucket, on average: what one call has in memory.
 POSTINGS = 1_000_000
 #: Texts that may have a token before its list is cut into parts of so many, and every two parts become a list of their own.
@@ -77,29 +77,36 @@ def _slices(texts: list[str]):
             yield i, min(i + 2048, b)
 
 
-def _token_classes(texts: DataFrame, rows: int, k: int) -> tuple[np.ndarray, float]:
-    """How frequent sequences are in a sample of the texts, as 64 classes on a logarithmic scale by counter of their hash;
-    and the mean number of sequences of a text."""
+def _token_classes(texts: DataFrame, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """How frequent sequences are in all texts, as 64 classes on a logarithmic scale by counter of their hash; the greatest count of
+    each class, which no sequence of it exceeds; and the mean number of sequences of a text."""
 
     def count(batches):
-        total, n = np.zeros(COUNTERS, np.int32), 0
+        total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             col = b.column(0).to_pylist()
             for i, j in _slices(col):
-                at = _counter(K.grams(*K.codes(col[i:j]), k)[1])
-                n += len(at)
-                total += np.bincount(at, minlength=COUNTERS).astype(np.int32)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"at": pa.array([C.packed(np.int32, at)], pa.binary()), "n": pa.array([C.packed(np.int32, total[at])], pa.binary()), "all": pa.array([n], pa.int64())})
-
-    x = texts.select("text")
-    if rows > SAMPLE:
-        x = x.sample(SAMPLE / rows, 7)
-    total, tokens = np.zeros(COUNTERS, np.int64), 0
-    for r in x.mapInArrow(count, "at binary, n binary, all long").toLocalIterator():
-        total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int32)
-        tokens += r["all"]
-    return np.minimum(63, np.log2(total + 1) * 3.5).astype(np.uint8), tokens / max(1, min(rows, SAMPLE))
+                np.add.at(total, _counter(K.grams(*K.codes(col[i:j]), k)[1]), 1)
+        ranges = total.reshape(-1, RANGE)
+        at = np.flatnonzero(ranges.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array([x.tobytes() for x in ranges[at]], pa.binary())})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[at] = total.get(at, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(list(total), pa.int32()), "n": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+
+    total = np.zeros((COUNTERS // RANGE, RANGE), np.int64)
+    for r in texts.select("text").mapInArrow(count, "at int, n binary").repartition("at").mapInArrow(add, "at int, n binary").collect():
+        total[r["at"]] = np.frombuffer(r["n"], np.int64)
+    total = total.ravel()
+    step = min(3.5, 63 / max(1.0, float(np.log2(total.max() + 1))))  # the greatest count is in the last class at most
+    classes = np.minimum(63, np.log2(total + 1) * step).astype(np.uint8)
+    greatest = np.zeros(64, np.int64)
+    np.maximum.at(greatest, classes, total)
+    return classes, greatest, int(total.sum()) / max(1, rows)
 
 
 def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, classes: np.ndarray, words: int = WORDS):
@@ -120,11 +127,11 @@ def _tokens(c: np.ndarray, starts: np.ndarray, k: int, share: float, classes: np
     return who[keep], t[keep], place[keep], n, np.packbits(bit, axis=1).view(np.uint64), ((key[keep] >> np.uint64(47)) & np.uint64(63)).astype(np.int64)
 
 
-def parted(t: np.ndarray, owner: np.ndarray, place: np.ndarray, classes_of: np.ndarray, who: np.ndarray, scale: float, most: int, whole: bool = False):
-    """Postings (token, owner, place with part). A token that more than ``most`` texts have, by its class and ``scale``, is posted once for
+def parted(t: np.ndarray, owner: np.ndarray, place: np.ndarray, texts: np.ndarray, who: np.ndarray, most: int, whole: bool = False):
+    """Postings (token, owner, place with part). A token that more than ``most`` of all ``texts`` have is posted once for
     every other part of its texts and once for its own; ``who`` spreads texts over parts. With ``whole`` it is posted as it is, too,
     as no part of a list."""
-    parts = np.ceil(np.exp2(classes_of / 3.5) * scale / most).astype(np.int64)
+    parts = np.ceil(texts / most).astype(np.int64)
     place = np.minimum(place, (1 << PLACE) - 1).astype(np.uint16)
     hot = np.flatnonzero(parts > 1)
     if not len(hot):
@@ -245,11 +252,11 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
     """``a, b``: numbers of the distinct ``texts(num, text)``; every pair with the share is among them, and few others."""
     spark = texts.sparkSession
     rows = texts.count()
-    classes, tokens = _token_classes(texts, rows, k)
+    classes, greatest, tokens = _token_classes(texts, rows, k)
     buckets = max(8, int(rows * tokens * (1 - share) / POSTINGS))
     words = WORDS * max(1, math.ceil(tokens / 150))
-    scale, most = max(1.0, rows / SAMPLE), LIST
-    counts = spark.sparkContext.broadcast(classes)
+    most = LIST
+    counts = spark.sparkContext.broadcast((classes, greatest))
     folder = f"{C.folder(spark)}/neardup-{uuid.uuid4().hex}"
     files = lambda: pafs.FileSystem.from_uri(folder)
     fs, path = files()
@@ -257,14 +264,15 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
 
     def emit(batches):
         fs, path = files()
+        classes, greatest = counts.value
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
                 part = b.slice(at, TEXTS)
                 out, sheets, col = P.Buckets(buckets), [], part.column(1).to_pylist()
                 ids = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 for i, j in _slices(col):
-                    who, t, place, n, bits, classes_of = _tokens(*K.codes(col[i:j]), k, share, counts.value, words)
-                    out.add(*parted(t, (who + i).astype(np.uint16), place, classes_of, ids[who + i], scale, most))
+                    who, t, place, n, bits, classes_of = _tokens(*K.codes(col[i:j]), k, share, classes, words)
+                    out.add(*parted(t, (who + i).astype(np.uint16), place, greatest[classes_of], ids[who + i], most))
                     sheets.append(np.column_stack([ids[i:j], n.astype(np.uint64), bits]))
                 if sheets:
                     name = uuid.uuid4().hex
@@ -302,7 +310,8 @@ def candidate_pairs(texts: DataFrame, k: int = 3, share: float = 0.6) -> DataFra
         a, b = ids[found // m], ids[found % m]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    pairs = C.checkpoint(texts.select("num", "text").mapInArrow(emit, P.SCHEMA + ", name string").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
+    with C.shuffles_dropped(spark):
+        pairs = C.checkpoint(texts.select("num", "text").mapInArrow(emit, P.SCHEMA + ", name string").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
     fs.delete_dir(path)
     return pairs
 
@@ -382,7 +391,8 @@ def near_duplicate_groups(df: DataFrame, key: str, fields: list[str], k: int = 3
     tables = C.Tables(df.sparkSession)
     keyed = df.filter(F.col(key).isNotNull()).select(*fields, F.col(key).cast("string"))
     rows = tables.put(keyed.mapInArrow(id_texts, "d binary, key string, text string"))  # folded once, read by all that follows
-    texts = tables.put(rows.select("d", "text").distinct().withColumn("num", F.monotonically_increasing_id()))
+    with C.shuffles_dropped(df.sparkSession):
+        texts = tables.put(rows.select("d", "text").distinct().withColumn("num", F.monotonically_increasing_id()))
     pairs = candidate_pairs(texts, k, share)
     links = verified(pairs, texts, k, share).select(F.col("a").alias("u"), F.col("b").alias("v"))
     owned = C.checkpoint(rows.select("d", "key").distinct().join(texts.select("d", "num"), "d").select("num", "key"))
